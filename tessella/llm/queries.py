@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_dedup, bpe, mixing, quality
+from . import block_dedup, bpe, mixing, quality, token_store
 from .common import documents
 
 
@@ -25,12 +25,21 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    store = token_store.write_store(documents(spark, sf_dir), definition, public_tokenizers.PATTERN, end_id=2)
+    return token_store.read_checksums(store)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_exact_dedup, op4_byte_bpe, op7_quality_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_exact_dedup, op4_byte_bpe, op6_token_store, op7_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
