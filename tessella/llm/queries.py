@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_dedup, bpe, mixing, quality, token_store
+from . import block_dedup, bpe, mixing, quality, secrets, token_store
 from .common import documents
 
 
@@ -38,8 +38,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_exact_dedup, op4_byte_bpe, op6_token_store, op7_quality_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_exact_dedup, op4_byte_bpe, op6_token_store, op7_quality_rules, op8_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
