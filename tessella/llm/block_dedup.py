@@ -27,7 +27,9 @@ PROBE = 48
 def _named(distinct: DataFrame, cols: list[str], name: str) -> DataFrame:
     """Number the rows of ``distinct`` in sort order; written out, since names must not change on a retry."""
     n = shuffle_partitions(distinct.sparkSession)
-    ordered = distinct.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    # Bounds are drawn from the heads of long blocks: whole blocks would make the sample of bounds large.
+    heads = [F.substring(c, 1, 128) if c == "block" else F.col(c) for c in cols]
+    ordered = distinct.repartitionByRange(n, *heads).sortWithinPartitions(*cols)
     return materialize(ordered.select(*cols, F.monotonically_increasing_id().alias(name)))
 
 
@@ -71,7 +73,8 @@ def exact_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     shared = heads.groupBy("size", "probe").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size", "probe")
     members = materialize(heads.join(shared, ["size", "probe"]).groupBy("doc_id", "sha", "size").agg(F.count(F.lit(1)).alias("rows")))
     keys = members.select(F.col("doc_id").alias("m_id"), F.col("sha").alias("m_sha"))
-    candidates = texts.join(keys, texts.doc_id.eqNullSafe(F.col("m_id")) & (texts.sha == F.col("m_sha")), "left_semi")
+    # By merge at any size, so that the plan is the same for small and large tables; written once, used twice.
+    candidates = materialize(texts.join(keys.hint("merge"), texts.doc_id.eqNullSafe(F.col("m_id")) & (texts.sha == F.col("m_sha")), "left_semi"))
     named = block_names(candidates, block).withColumnsRenamed({"doc_id": "b_id", "sha": "b_sha", "size": "b_size"})
     rows = members.join(named, members.doc_id.eqNullSafe(F.col("b_id")) & (F.col("sha") == F.col("b_sha"))).select("doc_id", "sha", "size", "rows", "name")
     rows = materialize(rows)
