@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_dedup, bpe, mixing, quality, secrets, token_store
+from . import block_dedup, bpe, mixing, near_dups, quality, secrets, token_store
 from .common import documents
 
 
@@ -14,6 +14,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_components(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -43,8 +47,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_exact_dedup, op4_byte_bpe, op6_token_store, op7_quality_rules, op8_secret_scan)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard, op3_exact_dedup, op4_byte_bpe, op6_token_store, op7_quality_rules, op8_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE, "op3_exact_dedup": block_dedup.ORACLE, "op7_quality_rules": quality.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op2_ngram_jaccard": near_dups.ORACLE, "op3_exact_dedup": block_dedup.ORACLE, "op7_quality_rules": quality.ORACLE}
