@@ -88,10 +88,15 @@ def exact_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text another row keeps; repeated rows of a keeper collapse into one."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("k_id")).distinct()
-    out = docs.join(kept, docs.doc_id.eqNullSafe(kept.k_id), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    """``docs`` without the rows whose text another row keeps; of repeated rows of a keeper one stays."""
+    kept = materialize(exact_groups(docs).where("kept").groupBy(F.col("doc_id").alias("k_id")).agg(F.count(F.lit(1)).alias("rows_")))
+    single, repeated = kept.where("rows_ = 1"), kept.where("rows_ > 1")
+    out = docs.join(single.hint("merge"), docs.doc_id.eqNullSafe(single.k_id), "left_semi")
+    if repeated.isEmpty():
+        return out
+    norm = ascii_lower(F.coalesce(docs.text, F.lit("")))
+    again = docs.withColumn("norm_", norm).join(repeated, docs.doc_id.eqNullSafe(repeated.k_id), "left_semi")
+    return out.unionByName(again.dropDuplicates(["doc_id", "norm_"]).drop("norm_"))
 
 
 ORACLE = r"""
