@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_dedup, bpe, mixing, near_dups, quality, secrets, token_store
+from . import automaton_dedup, block_dedup, bpe, mixing, near_dups, quality, secrets, suffix_dedup, token_store
 from .common import documents
 
 
@@ -46,9 +46,17 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton_dedup.dedup_words(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_bytes(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard, op3_exact_dedup, op4_byte_bpe, op6_token_store, op7_quality_rules, op8_secret_scan)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard, op3_exact_dedup, op4_byte_bpe, op6_token_store, op7_quality_rules, op8_secret_scan, op9_substring_dedup, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE, "op2_ngram_jaccard": near_dups.ORACLE, "op3_exact_dedup": block_dedup.ORACLE, "op7_quality_rules": quality.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op2_ngram_jaccard": near_dups.ORACLE, "op3_exact_dedup": block_dedup.ORACLE, "op7_quality_rules": quality.ORACLE, "op9_substring_dedup": automaton_dedup.ORACLE, "op10_suffix_dedup": suffix_dedup.ORACLE}
