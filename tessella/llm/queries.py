@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automaton_dedup, block_dedup, bpe, mixing, near_dups, quality, secrets, suffix_dedup, token_store
+from . import automaton_dedup, block_dedup, bpe, class_lm, mixing, near_dups, quality, secrets, suffix_dedup, token_store
 from .common import documents
 
 
@@ -29,6 +29,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
+def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_documents(documents(spark, sf_dir))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,7 +59,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard, op3_exact_dedup, op4_byte_bpe, op6_token_store, op7_quality_rules, op8_secret_scan, op9_substring_dedup, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard, op3_exact_dedup, op4_byte_bpe, op5_class_lm, op6_token_store, op7_quality_rules, op8_secret_scan, op9_substring_dedup, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
