@@ -16,7 +16,9 @@ columns pass through unchanged; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,14 @@ LONG = 64
 SLICE = 512
 
 
+def _pack(code: str):
+    """Ids as little-endian unsigned integers; for few ids faster than an array of numpy."""
+    return lambda ids: struct.pack(f"<{len(ids)}{code}", *ids)
+
+
+_PACK = {code: _pack(code) for code in "HI"}
+
+
 class _Memo(dict):
     """Results by key, computed when missing; emptied when it holds too many."""
 
@@ -48,6 +58,21 @@ class _Memo(dict):
         return value
 
 
+_WORKER: dict[str, object] = {}
+
+
+def per_worker(key: str, make):
+    """What ``make()`` gives, kept by this worker process for the tasks to come; one object at a time."""
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = make()
+    return _WORKER[key]
+
+
+def fingerprint(*things) -> str:
+    return hashlib.sha256(repr(things).encode()).hexdigest()
+
+
 class PatternSplitter:
     """Encodes texts by pieces: ``encode_piece`` gives the ids of one match of ``pattern`` as bytes."""
 
@@ -59,7 +84,8 @@ class PatternSplitter:
         join = lambda text: b"".join(map(pieces.__getitem__, self.find(text)))
         self.whole = join
         self.first = _Memo(join, MEMO // 8)
-        self.after_blank = _Memo(lambda word: join(" " + word))
+        # A blank and letters alone are one match of the pattern.
+        self.after_blank = _Memo(lambda word: encode_piece(" " + word) if word.isalpha() else join(" " + word))
 
     def encode(self, text: str) -> bytes:
         if _AMID.search(text):
@@ -86,7 +112,7 @@ class ByteBpe:
         self.most = max(map(len, ranks), default=0)
         self.fits: dict[tuple[int, int], bool] = {}
         self.prefix: dict[int, int] = {}
-        self.text = PatternSplitter(pattern, lambda p: np.array(self.encode_piece(p.encode()), "<u4").tobytes())
+        self.text = PatternSplitter(pattern, lambda p: _PACK["I"](self.encode_piece(p.encode())))
 
     def merge(self, piece: bytes) -> list[int]:
         """The definition: again and again join the adjacent pair of least rank, the leftmost of equals."""
@@ -194,8 +220,10 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids
     """``docs`` plus a binary column: the ids of text. The vocabulary, a file of fixed size, is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
+    key = fingerprint(sorted(ranks.items()), pattern)
+
     def make():
-        bpe = ByteBpe(shared.value, pattern)
+        bpe = per_worker(key, lambda: ByteBpe(shared.value, pattern))
         return lambda texts: pa.array([bpe.encode(t or "") for t in texts.to_pylist()], pa.binary())
 
     return with_column(docs, ids, T.BinaryType(), make, "text")

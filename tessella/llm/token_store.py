@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import PatternSplitter, slices
+from .bpe import _PACK, PatternSplitter, fingerprint, per_worker, slices
 from .common import materialize, shuffle_partitions
 
 WINDOW, MASK, LONGEST = 16, 0x1FF, 8192
@@ -78,17 +78,20 @@ class LibraryEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         whole = Tokenizer.from_str(definition)
         whole.encode_special_tokens = True
-        model, to_text = whole.model, whole.pre_tokenizer.pre_tokenize_str
+        tokenize = whole.model.tokenize
         self.width = 2 if whole.get_vocab_size() <= 1 << 16 else 4
-        kind = f"<u{self.width}"
+        pack = _PACK["H" if self.width == 2 else "I"]
+        # The library's sign for each byte: printable ones stand for themselves, the others are numbered from 256 on.
+        signs = pre_tokenizers.ByteLevel.alphabet()
+        hidden = [b for b in range(256) if chr(b) not in signs]
+        table = dict(zip(hidden, sorted(x for x in signs if ord(x) > 255), strict=True))
 
         def piece(p: str) -> bytes:
-            ids = [t.id for mapped, _ in to_text(p) for t in model.tokenize(mapped)]
-            return np.array(ids, kind).tobytes()
+            return pack([t.id for t in tokenize(p.encode().decode("latin-1").translate(table))])
 
         self.encode = PatternSplitter(pattern, piece).encode
 
@@ -96,9 +99,10 @@ class LibraryEncoder:
 def encode_entries(docs: DataFrame, definition: str, pattern: str, end_id: int) -> DataFrame:
     """Chunk and recipe entries of ``docs``; a task leaves out chunks that it has just sent."""
     shared = docs.sparkSession.sparkContext.broadcast(definition)
+    key = fingerprint(definition, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = LibraryEncoder(shared.value, pattern)
+        own = per_worker(key, lambda: LibraryEncoder(shared.value, pattern))
         kind, table = f"<u{own.width}", _table()
         end = np.array([end_id], kind).tobytes()
         sent: set[bytes] = set()
