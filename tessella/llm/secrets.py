@@ -90,8 +90,10 @@ def identifiers(texts: list[str], count: int = 6000, seed: int = 12) -> list[str
 def train(docs: DataFrame) -> np.ndarray:
     """Differences of the two models' log-probabilities, by the codes of three characters."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
-    sample = docs.where("text is not null").select("text", key.alias("key")).orderBy("key", "text").limit(SAMPLE)
-    texts = [r.text for r in sample.collect()]
+    chosen = docs.where("text is not null").select("doc_id", key.alias("key")).orderBy("key", "doc_id").limit(SAMPLE)
+    ids = {r.doc_id for r in chosen.collect()}
+    rows = docs.where(F.col("doc_id").isin([i for i in ids if i is not None]) | (F.col("doc_id").isNull() if None in ids else F.lit(False)))
+    texts = [r.text for r in rows.where("text is not null").orderBy("doc_id", "text").limit(SAMPLE).collect()]
     return MarkovModel(random_secrets()).log - MarkovModel(identifiers(texts)).log
 
 
