@@ -1 +1,5 @@
+"""Named queries over the driver's tables; load() registers them."""
 
+
+def load() -> None:
+    from . import raster_queries  # noqa: F401
