@@ -70,7 +70,8 @@ def exact_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     texts = texts.withColumn("size", F.length("norm")).withColumn("sha", F.sha2(F.encode("norm", "UTF-8"), 256))
     heads = materialize(texts.select("doc_id", "sha", "size", _probe(F.col("norm"), F.col("size")).alias("probe")))
     # Only documents that share length and probe blocks with another row can have a copy.
-    shared = heads.groupBy("size", "probe").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size", "probe")
+    # Written first, so that the join deals both sides anew and a probe that very many share can be split.
+    shared = materialize(heads.groupBy("size", "probe").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size", "probe"))
     members = materialize(heads.join(shared, ["size", "probe"]).groupBy("doc_id", "sha", "size").agg(F.count(F.lit(1)).alias("rows")))
     keys = members.select(F.col("doc_id").alias("m_id"), F.col("sha").alias("m_sha"))
     # By merge at any size, so that the plan is the same for small and large tables; written once, used twice.
