@@ -2,4 +2,4 @@
 
 
 def load() -> None:
-    from . import raster_queries  # noqa: F401
+    from . import geometry_queries, matching_queries, raster_queries  # noqa: F401
