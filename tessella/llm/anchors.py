@@ -178,13 +178,13 @@ def contexts(rows: DataFrame, shape: Shape, solve: Callable[[pa.Table], pa.Table
                 d, th = batch.column("d")[i].as_py(), batch.column("th")[i].as_py()
                 at = np.array(batch.column("places")[i].as_py(), np.int64)
                 starts, stops = np.maximum(at - shape.reach, 0), np.minimum(at + shape.window, len(u))
-                for p, a, b in zip(at.tolist(), starts.tolist(), stops.tolist(), strict=True):
+                hashes = mixed(shape.gram_hashes(u)[at]).view(np.int64)
+                for p, a, b, h in zip(at.tolist(), starts.tolist(), stops.tolist(), hashes.tolist(), strict=True):
                     if b - a < shape.window:
                         continue
                     key = (p - a, u[a:b].tobytes())
                     known = seen.get(key)
                     if known is None:
-                        h = int(mixed(shape.gram_hashes(u[p : p + shape.gram])[:1]).view(np.int64)[0])
                         seen[key] = known = [h % buckets, h, key[1], p - a, d, th, p, 1]
                     elif distinct_rows and (d, th, p) == (known[4], known[5], known[6]):
                         continue
