@@ -90,14 +90,16 @@ def exact_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text another row keeps; of repeated rows of a keeper one stays."""
-    kept = materialize(exact_groups(docs).where("kept").groupBy(F.col("doc_id").alias("k_id")).agg(F.count(F.lit(1)).alias("rows_")))
-    single, repeated = kept.where("rows_ = 1"), kept.where("rows_ > 1")
-    out = docs.join(single.hint("merge"), docs.doc_id.eqNullSafe(single.k_id), "left_semi")
+    kept = materialize(exact_groups(docs).where("kept").groupBy(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha")).agg(F.count(F.lit(1)).alias("k_rows")))
+    norm = ascii_lower(F.coalesce(docs.text, F.lit("")))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs.doc_id.cast("long").alias("id"), F.sha2(F.encode(norm, "UTF-8"), 256).alias("sha"))
+    # Rows are found by doc_id and text, since one doc_id may come with several texts.
+    meets = lambda k: rows.id.eqNullSafe(k.k_id) & (rows.sha == k.k_sha)
+    single, repeated = kept.where("k_rows = 1"), kept.where("k_rows > 1")
+    out = rows.join(single.hint("merge"), meets(single), "left_semi").select("doc.*")
     if repeated.isEmpty():
         return out
-    norm = ascii_lower(F.coalesce(docs.text, F.lit("")))
-    again = docs.withColumn("norm_", norm).join(repeated, docs.doc_id.eqNullSafe(repeated.k_id), "left_semi")
-    return out.unionByName(again.dropDuplicates(["doc_id", "norm_"]).drop("norm_"))
+    return out.unionByName(rows.join(repeated, meets(repeated), "left_semi").dropDuplicates(["id", "sha"]).select("doc.*"))
 
 
 ORACLE = r"""

@@ -89,9 +89,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
 def repeat_documents(docs: DataFrame, **params) -> DataFrame:
     """``docs`` as the mix takes them: a document appears once per pass, or not at all."""
-    taken = mix(docs, **params).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies_")).withColumnRenamed("doc_id", "mix_id")
-    out = docs.join(taken, docs.doc_id.eqNullSafe(taken.mix_id))
-    return out.withColumn("pass_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int")))).select(*[docs[c] for c in docs.columns])
+    taken = mix(docs, **params).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")).withColumnRenamed("doc_id", "mix_id")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs.doc_id.alias("id"))
+    out = rows.join(taken, F.col("id").eqNullSafe(F.col("mix_id")))
+    return out.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 ORACLE = r"""
