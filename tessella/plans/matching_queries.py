@@ -34,7 +34,7 @@ query("mutual_nn", f"WITH {_SIM}, {_LOGP}, {_MUTUAL} SELECT pair, i, j, round(co
 query("border_filter", f"WITH {_SIM}, {_LOGP}, {_MUTUAL} SELECT pair, i, j, round(conf, 6) AS conf FROM mu WHERE i % 5 BETWEEN 1 AND 3 AND i // 5 BETWEEN 1 AND 3")(
     lambda s, d: M.mutual_nearest(M.dual_softmax(_similar(s, d)), 0.01, 1, 5, 5).withColumn("conf", F.round("conf", 6))
 )
-query("cell_centers", "SELECT i AS cell, (i % 18 + 0.5) * 8 - 0.5 AS cx, (i // 18 + 0.5) * 8 - 0.5 AS cy FROM (SELECT unnest(range(0, 540)) AS i)")(
+query("cell_centers", "SELECT i AS cell, ((i % 18 + 0.5) * 8 - 0.5)::DOUBLE AS cx, ((i // 18 + 0.5) * 8 - 0.5)::DOUBLE AS cy FROM (SELECT unnest(range(0, 540)) AS i)")(
     lambda s, d: s.range(540).select(V("id").alias("cell"), *[c.alias(n) for c, n in zip(M.cell_centre(V("id"), 18), ("cx", "cy"), strict=True)])
 )
 _H = [1.02, 0.01, -3.0, -0.02, 0.98, 5.0, 1e-5, -2e-5, 1.0]
@@ -181,7 +181,7 @@ query("scalar_string", "SELECT p_partkey, lower(p_name) AS a, trim(p_type) AS b,
 query("scalar_time", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, epoch_us(ts) // 1000 AS ms, hour(ts)::INT AS h, strftime(ts, '%Y-%m-%d') AS day FROM events")(
     lambda s, d: table(s, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.unix_millis(V("ts").cast("timestamp")).alias("ms"), F.hour("ts").alias("h"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
 )
-query("array_map_ops", "SELECT p_partkey, map {'a': p_size, 'b': length(p_name)}['a'] AS a, coalesce(map {'a': p_size}['z'], -1) AS b, list_position([p_size, 7], 7)::BIGINT AS c, len(list_filter([p_size, NULL, 3], lambda x: x IS NOT NULL))::INT AS d FROM part")(
+query("array_map_ops", "SELECT p_partkey, map {'a': p_size, 'b': length(p_name)}['a']::INT AS a, coalesce(map {'a': p_size}['z'], -1) AS b, list_position([p_size, 7], 7)::BIGINT AS c, len(list_filter([p_size, NULL, 3], lambda x: x IS NOT NULL))::INT AS d FROM part")(
     lambda s, d: table(s, d, "part").select("p_partkey", F.element_at(F.create_map(F.lit("a"), V("p_size"), F.lit("b"), F.length("p_name")), "a").alias("a"), F.coalesce(F.try_element_at(F.create_map(F.lit("a"), V("p_size")), F.lit("z")), F.lit(-1)).alias("b"), F.array_position(F.array(V("p_size"), F.lit(7)), 7).alias("c"), F.size(F.filter(F.array(V("p_size"), F.lit(None).cast("int"), F.lit(3)), lambda x: x.isNotNull())).alias("d"))
 )
 query("pca_denoise")(lambda s, d: M.pca_denoise(patches(s, d)).select("vec_id", F.posexplode("f").alias("i", "x")))

@@ -123,15 +123,15 @@ LEAST = 30
 _SHIFT = "sh AS (SELECT a.dx, b.dy FROM (SELECT unnest(range(-4, 5)) AS dx) a CROSS JOIN (SELECT unnest(range(-4, 5)) AS dy) b)"
 query(
     "ncc_shift",
-    f"WITH {RASTER}, {MASKED}, {GRADIENT}, {MAGNITUDE}, {_SHIFT}, j AS (SELECT dx, dy, count(*) AS n, covar_pop(a.v, b.v) / nullif(stddev_pop(a.v) * stddev_pop(b.v), 0) AS score FROM k a CROSS JOIN sh JOIN k b ON b.y = a.y - dy AND b.x = a.x - dx WHERE a.product = 'click' AND b.product = 'view' AND a.v > 0 AND b.v > 0 GROUP BY dx, dy) SELECT dx, dy, n, round(score, 8) AS score FROM j WHERE n >= {LEAST} AND score IS NOT NULL ORDER BY round(score, 8) DESC, dx DESC, dy DESC LIMIT 10",
+    f"WITH {RASTER}, {MASKED}, {GRADIENT}, {MAGNITUDE}, {_SHIFT}, j AS (SELECT dx, dy, count(*) AS n, covar_pop(a.v, b.v) / nullif(stddev_pop(a.v) * stddev_pop(b.v), 0) AS score FROM k a CROSS JOIN sh JOIN k b ON b.y = a.y - dy AND b.x = a.x - dx WHERE a.product = 'click' AND b.product = 'view' AND a.v > 0 AND b.v > 0 GROUP BY dx, dy) SELECT dx::INT AS dx, dy::INT AS dy, n, round(score, 8) AS score FROM j WHERE n >= {LEAST} AND score IS NOT NULL ORDER BY round(score, 8) DESC, dx DESC, dy DESC LIMIT 10",
 )(lambda s, d: shift.best(shift.correlate(stencil.gradient_magnitude(raster(s, d, "click")), stencil.gradient_magnitude(raster(s, d, "view")), 4, LEAST)))
 query(
     "ncc_shift_bands",
-    f"WITH {RASTER}, {_SHIFT}, j AS (SELECT dx, dy, count(*) AS n, covar_pop(a.v, b.v) / nullif(stddev_pop(a.v) * stddev_pop(b.v), 0) AS score FROM r a CROSS JOIN sh JOIN r b ON b.y = a.y - dy AND b.x = a.x - dx WHERE a.product = 'click' AND b.product = 'view' AND a.v > 0 AND b.v > 0 GROUP BY dx, dy) SELECT dx, dy, n, round(score, 6) AS score FROM j WHERE n >= {LEAST} ORDER BY round(score, 6) DESC, dx DESC, dy DESC LIMIT 10",
+    f"WITH {RASTER}, {_SHIFT}, j AS (SELECT dx, dy, count(*) AS n, covar_pop(a.v, b.v) / nullif(stddev_pop(a.v) * stddev_pop(b.v), 0) AS score FROM r a CROSS JOIN sh JOIN r b ON b.y = a.y - dy AND b.x = a.x - dx WHERE a.product = 'click' AND b.product = 'view' AND a.v > 0 AND b.v > 0 GROUP BY dx, dy) SELECT dx::INT AS dx, dy::INT AS dy, n, round(score, 6) AS score FROM j WHERE n >= {LEAST} ORDER BY round(score, 6) DESC, dx DESC, dy DESC LIMIT 10",
 )(lambda s, d: shift.best(shift.correlate_bands(raster(s, d, "click"), raster(s, d, "view"), 4, LEAST, 32), digits=6))
 query(
     "orient_shift",
-    f"WITH {RASTER}, {MASKED}, {GRADIENT}, {ORIENT}, {_SHIFT}, q AS (SELECT * FROM o WHERE sqrt(c * c + s * s) > 1e-9), j AS (SELECT dx, dy, count(*) AS n, avg((a.c * b.c + a.s * b.s) / (sqrt(a.c * a.c + a.s * a.s) * sqrt(b.c * b.c + b.s * b.s))) AS score FROM q a CROSS JOIN sh JOIN q b ON b.y = a.y - dy AND b.x = a.x - dx WHERE a.product = 'click' AND b.product = 'view' GROUP BY dx, dy) SELECT dx, dy, n, round(score, 8) AS score FROM j WHERE n >= {LEAST} ORDER BY round(score, 8) DESC, dx DESC, dy DESC LIMIT 10",
+    f"WITH {RASTER}, {MASKED}, {GRADIENT}, {ORIENT}, {_SHIFT}, q AS (SELECT * FROM o WHERE sqrt(c * c + s * s) > 1e-9), j AS (SELECT dx, dy, count(*) AS n, avg((a.c * b.c + a.s * b.s) / (sqrt(a.c * a.c + a.s * a.s) * sqrt(b.c * b.c + b.s * b.s))) AS score FROM q a CROSS JOIN sh JOIN q b ON b.y = a.y - dy AND b.x = a.x - dx WHERE a.product = 'click' AND b.product = 'view' GROUP BY dx, dy) SELECT dx::INT AS dx, dy::INT AS dy, n, round(score, 8) AS score FROM j WHERE n >= {LEAST} ORDER BY round(score, 8) DESC, dx DESC, dy DESC LIMIT 10",
 )(lambda s, d: shift.best(shift.orientation_scores(stencil.orientation(raster(s, d, "click")).drop("product"), stencil.orientation(raster(s, d, "view")).drop("product"), 4, LEAST)))
 query("histogram_match")(lambda s, d: R.histogram_match(R.normalize_u8(raster(s, d)), "click", "view"))
 query("clahe")(lambda s, d: stencil.equalize_adaptive(R.normalize_u8(raster(s, d)), tiles=4))
