@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -36,7 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or (tests only) one made here."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = "file://" + tempfile.mkdtemp(prefix="tessella-shared-")
+        folder = tempfile.mkdtemp(prefix="tessella-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        configured = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured
 
