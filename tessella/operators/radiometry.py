@@ -33,8 +33,8 @@ def clip_to(v: Column, low: Column, high: Column) -> Column:
 def normalize_masked(df: DataFrame, low: float = 2.0, high: float = 98.0) -> DataFrame:
     """Stretch between percentiles of valid pixels to 0..1; invalid ones become 0. Adds valid."""
     ok = is_valid(V("v"))
-    bounds = percentiles(df, low, high, ["product"], ok).withColumn("low2_", F.when(V("hi_") <= V("lo_"), V("lo_")).otherwise(V("lo_")))
-    bounds = bounds.withColumn("hi_", F.when(V("hi_") <= V("low2_"), V("low2_") + 1.0).otherwise(V("hi_"))).drop("low2_")
+    bounds = percentiles(df, low, high, ["product"], ok)
+    bounds = bounds.withColumn("hi_", F.when(V("hi_") <= V("lo_"), V("lo_") + 1.0).otherwise(V("hi_")))
     scaled = clip((V("v") - V("lo_")) / (V("hi_") - V("lo_")), 0, 1)
     return df.join(bounds, "product").withColumn("valid", ok).withColumn("v", F.when(V("valid"), scaled).otherwise(0.0)).drop("lo_", "hi_")
 

@@ -64,14 +64,12 @@ def parse_labels(texts: DataFrame, key: str = "path", xml: str = "value") -> Dat
     """(key, file_name, data_type, offset, axes, params) of product labels, whatever their namespaces; the last of repeated parameters
     counts; a label with neither an image nor a spectrum array raises."""
     x = V(xml)
-    array = lambda tag: F.size(F.xpath(x, F.lit(f"//*[local-name()='{tag}']"))) > 0
     strings = lambda tag: F.xpath(x, F.lit(_local(tag)))
     last = lambda tag: F.element_at(strings(tag), -1)
     some = lambda tag: F.when(F.size(strings(tag)) > 0, last(tag))
     axes = F.map_from_arrays(F.transform(strings("axis_name"), F.trim), F.transform(strings("elements"), lambda e: F.trim(e).cast("long")))
     params = F.map_from_arrays(F.array(*map(F.lit, MISSION)), F.array(*[F.trim(some(m)) for m in MISSION]))
     checked = F.when(F.assert_true(x.contains("Array_2D_Image") | x.contains("Array_3D_Spectrum"), F.lit("label without an array")).isNull(), F.trim(F.xpath_string(x, F.lit(_local("file_name")))))
-    assert array
     return texts.select(
         key, checked.alias("file_name"), F.trim(F.xpath_string(x, F.lit(_local("data_type")))).alias("data_type"), F.coalesce(F.trim(some("offset")).cast("long"), F.lit(0).cast("long")).alias("offset"), axes.alias("axes"), F.map_filter(params, lambda k, v: v.isNotNull()).alias("params")
     )
