@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import materialize, shuffle_partitions
 from .words import mixed
 
-LOAD = 1 << 21
+LOAD = 1 << 20
 SHARD = 60_000
 FIRST = -(2**63)
 
