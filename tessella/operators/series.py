@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 V = F.col
+RANGES = 256
 
 
 def series_stats(df: DataFrame, fields: list[str], keys: list[str], time: str) -> DataFrame:
@@ -16,27 +17,39 @@ def series_stats(df: DataFrame, fields: list[str], keys: list[str], time: str) -
     )
 
 
-def nearest(targets: DataFrame, records: DataFrame, target: str, value: str, order: str, width: float, rounds: int = 3) -> DataFrame:
-    """Each target with the record whose ``value`` is nearest, the first by ``order`` of equals.
+def nearest(targets: DataFrame, records: DataFrame, target: str, value: str, order: str, width: float = 1.0, rounds: int = 3) -> DataFrame:
+    """Each target with the record whose ``value`` is nearest, the first by ``order`` of equals, however far it lies.
 
-    Both sides are dealt into buckets ``width`` wide and a target looks into its own and the two beside it; targets that find
-    none look again in buckets eight times as wide, and those left after ``rounds`` are compared with one record on each
-    side, found as of their value.
+    The nearest is one of two, the record before and the one after the target by value. A null target has no record.
+    ``width`` and ``rounds``, of an earlier search by buckets, are accepted and have no effect.
     """
-    out, left, size = None, targets, width
-    columns = [c for c in records.columns]
-    for _ in range(rounds):
-        b = records.withColumn("b_", F.floor(V(value) / size))
-        t = left.withColumn("b_", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(V(target) / size) + d)))
-        rank = F.struct(F.abs(V(value) - V(target)).alias("gap"), V(order).alias("order_"))
-        # A hit counts only within one bucket's width: nothing nearer can lie outside the buckets searched.
-        found = t.join(b, "b_").where(F.abs(V(value) - V(target)) <= size).groupBy(*targets.columns).agg(F.min_by(F.struct(*columns), rank).alias("hit"))
-        out = found if out is None else out.unionByName(found)
-        left = left.join(found.select(*targets.columns), targets.columns, "left_anti")
-        size *= 8
-    far = left.join(records.select(F.min_by(F.struct(*columns), F.struct(value, order)).alias("low"), F.max_by(F.struct(*columns), F.struct(V(value), -V(order))).alias("high")))
-    side = F.when(F.abs(V(f"low.{value}") - V(target)) <= F.abs(V(f"high.{value}") - V(target)), V("low")).otherwise(V("high"))
-    return out.unionByName(far.select(*targets.columns, side.alias("hit"))).select(*targets.columns, "hit.*")
+    gap = lambda side: F.abs(V(f"{side}.{value}") - V(target))
+    closer = (gap("low") < gap("high")) | ((gap("low") == gap("high")) & (V(f"low.{order}") <= V(f"high.{order}")))
+    hit = F.when(V("high").isNull() | closer, V("low")).otherwise(V("high")).alias("hit")
+    found = targets.withColumn("at_", V(target).cast("double")).join(_around(targets, records, target, value, order), "at_", "left")
+    return found.select(*targets.columns, hit).select(*targets.columns, "hit.*")
+
+
+def _around(targets: DataFrame, records: DataFrame, target: str, value: str, order: str) -> DataFrame:
+    """(at_, low, high): per distinct target the record of the greatest value up to it, and of the least
+    from it on, or null; the first by ``order`` of equal values.
+
+    Distinct values of both sides are dealt into ``RANGES`` ranges of about equal counts; a range knows the last record before
+    it and the first one after it from one row a range.
+    """
+    hits = records.where(V(value).isNotNull()).groupBy(V(value).cast("double").alias("at_")).agg(F.min_by(F.struct(*records.columns), V(order)).alias("rec"))
+    wanted = targets.where(V(target).isNotNull()).select(V(target).cast("double").alias("at_")).distinct()
+    points = hits.unionByName(wanted.select("at_", F.lit(None).cast(hits.schema["rec"].dataType).alias("rec")))
+    bounds = points.agg(F.percentile_approx("at_", [i / RANGES for i in range(1, RANGES)], 10000).alias("bounds"))  # one row
+    points = points.join(F.broadcast(bounds)).withColumn("range", F.size(F.filter("bounds", lambda x: x < V("at_")))).drop("bounds")
+    ends = points.where(V("rec").isNotNull()).groupBy("range").agg(F.max_by("rec", "at_").alias("last"), F.min_by("rec", "at_").alias("first"))
+    ends = points.sparkSession.range(RANGES).select(V("id").cast("int").alias("range")).join(ends, "range", "left")
+    ranges = Window.orderBy("range")
+    carried = ends.select("range", F.last("last", ignorenulls=True).over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", ignorenulls=True).over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    own = Window.partitionBy("range").orderBy("at_")
+    seen = points.withColumn("low", F.last("rec", ignorenulls=True).over(own.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    seen = seen.withColumn("high", F.first("rec", ignorenulls=True).over(own.rangeBetween(Window.currentRow, Window.unboundedFollowing)))
+    return seen.where(V("rec").isNull()).join(F.broadcast(carried), "range").select("at_", F.coalesce("low", "before").alias("low"), F.coalesce("high", "after").alias("high"))
 
 
 def spacing(df: DataFrame, along: str, across: str, stride: int, distance: Column) -> DataFrame:

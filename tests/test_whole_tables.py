@@ -5,6 +5,7 @@ import pytest
 from compare import SF_DIR
 
 from tessella import plans
+from tessella.operators import series
 from tessella.plans import matching_queries as Q
 from tessella.plans.fixtures import patches
 from tessella.registry import RUNS
@@ -56,3 +57,17 @@ def test_kan_layer_reads_every_row(spark):
             for o in (0, 1):
                 want[o] += base[o, i] * x / (1 + np.exp(-x)) + sum(spline[o, i, k] * v for k, v in enumerate(b))
         assert all(abs(got[r.vec_id, o] - want[o]) < 1e-4 for o in (0, 1))
+
+
+def test_nearest_inside_gaps(spark):
+    records = [(4, 900.0), (0, 1.0), (1, 3.0), (7, 3.0), (2, 5000.0), (3, 5000.0)]
+    targets = [400.0, 451.5, 451.6, 2950.0, 2000.0, 4000.0, 9000.0, -800.0, 3.0]
+    want = {t: min(records, key=lambda r: (abs(r[1] - t), r[0])) for t in targets}
+    args = spark.createDataFrame([(t,) for t in targets], "t double"), spark.createDataFrame(records, "i int, v double"), "t", "v", "i", 1.0
+    for rounds in (2, 3):
+        assert {r.t: (r.i, r.v) for r in series.nearest(*args, rounds).collect()} == want
+    rng = np.random.default_rng(6)
+    values = np.concatenate([rng.uniform(0, 1, 300), rng.uniform(1e6, 1e7, 300), 10 ** rng.uniform(3, 9, 300)]).tolist()
+    wanted = np.concatenate([10 ** rng.uniform(0, 10, 400), -(10 ** rng.uniform(0, 5, 50))]).tolist()
+    got = series.nearest(spark.createDataFrame([(t,) for t in wanted], "t double"), spark.createDataFrame(list(enumerate(values)), "i int, v double"), "t", "v", "i", 1.0)
+    assert {r.t: r.i for r in got.collect()} == {t: min(range(900), key=lambda i: (abs(values[i] - t), i)) for t in wanted}
