@@ -129,8 +129,17 @@ query("series_stats", "SELECT event_type, 'value' AS field, count(*) AS records,
     lambda s, d: T.series_stats(table(s, d, "events"), ["value", "user_id"], ["event_type"], "ts").withColumn("v_median", F.round("v_median", 6))
 )
 query("nearest_lat", "WITH t AS (SELECT o_orderkey, o_totalprice / 1000 AS want FROM orders WHERE o_orderkey % 50 = 0), j AS (SELECT t.o_orderkey, e.event_id, e.value, row_number() OVER (PARTITION BY t.o_orderkey ORDER BY abs(e.value - want), e.event_id) AS r FROM t CROSS JOIN events e) SELECT o_orderkey, event_id, value FROM j WHERE r = 1")(
-    lambda s, d: T.nearest(table(s, d, "orders").where("o_orderkey % 50 = 0").select("o_orderkey", (V("o_totalprice") / 1000).alias("want")), table(s, d, "events").select("event_id", "value"), "want", "value", "event_id", 1.0).select("o_orderkey", "event_id", "value")
+    lambda s, d: _nearest_lat(s, d, table(s, d, "orders").where("o_orderkey % 50 = 0"))
 )
+
+
+def _nearest_lat(s: SparkSession, d: str, orders: DataFrame) -> DataFrame:
+    targets = orders.select("o_orderkey", (V("o_totalprice") / 1000).alias("want"))
+    return T.nearest(targets, table(s, d, "events").select("event_id", "value"), "want", "value", "event_id", 1.0).select("o_orderkey", "event_id", "value")
+
+
+# A record for every order; its SQL would be a cross join of whole tables.
+query("nearest_lat_whole")(lambda s, d: _nearest_lat(s, d, table(s, d, "orders")))
 query("nearest_band", "SELECT s_suppkey, p_partkey FROM (SELECT s_suppkey, p_partkey, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(p_retailprice - s_acctbal), p_partkey) AS r FROM supplier CROSS JOIN part) WHERE r = 1")(
     lambda s, d: T.nearest(table(s, d, "supplier").select("s_suppkey", "s_acctbal"), table(s, d, "part").select("p_partkey", "p_retailprice"), "s_acctbal", "p_retailprice", "p_partkey", 4.0).select("s_suppkey", "p_partkey")
 )

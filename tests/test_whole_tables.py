@@ -7,7 +7,7 @@ from compare import SF_DIR
 from tessella import plans
 from tessella.operators import series
 from tessella.plans import matching_queries as Q
-from tessella.plans.fixtures import patches
+from tessella.plans.fixtures import patches, table
 from tessella.registry import RUNS
 
 plans.load()
@@ -71,3 +71,13 @@ def test_nearest_inside_gaps(spark):
     wanted = np.concatenate([10 ** rng.uniform(0, 10, 400), -(10 ** rng.uniform(0, 5, 50))]).tolist()
     got = series.nearest(spark.createDataFrame([(t,) for t in wanted], "t double"), spark.createDataFrame(list(enumerate(values)), "i int, v double"), "t", "v", "i", 1.0)
     assert {r.t: r.i for r in got.collect()} == {t: min(range(900), key=lambda i: (abs(values[i] - t), i)) for t in wanted}
+
+
+def test_every_order_has_its_nearest_record(spark):
+    events = table(spark, SF_DIR, "events").select("event_id", "value").collect()
+    ids, values = np.array([r.event_id for r in events]), np.array([r.value for r in events], float)
+    order = np.argsort(ids, kind="stable")
+    ids, values = ids[order], values[order]
+    orders = table(spark, SF_DIR, "orders").select("o_orderkey", "o_totalprice").collect()
+    want = {r.o_orderkey: int(ids[np.argmin(abs(values - float(r.o_totalprice) / 1000))]) for r in orders}
+    assert {r.o_orderkey: r.event_id for r in RUNS["nearest_lat_whole"](spark, SF_DIR).collect()} == want
