@@ -72,16 +72,17 @@ def cut_points(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 class LibraryEncoder:
     """Ids as the tokenizers library gives them. Pieces of the pre-tokenizer's pattern are encoded on their own, by the
-    library, and remembered, since the library's model never joins two of them."""
+    library, and remembered, since the library's model never joins two of them. With ``added``, as by the library's default, a
+    token that the definition adds is one id where a text holds it; else it is text like any other."""
 
-    def __init__(self, definition: str, pattern: str):
+    def __init__(self, definition: str, pattern: str, added: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         whole = Tokenizer.from_str(definition)
-        whole.encode_special_tokens = True
+        whole.encode_special_tokens = not added
         tokenize = whole.model.tokenize
         self.width = 2 if whole.get_vocab_size() <= 1 << 16 else 4
         pack = _PACK["H" if self.width == 2 else "I"]
@@ -93,16 +94,24 @@ class LibraryEncoder:
         def piece(p: str) -> bytes:
             return pack([t.id for t in tokenize(p.encode().decode("latin-1").translate(table))])
 
-        self.encode = PatternSplitter(pattern, piece).encode
+        plain = PatternSplitter(pattern, piece).encode
+        contents = [t.content for t in whole.get_added_tokens_decoder().values()] if added else []
 
+        def encode(text: str) -> bytes:
+            if any(c in text for c in contents):
+                return pack(whole.encode(text, add_special_tokens=False).ids)
+            return plain(text)
 
-def encode_entries(docs: DataFrame, definition: str, pattern: str, end_id: int) -> DataFrame:
+        self.encode = encode if contents else plain
+
+
+def encode_entries(docs: DataFrame, definition: str, pattern: str, end_id: int, added: bool = False) -> DataFrame:
     """Chunk and recipe entries of ``docs``; a task leaves out chunks that it has just sent."""
     shared = docs.sparkSession.sparkContext.broadcast(definition)
-    key = fingerprint(definition, pattern)
+    key = fingerprint(definition, pattern, added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = per_worker(key, lambda: LibraryEncoder(shared.value, pattern))
+        own = per_worker(key, lambda: LibraryEncoder(shared.value, pattern, added))
         kind, table = f"<u{own.width}", _table()
         end = np.array([end_id], kind).tobytes()
         sent: set[bytes] = set()
@@ -143,10 +152,10 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def write_store(docs: DataFrame, definition: str, pattern: str, end_id: int) -> dict[str, DataFrame]:
-    """Encode ``docs`` and write the store; the tables that are returned read its files."""
+def write_store(docs: DataFrame, definition: str, pattern: str, end_id: int, added: bool = False) -> dict[str, DataFrame]:
+    """Encode ``docs`` and write the store; the tables that are returned read its files. ``added``: see LibraryEncoder."""
     n = shuffle_partitions(docs.sparkSession)
-    dealt = encode_entries(docs, definition, pattern, end_id).repartition(n, "key")
+    dealt = encode_entries(docs, definition, pattern, end_id, added).repartition(n, "key")
     entries = materialize(dealt.mapInArrow(_once, _ENTRY), ["kind"])
     chunks = entries.where("kind = 'chunk'").select(F.col("key").alias("digest"), "n", "data")
     rows = entries.where("kind = 'recipe'").select("doc_id", F.col("n").alias("n_tokens"), "digests", F.col("data").alias("root"))

@@ -54,3 +54,17 @@ def test_round_trip(spark):
     with pytest.raises(Exception, match="doesn't give"):
         S.read_checksums(broken).collect()
     assert S.read_checksums(S.write_store(docs.limit(0), DEFINITION, P.PATTERN, 2)).count() == 0
+
+
+def test_added_tokens_are_one_id(spark, tmp_path):
+    from tessella.llm import queries
+
+    texts = ["a <|endoftext|> b", "x<|endoftext|><|endoftext|>", "<|endoftext|>", " <|endoftext| >", "plain text", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    library, start = Tokenizer.from_str(DEFINITION), 0
+    assert library.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for r, t in zip(sorted(queries.op6_token_store(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id), texts, strict=True):
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        assert tuple(r)[1:] == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
