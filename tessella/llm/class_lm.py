@@ -7,8 +7,7 @@ same criterion, where its counts are gathered. So all words have a class, and al
 
 A word after a word of class k has the probability (1 - u_k) * (MIX * P(class | k) * P(word | class) + (1 - MIX) * P(word)),
 and a word unseen in training, one event as in the base score, u_k: the share of hapaxes among what follows class k.
-Transitions between two infrequent words are known by the classes of either side; their joint counts are
-estimated as independent.
+Once every word has its class, transitions between classes are counted over all training texts in a pass of their own.
 
 Vocabularies grow with the corpus and are never broadcast. Documents are dealt in blocks by doc_id; a block asks for its
 distinct words bucket by bucket (words are dealt by hash), and the answers, a count and a class a word, meet the block's
@@ -263,7 +262,8 @@ def block_answers(docs: DataFrame, frequent: np.ndarray, own: np.ndarray, table:
 class ClassModel:
     """Log-probabilities from class totals, transitions and unseen shares."""
 
-    def __init__(self, stats: list[tuple[int, int, int, int]], frequent_table: np.ndarray):
+    def __init__(self, stats: list[tuple[int, int, int, int]], frequent_table: np.ndarray, counted: tuple[np.ndarray, np.ndarray] | None = None):
+        """``counted``: transitions and hapaxes of class_transitions; without it they are estimated from ``stats``."""
         width = len(frequent_table)
         k = width - 2
         tables = np.zeros((4, width, width))
@@ -281,6 +281,9 @@ class ClassModel:
         rare_share = after_rare.sum(1) / max(after_rare.sum(), 1)
         rows = moves.sum(1)
         hapax_by_class = np.where(np.arange(width) == k, 0, hapax) + hapax[k] * rare_share
+        if counted:
+            moves, hapax_by_class = counted
+            rows = moves.sum(1)
         self.unseen = np.minimum((hapax_by_class + 0.5) / (rows + 1), 0.5)
         self.moves = moves / np.maximum(rows, 1e-9)[:, None]
         self.other = k
@@ -291,6 +294,39 @@ class ClassModel:
         return np.log10(np.where(counts > 0, (1 - self.unseen[before]) * np.maximum(seen, 1e-300), self.unseen[before]))
 
 
+def _classed(texts: pa.Table, found: pa.Table, buckets: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ends of a block's texts, and of each token its training count, its class and the class before it."""
+    found = found.sort_by("bucket")
+    stream, ends = _Texts().tokens(texts.column("text").to_pylist())
+    names, inverse = np.unique(stream, return_inverse=True)
+    order, _ = _dealt(names, buckets)
+    counts, kinds = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    counts[order] = np.frombuffer(b"".join(x.as_py() for x in found.column("counts")), np.int64)
+    kinds[order] = np.frombuffer(b"".join(x.as_py() for x in found.column("classes")), np.uint8)
+    classes = kinds[inverse]
+    return ends, counts[inverse], classes, np.concatenate([[end], classes[:-1]])
+
+
+def class_transitions(rows: DataFrame, blocks: DataFrame, buckets: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of class after class over all training tokens, and of hapaxes by the class before them."""
+
+    def count(texts: pa.Table, found: pa.Table) -> pa.Table:
+        total = np.zeros(width * (width + 1), np.int64)
+        if texts.num_rows:
+            ends, c, k, before = _classed(texts, found, buckets, width - 1)
+            train = np.repeat(~np.array(texts.column("held_out").to_pylist(), bool), np.diff(ends, prepend=0))
+            total[: width * width] = np.bincount((before * width + k)[train], minlength=width * width)
+            total[width * width :] = np.bincount(before[train & (c == 1)], minlength=width)
+        at = np.flatnonzero(total)
+        return pa.table({"at": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
+
+    out = np.zeros(width * (width + 1))
+    counted = rows.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(count, "at long, n long")
+    for r in counted.groupBy("at").agg(F.sum("n").alias("n")).collect():  # of fixed size
+        out[r.at] = r.n
+    return out[: width * width].reshape(width, width), out[width * width :]
+
+
 def score_documents(docs: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     n = shuffle_partitions(docs.sparkSession)
@@ -305,27 +341,20 @@ def score_documents(docs: DataFrame, frequent: int = FREQUENT, classes: int = CL
     np.add.at(table, (own[:, None], own[None, :]), bigrams)
     answers = materialize(block_answers(rows.select("block", "text", "held_out"), names, own, table, n))
     stats = answers.where("block = -1").groupBy("i", "j", "kind").agg(F.sum("n").alias("n")).collect()  # of fixed size
-    model = docs.sparkSession.sparkContext.broadcast(ClassModel([tuple(r) for r in stats], table))
+    blocks = answers.where("block >= 0").select("block", "bucket", "counts", "classes")
+    counted = class_transitions(rows.select("block", "text", "held_out"), blocks, n, width)
+    model = docs.sparkSession.sparkContext.broadcast(ClassModel([tuple(r) for r in stats], table, counted))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
-        own_model = model.value
-        found = found.sort_by("bucket")
-        stream, ends = _Texts().tokens(texts.column("text").to_pylist())
-        if not len(ends):
+        if not texts.num_rows:
             return schema.empty_table()
-        distinct_names, inverse = np.unique(stream, return_inverse=True)
-        order, _ = _dealt(distinct_names, n)
-        counts, kinds = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        counts[order] = np.frombuffer(b"".join(x.as_py() for x in found.column("counts")), np.int64)
-        kinds[order] = np.frombuffer(b"".join(x.as_py() for x in found.column("classes")), np.uint8)
-        c, k = counts[inverse], kinds[inverse]
-        before = np.concatenate([[own_model.other + 1], k[:-1]])
+        own_model = model.value
+        ends, c, k, before = _classed(texts, found, n, own_model.other + 1)
         starts = np.concatenate([[0], ends[:-1]])
         add = lambda x: np.add.reduceat(x, starts)
         base = np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
         rest = [ends - starts, add((c > 0).astype(np.int64)), np.full(len(ends), tokens), add(base), add(own_model.log10(before, k, c, tokens))]
         return pa.Table.from_arrays([texts.column("doc_id").combine_chunks(), texts.column("held_out").combine_chunks(), *map(pa.array, rest)], schema=schema)
 
-    blocks = answers.where("block >= 0").select("block", "bucket", "counts", "classes")
     return rows.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -64,3 +64,19 @@ def test_probabilities_sum_to_one():
         classes, counts = (np.array(x) for x in zip(*words, strict=True))
         seen = 10 ** model.log10(np.full(4, before), classes, counts, 90)
         assert abs(seen.sum() + model.unseen[before] - 1) < 0.02
+
+
+def test_transitions_are_counted_between_all_words(spark):
+    texts = [("a b a rare", False), ("rare b", False), ("b b b once", True), (None, False)]
+    kinds, counts = {"a": 0, "b": 1, "rare": 2, "once": 0, None: 4}, {"a": 2, "b": 2, "rare": 2, "once": 0, None: 3}
+    named = {w: int(np.maximum(M._Texts().tokens([w or ""])[0][0], 0)) for w in kinds}
+    by_name = sorted(kinds, key=named.get)
+    answer = np.array([counts[w] for w in by_name], np.int64).tobytes(), np.array([kinds[w] for w in by_name], np.uint8).tobytes()
+    rows = spark.createDataFrame([(0, *t) for t in texts], "block int, text string, held_out boolean")
+    moves, hapax = M.class_transitions(rows, spark.createDataFrame([(0, 0, *map(bytearray, answer))], "block int, bucket int, counts binary, classes binary"), 1, 5)
+    want = np.zeros((5, 5))
+    for t, out in texts:
+        line = [None, *(t or "").split(), None]
+        for a, b in zip(line, line[1:], strict=False):
+            want[kinds[a], kinds[b]] += not out
+    assert (moves == want).all() and not hapax.any()
