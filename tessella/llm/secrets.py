@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and of identifiers.
 
-Two models of order two give the log-likelihood of a string as a random secret and as an ordinary identifier. A run of
-key characters whose ratio passes the margin is a secret, unless a pattern has found it already. The models are trained
+Two models of order two give the log-likelihood of a string as a random secret and as an ordinary identifier. In a run of
+key characters the stretch between '=', '/' and the run's ends whose ratio is greatest is a secret if that passes the
+margin, unless a pattern has found it already; what is left on either side of it is searched in the same way. The models are trained
 from labelled samples: seeded random strings over the usual alphabets (secret), and words and identifiers made from words
 of at most ``SAMPLE`` documents of the corpus, those of least hash (ordinary). That bound limits the training sample
 alone; every whole text is scanned.
@@ -29,7 +30,7 @@ from .bpe import with_column
 
 KINDS = ("assign", "access", "hex", "model")
 SAMPLE = 400
-SHORTEST = 20
+SHORTEST = 16
 MARGIN = 8.0
 
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -37,6 +38,7 @@ _HINTS = (b"passw", b"secret", b"token", b"api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _KEY = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
+_PIECE = re.compile(r"[^=/]+")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
@@ -103,6 +105,36 @@ def log_ratio(model: np.ndarray, string: str) -> float:
     return float(model[codes[:-2], codes[1:-1], codes[2:]].sum())
 
 
+def secret_runs(model: np.ndarray, run: str, margin: float) -> list[tuple[int, int]]:
+    """Stretches of a run that pass the margin, best first within what is left. Padding at the end of the run belongs to it."""
+    pieces = [m.span() for m in _PIECE.finditer(run)]
+    if not pieces:
+        return []
+    if run.endswith("="):
+        pieces[-1] = pieces[-1][0], len(run)
+    before = len(_ALPHABET)
+    codes = np.array([before] * 2 + [_ALPHABET.index(c) for c in run])
+    sums = np.concatenate([[0], np.cumsum(model[codes[:-2], codes[1:-1], codes[2:]])])
+    # The first two characters of a stretch have nothing before them, whatever the run has there.
+    opening = {a: float(model[before, before, codes[a + 2]] + model[before, codes[a + 2], codes[a + 3]] - sums[a + 2]) for a, _ in pieces if a + 2 <= len(run)}
+    found, todo = [], [(0, len(pieces))]
+    while todo:
+        lo, hi = todo.pop()
+        best, start, at = None, None, lo
+        for i in range(lo, hi):
+            end = pieces[i][1]
+            while at <= i and end - pieces[at][0] >= SHORTEST:
+                start = at if start is None or opening[pieces[at][0]] > opening[pieces[start][0]] else start
+                at += 1
+            if start is not None:
+                score = opening[pieces[start][0]] + float(sums[end])
+                best = (score, start, i) if best is None or score > best[0] else best
+        if best and best[0] >= margin:
+            found.append((pieces[best[1]][0], pieces[best[2]][1]))
+            todo += [(lo, best[1]), (best[2] + 1, hi)]
+    return sorted(found)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     found = []
     data = text.encode().lower()
@@ -125,9 +157,11 @@ def scan(text: str, model: np.ndarray, margin: float = MARGIN) -> list[tuple[str
         found += [("hex", start + m.start(), start + m.end()) for m in _HEX.finditer(word)]
         if len(word) >= SHORTEST:
             keys += [(start + m.start(), start + m.end()) for m in _KEY.finditer(word)]
-    for a, b in keys:
-        if not any(s < b and a < e for _, s, e in found) and log_ratio(model, text[a:b]) >= margin:
-            found.append(("model", a, b))
+    fixed = list(found)
+    for at, to in keys:
+        for a, b in secret_runs(model, text[at:to], margin):
+            if not any(s < at + b and at + a < e for _, s, e in fixed):
+                found.append(("model", at + a, at + b))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

@@ -53,3 +53,14 @@ def test_documents(spark, model):
     assert S.report(docs).count() == 6 and S.report(docs.limit(0)).count() == 0
     spans = S.find_secrets(docs, model).where("doc_id is null").first().spans
     assert [(s.kind, s.start, s.end) for s in spans] == [("model", 4, 4 + len(key))]
+
+
+def test_secrets_joined_to_ordinary_text(model):
+    keys = [k for k in S.random_secrets(400, seed=21) if not re.search("[=/]", k) and not re.fullmatch("[0-9a-f]+", k) and S.log_ratio(model, k) >= S.MARGIN]
+    assert len(keys) > 100 and any(len(k) < 20 for k in keys)
+    for front in ("", "access_key=", "database_connection_string=", "the/request/handler/account/"):
+        spans = {k: S.scan(front + k, model) for k in keys}
+        assert all(any(kind == "model" and a <= len(front) and b == len(front) + len(k) for kind, a, b in spans[k]) for k in keys)
+    rng = random.Random(98)
+    ordinary = S.identifiers([" ".join(rng.choices(WORDS, k=2000))], 3000, seed=97)
+    assert np.mean([bool(S.scan(x + "=" + y, model)) for x, y in zip(ordinary, ordinary[1:], strict=False)]) < 0.01
