@@ -8,7 +8,8 @@ can reach, its context, is then compared among the places that share the anchor.
 Both exchanges collapse copies before they shuffle: of equal anchors (or equal contexts) that a worker has at hand, it
 settles all but one itself and sends one, so copies by the thousands reach a bucket once per worker's load.
 
-Rows with null doc_id come before all others; repeated rows of one (doc_id, text) are several places.
+Rows with null doc_id (or the least long for one) come before all others; of equal doc_ids the texts' hashes decide, then
+places; repeated rows of one (doc_id, text) are several places.
 """
 
 from __future__ import annotations
@@ -84,18 +85,64 @@ def _loads(batches: Iterator[pa.RecordBatch], units: Callable[[bytes], np.ndarra
         yield rows, parts
 
 
-_CANDIDATES = "d long, th long, pos int"
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, d (doc_id, or the least long), th (hash of the text), text: d and th name a document."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("d"), F.xxhash64("text").alias("th"), "text")
 
 
+def _home(d: np.ndarray, th: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a document, by id and text: rows without an id don't meet in one."""
+    return (mixed(d.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + th.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _packed(columns: dict[str, np.ndarray], to: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One row for each bucket, with the bytes of its entries' columns."""
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+    used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+    some = {c: x[order] for c, x in columns.items()}
+    arrays = [pa.array([x[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary()) for x in some.values()]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *arrays], ["bucket", *some])
+
+
+def _unpacked(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in table.column(name)), kind)
+
+
+_TO_DOCUMENTS = "bucket int, d binary, th binary, a binary, b binary"
+
+
+def _to_documents(d: np.ndarray, th: np.ndarray, a: np.ndarray, b: np.ndarray, buckets: int) -> pa.Table:
+    return pa.Table.from_batches([_packed({"d": d, "th": th, "a": a.astype(np.int32), "b": b.astype(np.int32)}, _home(d, th, buckets), buckets)])
+
+
+def by_document(sent: DataFrame) -> DataFrame:
+    """(d, th, starts, stops), 32-bit integers in bytes: the maximal runs of each document. Runs with equal ends are places."""
+
+    def fold(table: pa.Table) -> pa.Table:
+        d, th, a, b = (_unpacked(table, c, k) for c, k in (("d", np.int64), ("th", np.int64), ("a", np.int32), ("b", np.int32)))
+        order = np.lexsort((b, a, th, d))
+        d, th, a, b = d[order], th[order], a[order].astype(np.int64), b[order].astype(np.int64)
+        new_doc = np.concatenate([[True], (d[1:] != d[:-1]) | (th[1:] != th[:-1])])
+        shift = np.cumsum(new_doc) << 33
+        reached = np.maximum.accumulate(shift + b)
+        new = new_doc | np.concatenate([[True], (shift + a)[1:] > reached[:-1]])
+        if (a == b).all():
+            new = new_doc | np.concatenate([[True], a[1:] != a[:-1]])
+        first = np.flatnonzero(new)
+        starts = a[first].astype(np.int32)
+        stops = (reached[np.append(first[1:], len(a)) - 1] - shift[first]).astype(np.int32)
+        docs = np.flatnonzero(new_doc[first])
+        cuts = [*docs.tolist(), len(first)]
+        pieces = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())
+        return pa.table({"d": d[first][docs], "th": th[first][docs], "starts": pieces(starts), "stops": pieces(stops)})
+
+    return sent.groupBy("bucket").applyInArrow(fold, "d long, th long, starts binary, stops binary")
+
+
 def repeated_anchors(docs: DataFrame, shape: Shape) -> DataFrame:
-    """(d, th, pos) of the anchors found at two or more places."""
+    """(d, th, starts): the documents' places of anchors found at two or more places."""
     buckets = shuffle_partitions(docs.sparkSession)
-    kinds = "bucket int, d binary, th binary, pos binary, h binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = shape.make_units()
@@ -113,125 +160,156 @@ def repeated_anchors(docs: DataFrame, shape: Shape) -> DataFrame:
             h = hashes[at]
             order = np.argsort(h, kind="stable")
             h, d, th, pos = h[order], d[order], th[order], pos[order]
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            first = np.flatnonzero(new)
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             count = np.diff(np.append(first, len(h)))
             several = np.repeat(count > 1, count)
             # What is repeated in this load is a candidate by itself (h = 0 marks it as settled) ...
-            sets = [(np.full(int(several.sum()), 0, np.uint64), d[several], th[several], pos[several])]
+            if several.any():
+                settled = {"d": d[several], "th": th[several], "pos": pos[several], "h": np.zeros(int(several.sum()), np.uint64)}
+                yield _packed(settled, _home(settled["d"], settled["th"], buckets), buckets)
             # ... and one of each anchor goes to its bucket; position -1: the sender needs no answer.
-            sets.append((h[first], d[first], th[first], np.where(count > 1, -1, pos[first]).astype(np.int32)))
-            for i, (hs, ds, ts, ps) in enumerate(sets):
-                to = ((hs >> np.uint64(20)) if i else ds.view(np.uint64)) % np.uint64(buckets)
-                order = np.argsort(to, kind="stable")
-                cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-                out = [(b, ds[o].tobytes(), ts[o].tobytes(), ps[o].tobytes(), hs[o].tobytes()) for b in range(buckets) if len(o := order[cuts[b] : cuts[b + 1]])]
-                if out:
-                    c = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), *[pa.array(x, pa.binary()) for x in c[1:]]], ["bucket", "d", "th", "pos", "h"])
+            asked = {"d": d[first], "th": th[first], "pos": np.where(count > 1, -1, pos[first]).astype(np.int32), "h": h[first]}
+            yield _packed(asked, ((asked["h"] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), buckets)
 
     def meet(table: pa.Table) -> pa.Table:
-        join = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
-        h, d, th, pos = join("h", np.uint64), join("d", np.int64), join("th", np.int64), join("pos", np.int32)
-        settled = h == 0
+        h, d, th, pos = (_unpacked(table, c, k) for c, k in (("h", np.uint64), ("d", np.int64), ("th", np.int64), ("pos", np.int32)))
         order = np.argsort(h, kind="stable")
         hs = h[order]
         first = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
         count = np.diff(np.append(first, len(hs)))
         several = np.zeros(len(h), bool)
         several[order] = np.repeat((np.add.reduceat((pos[order] < 0).astype(np.int64), first) + count) > 1, count)
-        keep = (settled | several) & (pos >= 0)
-        return pa.table({"d": d[keep], "th": th[keep], "pos": pos[keep]})
+        keep = ((h == 0) | several) & (pos >= 0)
+        return _to_documents(d[keep], th[keep], pos[keep], pos[keep], buckets)
 
-    sent = keyed(docs).select("d", "th", "text").mapInArrow(send, kinds)
-    return sent.groupBy("bucket").applyInArrow(meet, _CANDIDATES)
+    sent = keyed(docs).select("d", "th", "text").mapInArrow(send, "bucket int, d binary, th binary, pos binary, h binary")
+    return by_document(sent.groupBy("bucket").applyInArrow(meet, _TO_DOCUMENTS)).select("d", "th", "starts")
 
 
 def with_candidates(docs: DataFrame, shape: Shape, plain) -> DataFrame:
-    """doc_id, d, th, places (sorted, null if none), text (null if there are none) and ``plain(text)``, the columns of
-    a document of which nothing is removed. Whole texts move once."""
-    found = materialize(repeated_anchors(docs, shape))
-    listed = found.groupBy("d", "th").agg(F.array_sort(F.collect_set("pos")).alias("places")).withColumnsRenamed({"d": "c_d", "th": "c_th"})
+    """doc_id, d, th, places (sorted, 32-bit integers in bytes; null if none), text (null if there are none) and ``plain(text)``, the
+    columns of a document of which nothing is removed. Whole texts move once."""
+    listed = repeated_anchors(docs, shape).withColumnsRenamed({"d": "c_d", "th": "c_th", "starts": "places"})
     rows = keyed(docs)
     joined = rows.join(listed.hint("merge"), (rows.d == F.col("c_d")) & (rows.th == F.col("c_th")), "left")
     needed = F.when(F.col("places").isNotNull(), F.col("text")).alias("text")
     return materialize(joined.select("doc_id", "d", "th", "places", needed, *plain))
 
 
-def contexts(rows: DataFrame, shape: Shape, solve: Callable[[pa.Table], pa.Table], *, distinct_rows: bool) -> DataFrame:
-    """(d, th, start, stop): runs of units to remove, from the contexts of the candidates in ``rows``.
-
-    Of equal contexts in a load the first (by d and place) goes to its bucket; the others are settled, as whole contexts
-    that are repeated and not first. ``solve`` gets a bucket's contexts (h, units, lead, d, th, pos, copies: 2 if the load
-    had several) and gives their runs. ``distinct_rows``: repeated rows of one document are one place.
+def with_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """``rows`` with the starts and stops of their runs (null: none)."""
+    runs = materialize(runs).withColumnsRenamed({"d": "r_d", "th": "r_th"})
+    return rows.join(runs.hint("merge"), (rows.d == F.col("r_d")) & (rows.th == F.col("r_th")), "left")
+
+
+def runs_of(row: dict) -> list[tuple[int, int]]:
+    return list(zip(*(np.frombuffer(row[c] or b"", np.int32).tolist() for c in ("starts", "stops")), strict=True))
+
+
+@dataclass
+class Contexts:
+    """Contexts side by side. ``units``: a row each, the gram at column ``reach``, zero beyond the document; ``lead`` and ``size``:
+    units before the gram and in all; ``copies``: 2 if the load had several; d, th, pos: the place of the first."""
+
+    h: np.ndarray
+    units: np.ndarray
+    lead: np.ndarray
+    size: np.ndarray
+    copies: np.ndarray
+    d: np.ndarray
+    th: np.ndarray
+    pos: np.ndarray
+
+    def take(self, at) -> Contexts:
+        return Contexts(*(x[at] for x in vars(self).values()))
+
+
+_KINDS = {"h": np.uint64, "lead": np.uint8, "size": np.uint8, "copies": np.uint8, "d": np.int64, "th": np.int64, "pos": np.int32}
+
+
+def gathered(load: list[tuple[pa.RecordBatch, int]], parts: list[np.ndarray], shape: Shape) -> Contexts:
+    """The contexts of a load's candidates, by (d, th, pos)."""
+    keys = [tuple(batch.column(c)[i].as_py() for c in ("d", "th")) for batch, i in load]
+    by = sorted(range(len(load)), key=keys.__getitem__)
+    at = [np.frombuffer(load[i][0].column("places")[load[i][1]].as_py(), np.int32) for i in by]
+    count = [len(x) for x in at]
+    size = np.array([len(parts[i]) for i in by])
+    reach, width = shape.reach, 2 * shape.reach + shape.gram
+    begin = np.cumsum(size + reach) - size  # blanks between documents keep contexts apart
+    joined = np.zeros(int(begin[-1] + size[-1]) + width, parts[0].dtype)
+    for b, i in zip(begin.tolist(), by, strict=True):
+        joined[b : b + len(parts[i])] = parts[i]
+    doc = np.repeat(np.arange(len(by)), count)
+    pos = np.concatenate(at)
+    lead, after = np.minimum(pos, reach), np.minimum(size[doc] - pos, shape.window)
+    wide = lead + after >= shape.window
+    doc, pos, lead, after = doc[wide], pos[wide], lead[wide], after[wide]
+    here = begin[doc] + pos
+    units = joined[(here - reach)[:, None] + np.arange(width)]
+    columns = np.arange(width)
+    units[(columns < (reach - lead)[:, None]) | (columns >= (reach + after)[:, None])] = 0
+    d, th = (np.array([keys[i][c] for i in by], np.int64)[doc] for c in (0, 1))
+    h = mixed(shape.gram_hashes(joined)[here]) if len(here) else np.empty(0, np.uint64)
+    return Contexts(h, units, lead.astype(np.uint8), (lead + after).astype(np.uint8), np.ones(len(pos), np.uint8), d, th, pos.astype(np.int32))
+
+
+def equal_contexts(of: Contexts) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of classes of equal contexts, and the first of each class."""
+    rows = np.ascontiguousarray(np.concatenate([of.units.view(np.uint8).reshape(len(of.h), -1), of.lead[:, None], of.size[:, None]], 1))
+    _, first, inverse = np.unique(rows.view(np.dtype((np.void, rows.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    return inverse, first
+
+
+def contexts(rows: DataFrame, shape: Shape, solve: Callable[[Contexts], tuple[np.ndarray, np.ndarray, np.ndarray]], *, distinct_rows: bool, load: int) -> DataFrame:
+    """(d, th, starts, stops): maximal runs of units to remove, from the contexts of the candidates in ``rows``.
+
+    Of equal contexts in a load of ``load`` units the first (by d, th and place) goes to its bucket; the others are settled, as
+    whole contexts that are repeated and not first. ``solve`` gets whole groups of one anchor and gives the hit contexts and
+    the starts and stops of their runs. ``distinct_rows``: repeated rows of one document are one place.
     """
     buckets = shuffle_partitions(rows.sparkSession)
-    # The exchange carries contexts and settled runs alike: the latter have a null h, and start and stop as lead and pos.
-    kinds = "bucket int, h long, units binary, lead int, d long, th long, pos int, copies int"
+    dtype = shape.make_units()(b"").dtype
+    width = 2 * shape.reach + shape.gram
+    names = [*_KINDS, "units"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = shape.make_units()
-        for load, parts in _loads(batches, units, LOAD // 2):
-            seen: dict[tuple[int, bytes], list] = {}
-            out: list[tuple] = []
-            for (batch, i), u in sorted(zip(load, parts, strict=True), key=lambda x: (x[0][0].column("d")[x[0][1]].as_py(), x[0][0].column("th")[x[0][1]].as_py())):
-                d, th = batch.column("d")[i].as_py(), batch.column("th")[i].as_py()
-                at = np.array(batch.column("places")[i].as_py(), np.int64)
-                starts, stops = np.maximum(at - shape.reach, 0), np.minimum(at + shape.window, len(u))
-                hashes = mixed(shape.gram_hashes(u)[at]).view(np.int64)
-                for p, a, b, h in zip(at.tolist(), starts.tolist(), stops.tolist(), hashes.tolist(), strict=True):
-                    if b - a < shape.window:
-                        continue
-                    key = (p - a, u[a:b].tobytes())
-                    known = seen.get(key)
-                    if known is None:
-                        seen[key] = known = [h % buckets, h, key[1], p - a, d, th, p, 1]
-                    elif distinct_rows and (d, th, p) == (known[4], known[5], known[6]):
-                        continue
-                    else:
-                        known[7] = 2
-                        out.append((d % buckets, None, None, a, d, th, b, 0))
-                if len(seen) > 200_000:
-                    out += map(tuple, seen.values())
-                    seen = {}
-                if len(out) > 20_000:
-                    yield _entries(out)
-                    out = []
-            out += map(tuple, seen.values())
-            for k in range(0, len(out), 20_000):
-                yield _entries(out[k : k + 20_000])
+        for some, parts in _loads(batches, shape.make_units(), load):
+            found = gathered(some, parts, shape)
+            if not len(found.h):
+                continue
+            inverse, first = equal_contexts(found)
+            later = first[inverse] != np.arange(len(inverse))
+            if distinct_rows:
+                later &= (found.d != found.d[first[inverse]]) | (found.th != found.th[first[inverse]]) | (found.pos != found.pos[first[inverse]])
+            copies = np.bincount(inverse[later], minlength=len(first)) > 0
+            open_ = found.take(first)
+            open_.copies = np.where(copies, 2, 1).astype(np.uint8)
+            yield _packed({c: getattr(open_, c) for c in names}, (open_.h % np.uint64(buckets)).astype(np.int64), buckets)
+            if later.any():  # settled runs, without units: start and stop stand in the places of pos and h
+                of = found.take(later)
+                start = of.pos - of.lead
+                run = {"h": (start + of.size).astype(np.uint64), **dict.fromkeys(("lead", "size", "copies", "units"), np.empty((len(start), 0), np.uint8)), "d": of.d, "th": of.th, "pos": start.astype(np.int32)}
+                yield _packed({c: run[c] for c in names}, _home(of.d, of.th, buckets), buckets)
 
     def meet(table: pa.Table) -> pa.Table:
-        settled = table.filter(pc.is_null(table.column("h"))).select(["d", "th", "lead", "pos"]).rename_columns(["d", "th", "start", "stop"])
-        open_ = table.filter(pc.is_valid(table.column("h")))
-        schema = pa.schema([("d", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
-        parts = [settled.cast(schema)]
-        if open_.num_rows:
-            open_ = open_.sort_by("h")
-            h = open_.column("h").to_numpy()
-            firsts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            cuts = [0]  # parts of whole groups, so that little is held at once
-            for f in [*firsts.tolist(), len(h)]:
-                if f - cuts[-1] >= SHARD or f == len(h):
-                    cuts.append(f)
-            parts += [solve(open_.slice(a, b - a)).cast(schema) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
-        return pa.concat_tables(parts)
-
-    sent = rows.where("places is not null").select("d", "th", "places", "text").mapInArrow(send, kinds)
-    return sent.groupBy("bucket").applyInArrow(meet, "d long, th long, start int, stop int")
-
-
-def _entries(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["bucket", "h", "units", "lead", "d", "th", "pos", "copies"])
-
-
-def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of a union of runs."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(runs):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
+        settled = pa.array([not x.as_py() for x in table.column("units")], pa.bool_())
+        done, rest = table.filter(settled), table.filter(pc.invert(settled))
+        out = [[_unpacked(done, c, _KINDS[c]).astype(k) for c, k in (("d", np.int64), ("th", np.int64), ("pos", np.int32), ("h", np.int32))]]
+        if rest.num_rows:
+            c = {name: _unpacked(rest, name, kind) for name, kind in _KINDS.items()}
+            units = _unpacked(rest, "units", dtype).reshape(-1, width)
+            order = np.argsort(c["h"], kind="stable")
+            hs = c["h"][order]
+            firsts = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
+            at = 0
+            for f in [*firsts[1:].tolist(), len(hs)]:  # shards of whole groups, so that little is held at once
+                if f - at >= SHARD or f == len(hs):
+                    o = order[at:f]
+                    of = Contexts(hs[at:f], units[o], *(c[x][o] for x in ("lead", "size", "copies", "d", "th", "pos")))
+                    hit, start, stop = solve(of)
+                    out.append([of.d[hit], of.th[hit], start, stop])
+                    at = f
+        return _to_documents(*(np.concatenate(x) for x in zip(*out, strict=True)), buckets)
+
+    sent = rows.where("places is not null").select("d", "th", "places", "text").mapInArrow(send, "bucket int, " + ", ".join(f"{c} binary" for c in names))
+    return by_document(sent.groupBy("bucket").applyInArrow(meet, _TO_DOCUMENTS))

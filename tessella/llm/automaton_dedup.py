@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Shape, contexts, merged, with_candidates
+from .anchors import Contexts, Shape, contexts, equal_contexts, runs_of, with_candidates, with_runs
 from .words import WordHasher, run_hashes
 
-WINDOW, GRAM = 35, 12
+WINDOW, GRAM, LOAD = 35, 12, 1 << 19
 
 
 class SuffixAutomaton:
@@ -111,24 +111,27 @@ def solve_words(shape: Shape):
     """The solver of contexts: runs of repeated windows."""
     window = shape.window
 
-    def solve(table: pa.Table) -> pa.Table:
-        h, lead, pos, copies = (table.column(c).to_numpy() for c in ("h", "lead", "pos", "copies"))
-        units = table.column("units").to_pylist()
-        rows, starts, stops = [], [], []
-        cuts = [*np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])).tolist(), len(h)]
+    def solve(of: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hits, starts, stops = [], [], []
+        pos, lead, size, copies = (x.astype(np.int64).tolist() for x in (of.pos, of.lead, of.size, of.copies))
+        same, _ = equal_contexts(of)
+        same = same.tolist()
+        cuts = [*np.flatnonzero(np.concatenate([[True], of.h[1:] != of.h[:-1]])).tolist(), len(of.h)]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            shard: dict[tuple[int, bytes], list[int]] = {}
+            shard: dict[int, list[int]] = {}
             for i in range(a, b):
-                shard.setdefault((int(lead[i]), units[i]), []).append(i)
+                shard.setdefault(same[i], []).append(i)
+            places = {u: sum(copies[i] for i in at) for u, at in shard.items()}
             runs = {}
-            places = {u: int(copies[at].sum()) for u, at in shard.items()}
             if len(shard) == 1:
-                runs = {u: (0, len(u[1]) // 8) for u in shard if places[u] > 1}
+                runs = {u: (0, size[at[0]]) for u, at in shard.items() if places[u] > 1}
             else:
-                automaton, words = SuffixAutomaton(), {u: np.frombuffer(u[1], np.uint64).tolist() for u in shard}
-                for u in shard:  # the anchor's first word is marked: a window then meets itself in one context only
-                    words[u][u[0]] += 1 << 64
-                for u in shard:
+                automaton, words = SuffixAutomaton(), {}
+                for u, at in shard.items():
+                    i = at[0]
+                    begin = shape.reach - lead[i]
+                    words[u] = of.units[i, begin : begin + size[i]].tolist()
+                    words[u][lead[i]] += 1 << 64  # the anchor's first word is marked: a window meets itself in one context only
                     automaton.add(words[u], places[u])
                 automaton.count()
                 for u in shard:
@@ -136,11 +139,10 @@ def solve_words(shape: Shape):
                         runs[u] = (ends[0] - window, ends[-1])
             for u, (s, e) in runs.items():
                 for i in shard[u]:
-                    rows.append(i)
+                    hits.append(i)
                     starts.append(pos[i] - lead[i] + s)
                     stops.append(pos[i] - lead[i] + e)
-        d, th = (table.column(c).to_numpy()[rows] if rows else np.empty(0, np.int64) for c in ("d", "th"))
-        return pa.table({"d": d, "th": th, "start": np.array(starts, np.int32), "stop": np.array(stops, np.int32)})
+        return np.array(hits, np.int64), np.array(starts, np.int64), np.array(stops, np.int64)
 
     return solve
 
@@ -149,9 +151,7 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
     """doc_id, n_words, n_removed, kept_sha256, spans (word runs removed), kept (words joined by blanks; null: all)."""
     shape = word_shape(window, gram)
     rows = with_candidates(docs, shape, [F.when(F.col("places").isNull(), F.coalesce(F.col("text"), F.lit(""))).alias("plain")])
-    runs = contexts(rows, shape, solve_words(shape), distinct_rows=False)
-    listed = runs.groupBy(F.col("d").alias("r_d"), F.col("th").alias("r_th")).agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
-    joined = rows.join(listed.hint("merge"), (rows.d == F.col("r_d")) & (rows.th == F.col("r_th")), "left")
+    joined = with_runs(rows, contexts(rows, shape, solve_words(shape), distinct_rows=False, load=LOAD))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,stop:int>>, kept string"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +160,7 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
                 out = []
                 for r in part.to_pylist():
                     words = (r["plain"] if r["text"] is None else r["text"]).encode().split()
-                    runs_ = merged([(x["start"], x["stop"]) for x in r["runs"] or []])
+                    runs_ = runs_of(r)
                     n = len(words)
                     for a, b in reversed(runs_):
                         del words[a:b]
@@ -168,7 +168,7 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
                     out.append({"doc_id": r["doc_id"], "n_words": n, "n_removed": n - len(words), "kept_sha256": hashlib.sha256(kept).hexdigest(), "spans": [{"start": a, "stop": b} for a, b in runs_], "kept": kept.decode() if runs_ else None})
                 yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
 
-    return joined.select("doc_id", "text", "plain", "runs").mapInArrow(cut, schema)
+    return joined.select("doc_id", "text", "plain", "starts", "stops").mapInArrow(cut, schema)
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("kept", pa.string())])

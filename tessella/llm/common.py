@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,9 +36,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (tests only) one made here."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master may do without; one is made for it here."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tessella-shared-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         configured = f"file://{folder}"
@@ -45,11 +49,14 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+_SCOPES: list[list[str]] = []
+
+
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor re-reads the files. The files also give Catalyst true sizes, so
-    that it broadcasts a side only when that side is small.
+    that it broadcasts a side only when that side is small. Shuffles that only fed this table are released.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella/{uuid.uuid4().hex}"
@@ -57,11 +64,46 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    spark.sparkContext._jvm.java.lang.System.gc()  # the cleaner drops shuffle files of plans that nothing refers to
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that materialize() gave and that nothing will read again."""
+    for table in tables:
+        _delete(table.sparkSession, table.written_to)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside go at the end, but for those passed through the function that it gives."""
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table.written_to)
+        return table
+
+    _SCOPES.append([])
+    try:
+        yield keep
+    finally:
+        mine = _SCOPES.pop()
+        for path in mine:
+            if path not in kept:
+                _delete(spark, path)
+        if _SCOPES:
+            _SCOPES[-1].extend(p for p in mine if p in kept)
 
 
 def cleanup(spark: SparkSession) -> None:
     """Remove every table that materialize() wrote into the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessella")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/tessella")

@@ -12,7 +12,8 @@ files. Removal is judged on the input: a byte goes if a window over it also star
 document and earlier start).
 
 Defined results: a null text is empty; a null doc_id comes before all others; repeated rows (same doc_id and text) are one
-place and share their result; texts shorter than a window stay; other columns are ignored; an empty table gives an empty result.
+place and share their result; of several texts under one doc_id
+that of the least hash comes first; texts shorter than a window stay; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Shape, contexts, merged, with_candidates
+from .anchors import Contexts, Shape, contexts, runs_of, with_candidates, with_runs
 from .words import mixed
 
-WINDOW, GRAM = 100, 32
+WINDOW, GRAM, LOAD = 100, 32, 1 << 21
 
 
 def _gram_hashes(units: np.ndarray, gram: int) -> np.ndarray:
@@ -101,23 +102,21 @@ def solve_bytes(shape: Shape):
     """The solver of a shard: runs that are repeated and not first."""
     reach, window = shape.reach, shape.window
 
-    def solve(table: pa.Table) -> pa.Table:
-        n = table.num_rows
-        lead, d, pos = (table.column(c).to_numpy() for c in ("lead", "d", "pos"))
-        blobs = table.column("units").to_pylist()
-        size = np.fromiter(map(len, blobs), np.int64, n)
-        begin = np.cumsum(size) - size
-        row = np.repeat(np.arange(n), size)
-        matrix = np.zeros((2 * reach + shape.gram, n), np.uint16)
-        matrix[np.arange(size.sum()) - begin[row] + (reach - lead)[row], row] = np.frombuffer(b"".join(blobs), np.uint8).astype(np.uint16) + 1
-        by_place = np.lexsort((pos, d))
-        new = np.concatenate([[False], (d[by_place][1:] != d[by_place][:-1]) | (pos[by_place][1:] != pos[by_place][:-1])])
-        rank = np.empty(n, np.int64)
+    def solve(of: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        columns = np.arange(2 * reach + shape.gram)[:, None]
+        begin = reach - of.lead.astype(np.int64)
+        end = begin + of.size
+        matrix = np.where((columns >= begin) & (columns < end), of.units.T.astype(np.uint16) + 1, 0).astype(np.uint16)
+        by_place = np.lexsort((of.pos, of.th, of.d))
+        new = np.zeros(len(by_place), bool)
+        for x in (of.d[by_place], of.th[by_place], of.pos[by_place]):
+            new[1:] |= x[1:] != x[:-1]
+        rank = np.empty(len(by_place), np.int64)
         rank[by_place] = np.cumsum(new)
-        low, high = later_windows(matrix, rank, reach - lead, reach - lead + size, window, reach)
-        hit = low >= 0
-        start = (pos - reach + low)[hit].astype(np.int32)
-        return pa.table({"d": d[hit], "th": table.column("th").to_numpy()[hit], "start": start, "stop": (pos - reach + high + window)[hit].astype(np.int32)})
+        low, high = later_windows(matrix, rank, begin, end, window, reach)
+        hit = np.flatnonzero(low >= 0)
+        zero = of.pos[hit] - reach
+        return hit, zero + low[hit], zero + high[hit] + window
 
     return solve
 
@@ -128,9 +127,7 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = [F.octet_length(text).cast("long").alias("n_bytes"), F.when(F.col("places").isNull(), F.sha2(F.encode(text, "UTF-8"), 256)).alias("plain_sha256")]
     rows = with_candidates(docs, shape, plain)
-    runs = contexts(rows, shape, solve_bytes(shape), distinct_rows=True)
-    listed = runs.groupBy(F.col("d").alias("r_d"), F.col("th").alias("r_th")).agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
-    joined = rows.join(listed.hint("merge"), (rows.d == F.col("r_d")) & (rows.th == F.col("r_th")), "left")
+    joined = with_runs(rows, contexts(rows, shape, solve_bytes(shape), distinct_rows=True, load=LOAD))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,stop:int>>, kept binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +135,7 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 out = []
                 for r in part.to_pylist():
-                    runs_, sha = merged([(x["start"], x["stop"]) for x in r["runs"] or []]), r["plain_sha256"]
+                    runs_, sha = runs_of(r), r["plain_sha256"]
                     kept = None
                     if sha is None:
                         data, at, pieces = (r["text"] or "").encode(), 0, []
@@ -151,7 +148,7 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
                     out.append({"doc_id": r["doc_id"], "n_bytes": r["n_bytes"], "n_removed": sum(b - a for a, b in runs_), "n_spans": len(runs_), "kept_sha256": sha, "spans": [{"start": a, "stop": b} for a, b in runs_], "kept": kept})
                 yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
 
-    return joined.select("doc_id", "n_bytes", "plain_sha256", "text", "runs").mapInArrow(cut, schema)
+    return joined.select("doc_id", "n_bytes", "plain_sha256", "text", "starts", "stops").mapInArrow(cut, schema)
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("kept", pa.binary())])

@@ -183,6 +183,27 @@ def test_byte_spans(spark):
     assert suffix_dedup.dedup_bytes(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    for _ in range(4):
+        head = text(300)
+        rows = [(5, head + text(400)), (5, head + text(400)), (9, text(50) + head)]
+        got = sorted((r.doc_id, r.n_removed) for r in suffix_dedup.dedup_bytes(frame(spark, rows)).collect())
+        assert got == [(5, 0), (5, 300), (9, 300)]
+
+
+def test_a_passage_in_many_surroundings(spark):
+    rng = random.Random(6)
+    words = lambda n: " ".join(f"w{rng.randrange(50)}" for _ in range(n))
+    passage = words(50)
+    rows = [(i, f"{words(rng.randint(0, 12))} {passage} {words(rng.randint(0, 12))}") for i in range(400)]
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in automaton_dedup.dedup_words(frame(spark, rows)).collect()]
+    assert sorted(got) == sorted(brute_words(rows, 35))
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_bytes(frame(spark, rows)).collect()]
+    assert sorted(got) == sorted(brute_bytes(rows, 100))
+
+
 def test_suffixes_are_sorted_column_by_column():
     import numpy as np
 
