@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run()
 writes each stage's rows into the shared folder and reads them again as the next one's documents, so a lost executor
-never reaches back over more than one stage. Stages take null texts, sources and doc_ids as their operators define.
+never reaches back over more than one stage; what a stage wrote for itself goes with it. Stages take null texts, sources and doc_ids as their operators define.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import block_dedup, bpe, mixing, near_dups, quality
-from tessella.llm.common import documents, materialize
+from tessella.llm.common import discard, documents, materialize, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +53,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES):
+        with scratch(spark) as keep:
+            after = keep(materialize(stage(spark, docs, sf_dir)))
+        if i:
+            discard(docs)
+        docs = after
     return docs
