@@ -50,23 +50,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _SCOPES: list[list[str]] = []
+#: Spark's setting by which a query's shuffle files go when it ends, not when the driver happens to collect garbage.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor re-reads the files. The files also give Catalyst true sizes, so
-    that it broadcasts a side only when that side is small. Shuffles that only fed this table are released.
+    that it broadcasts a side only when that side is small. Shuffles that fed this table are released.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_FREE, before) if before is not None else spark.conf.unset(_FREE)
     if _SCOPES:
         _SCOPES[-1].append(path)
-    spark.sparkContext._jvm.java.lang.System.gc()  # the cleaner drops shuffle files of plans that nothing refers to
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
