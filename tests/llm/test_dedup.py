@@ -111,6 +111,31 @@ def test_many_near_copies_are_one_component(spark):
     assert near_dups.near_components(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_comparisons_grow_with_the_number_of_near_copies(spark, monkeypatch):
+    compared = []
+    verified = near_dups.verified
+
+    def counted(pairs, *rest):
+        compared[-1] += pairs.count()
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(near_dups, "verified", counted)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(100)]
+    for n in (200, 800):
+        rows = []
+        for i in range(n):
+            w = list(base)
+            for _ in range(2):
+                w[rng.randrange(100)] = f"new{rng.randint(0, 10**6)}"
+            rows.append((i, " ".join(w)))
+        compared.append(0)
+        got = near_dups.near_components(frame(spark, rows), 4, 85).collect()
+        if n == 200:
+            assert sorted(map(tuple, got)) == sorted(brute_components(rows, 4, 85))
+    assert compared[0] < 5 * 200 and compared[1] < 5 * 800
+
+
 def brute_words(rows, window):
     places, out = {}, []
     for n, (_, t) in enumerate(rows):
