@@ -54,14 +54,9 @@ _SCOPES: list[list[str]] = []
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts the lineage: a lost executor re-reads the files. The files also give Catalyst true sizes, so
-    that it broadcasts a side only when that side is small. Shuffles that fed this table are released.
-    """
+def write(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """Write ``df`` as Parquet; the shuffles that fed it are released."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessella/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -71,6 +66,17 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
         writer.parquet(path)
     finally:
         spark.conf.set(_FREE, before) if before is not None else spark.conf.unset(_FREE)
+
+
+def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back.
+
+    This cuts the lineage: a lost executor re-reads the files. The files also give Catalyst true sizes, so
+    that it broadcasts a side only when that side is small.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tessella/{uuid.uuid4().hex}"
+    write(df, path, partition_by)
     if _SCOPES:
         _SCOPES[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -78,7 +84,7 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
@@ -86,7 +92,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def discard(*tables: DataFrame) -> None:
     """Remove tables that materialize() gave and that nothing will read again."""
     for table in tables:
-        _delete(table.sparkSession, table.written_to)
+        delete(table.sparkSession, table.written_to)
 
 
 @contextmanager
@@ -105,11 +111,11 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         mine = _SCOPES.pop()
         for path in mine:
             if path not in kept:
-                _delete(spark, path)
+                delete(spark, path)
         if _SCOPES:
             _SCOPES[-1].extend(p for p in mine if p in kept)
 
 
 def cleanup(spark: SparkSession) -> None:
     """Remove every table that materialize() wrote into the shared folder."""
-    _delete(spark, f"{shared_dir(spark)}/tessella")
+    delete(spark, f"{shared_dir(spark)}/tessella")

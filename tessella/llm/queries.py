@@ -38,8 +38,8 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         definition = file.read()
-    store = token_store.write_store(documents(spark, sf_dir), definition, public_tokenizers.PATTERN, end_id=2, added=True)
-    return token_store.read_checksums(store)
+    path = token_store.write_store(documents(spark, sf_dir), definition, public_tokenizers.PATTERN, end_id=2, added=True)
+    return token_store.read_checksums(token_store.open_store(spark, path))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

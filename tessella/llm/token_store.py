@@ -3,13 +3,13 @@
 Each document's ids (with the end id) are cut where a rolling hash over the last ids hits a pattern, so equal passages
 give equal chunks wherever they stand. A unique chunk is stored once under the digest of its bytes; a document is a
 recipe, the list of its chunks' digests, under the root of a Merkle tree over them; recipes lie in ascending doc_id order
-in range files, and the manifest has a root per file over its recipes' roots. Reading back checks each chunk against its
-digest and each recipe against its root and length.
+in range files, and the manifest has a root per file, that of the tree over its recipes' roots. Reading back checks the
+recipes against the manifest, each recipe against its root and length, and each chunk against its digest.
 
 Workers drop chunks that they have sent already, so a chunk that very many documents share reaches its bucket a few times
 only. A document's checksum is combined from its chunks' checksums, so reading back moves no ids between machines.
 
-Files: chunks (digest, n, data: little-endian unsigned integers of ``width`` bytes), recipes (doc_id, start, n_tokens,
+Files: chunks (key: the digest, n, data: little-endian unsigned integers of ``width`` bytes), recipes (doc_id, start, n_tokens,
 digests, root, part), manifest (part, docs, tokens, width, root); all Parquet.
 
 Defined results: a null text is empty and has the end id alone; null doc_ids come first; rows with equal doc_id are
@@ -19,17 +19,20 @@ separate recipes, ordered by root; other columns are not stored; an empty table
 from __future__ import annotations
 
 import hashlib
+import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import _PACK, PatternSplitter, fingerprint, per_worker, slices
-from .common import materialize, shuffle_partitions
+from .common import delete, materialize, scratch, shared_dir, shuffle_partitions, write
 
 WINDOW, MASK, LONGEST = 16, 0x1FF, 8192
 _ENTRY = "kind string, key binary, doc_id long, n long, digests array<binary>, data binary"
@@ -91,8 +94,13 @@ class LibraryEncoder:
         hidden = [b for b in range(256) if chr(b) not in signs]
         table = dict(zip(hidden, sorted(x for x in signs if ord(x) > 255), strict=True))
 
+        blank = table[32]
+        packs = [struct.Struct(f"<{n}{'H' if self.width == 2 else 'I'}").pack for n in range(64)]
+
         def piece(p: str) -> bytes:
-            return pack([t.id for t in tokenize(p.encode().decode("latin-1").translate(table))])
+            signs = p.replace(" ", blank) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(table)
+            ids = [t.id for t in tokenize(signs)]
+            return packs[len(ids)](*ids) if len(ids) < 64 else pack(ids)
 
         plain = PatternSplitter(pattern, piece).encode
         contents = [t.content for t in whole.get_added_tokens_decoder().values()] if added else []
@@ -112,6 +120,7 @@ def encode_entries(docs: DataFrame, definition: str, pattern: str, end_id: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = per_worker(key, lambda: LibraryEncoder(shared.value, pattern, added))
+        place, recipes = TaskContext.get().partitionId(), 0
         kind, table = f"<u{own.width}", _table()
         end = np.array([end_id], kind).tobytes()
         sent: set[bytes] = set()
@@ -131,8 +140,9 @@ def encode_entries(docs: DataFrame, definition: str, pattern: str, end_id: int,
                             sent.clear()
                         sent.add(name)
                         rows.append(("chunk", name, None, len(piece) // own.width, None, piece))
-                root = merkle_root(names)
-                rows.append(("recipe", root + str(doc).encode(), doc, len(data) // own.width, names, root))
+                # The key of a recipe deals it out and is its own; it depends on the task's place only, not on the attempt.
+                recipes += 1
+                rows.append(("recipe", digest(f"{place}/{recipes}".encode()), doc, len(data) // own.width, names, merkle_root(names)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["kind", "key", "doc_id", "n", "digests", "data"])
@@ -140,44 +150,59 @@ def encode_entries(docs: DataFrame, definition: str, pattern: str, end_id: int,
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ENTRY)
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[bytes] = set()
-    for batch in batches:
-        keep = []
-        for kind, key in zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist(), strict=True):
-            new = kind != "chunk" or key not in seen
-            if new and kind == "chunk":
-                seen.add(key)
-            keep.append(new)
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
-def write_store(docs: DataFrame, definition: str, pattern: str, end_id: int, added: bool = False) -> dict[str, DataFrame]:
-    """Encode ``docs`` and write the store; the tables that are returned read its files. ``added``: see LibraryEncoder."""
-    n = shuffle_partitions(docs.sparkSession)
-    dealt = encode_entries(docs, definition, pattern, end_id, added).repartition(n, "key")
-    entries = materialize(dealt.mapInArrow(_once, _ENTRY), ["kind"])
-    chunks = entries.where("kind = 'chunk'").select(F.col("key").alias("digest"), "n", "data")
-    rows = entries.where("kind = 'recipe'").select("doc_id", F.col("n").alias("n_tokens"), "digests", F.col("data").alias("root"))
+_STORE = {
+    "recipes": "doc_id long, start long, n_tokens long, digests array<binary>, root binary, part int",
+    "manifest": "part int, docs long, tokens long, root binary, width int",
+}
+
+
+def file_roots(recipes: DataFrame) -> DataFrame:
+    """(part, docs, tokens, root) of range files: the Merkle root over their recipes' roots, in order."""
+
+    def fold(table: pa.Table) -> pa.Table:
+        rows = zip(*(table.column(c).to_pylist() for c in ("doc_id", "root")), strict=True)
+        leaves = [root for _, root in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))]
+        tokens = sum(table.column("n_tokens").to_pylist())
+        return pa.table({"part": table.column("part")[:1], "docs": pa.array([len(leaves)], pa.int64()), "tokens": pa.array([tokens], pa.int64()), "root": pa.array([merkle_root(leaves)], pa.binary())})
+
+    return recipes.select("part", "doc_id", "n_tokens", "root").groupBy("part").applyInArrow(fold, "part int, docs long, tokens long, root binary")
+
+
+def write_store(docs: DataFrame, definition: str, pattern: str, end_id: int, added: bool = False, path: str | None = None) -> str:
+    """Encode ``docs`` and write the store's three tables below ``path`` (a folder that all executors share; by default one
+    under spark.checkpoint.dir). Gives the path, for open_store(). ``added``: see LibraryEncoder."""
+    spark = docs.sparkSession
+    n = shuffle_partitions(spark)
+    path = path or f"{shared_dir(spark)}/tessella/{uuid.uuid4().hex}"
+    entries = encode_entries(docs, definition, pattern, end_id, added).repartition(n, "key")
+    write(entries.dropDuplicates(["key"]), f"{path}/chunks", ["kind"])
+    written = spark.read.schema(_ENTRY).parquet(f"{path}/chunks").where("kind = 'recipe'")
     order = [F.col("doc_id").asc_nulls_first(), F.col("root")]
-    ranged = materialize(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
-    parts = ranged.groupBy("part").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"), F.array_sort(F.collect_list(F.struct("doc_id", "root"))).alias("leaves"))
-    roots = F.sha2(F.array_join(F.transform("leaves", lambda x: F.hex(x["root"])), ""), 256)
-    manifest = parts.select("part", "docs", "tokens", F.lit(LibraryEncoder(definition, pattern).width).alias("width"), roots.alias("root"))
-    manifest = materialize(manifest)
-    # one row per range file
-    before = manifest.select("part", (F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")).alias("before"))
-    inner = F.sum("n_tokens").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
-    recipes = ranged.withColumn("inner", inner).join(F.broadcast(before), "part")
-    recipes = recipes.select("doc_id", (F.col("before") + F.col("inner")).alias("start"), "n_tokens", "digests", "root", "part")
-    return {"chunks": chunks, "recipes": materialize(recipes), "manifest": manifest}
+    rows = written.select("doc_id", F.col("n").alias("n_tokens"), "digests", F.col("data").alias("root"))
+    with scratch(spark):
+        ranged = materialize(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+        write(file_roots(ranged).withColumn("width", F.lit(LibraryEncoder(definition, pattern).width)), f"{path}/manifest")
+        # one row per range file
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = spark.read.schema(_STORE["manifest"]).parquet(f"{path}/manifest").select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("before"))
+        inner = F.sum("n_tokens").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
+        recipes = ranged.withColumn("inner", inner).join(F.broadcast(parts), "part")
+        write(recipes.select("doc_id", (F.col("before") + F.col("inner")).alias("start"), "n_tokens", "digests", "root", "part"), f"{path}/recipes")
+    delete(spark, f"{path}/chunks/kind=recipe")
+    return path
+
+
+def open_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables chunks, recipes and manifest of the store at ``path``."""
+    chunks = spark.read.schema(_ENTRY).parquet(f"{path}/chunks").where("kind = 'chunk'").select(F.col("key").alias("digest"), "n", "data")
+    return {"chunks": chunks, **{name: spark.read.schema(kind).parquet(f"{path}/{name}") for name, kind in _STORE.items()}}
 
 
 def verify_manifest(store: dict[str, DataFrame]) -> bool:
-    """Whether every range file's recipes give the root that the manifest holds for it."""
-    order = F.array_sort(F.collect_list(F.struct("doc_id", "root")))
-    again = store["recipes"].groupBy("part").agg(order.alias("leaves")).select("part", F.sha2(F.array_join(F.transform("leaves", lambda x: F.hex(x["root"])), ""), 256).alias("again"))
-    return store["manifest"].join(again, "part", "full_outer").where("not (root <=> again)").isEmpty()
+    """Whether every range file's recipes give the root, documents and tokens that the manifest holds for it."""
+    again = file_roots(store["recipes"]).select("part", F.struct("docs", "tokens", "root").alias("again"))
+    held = store["manifest"].select("part", F.struct("docs", "tokens", "root").alias("held"))
+    return held.join(again, "part", "full_outer").where("not (held <=> again)").isEmpty()
 
 
 @lru_cache(None)
@@ -240,6 +265,8 @@ def _listed(store: dict[str, DataFrame], chunks: DataFrame, *columns: str) -> Da
 
 def read_checksums(store: dict[str, DataFrame]) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
+    if not verify_manifest(store):
+        raise ValueError("the recipes don't give the manifest's roots")
     width = store["manifest"].select(F.max("width")).first()[0] or 4
     rows = _listed(store, checked_chunks(store["chunks"], width), "crc", "n").select("doc_id", "start", "n_tokens", "digests", "root", "parts")
 
@@ -258,5 +285,10 @@ def read_checksums(store: dict[str, DataFrame]) -> DataFrame:
 def read_ids(store: dict[str, DataFrame]) -> DataFrame:
     """doc_id, start and ids (bytes of the store's width) of every document, put together from its chunks."""
     rows = _listed(store, store["chunks"].select("digest", "data"), "data")
-    joined = F.aggregate(F.transform("parts", lambda x: F.hex(x["data"])), F.lit(""), lambda a, x: F.concat(a, x))
-    return rows.select("doc_id", "start", F.unhex(joined).alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 256):
+            ids = [b"".join(p["data"] for p in parts) for parts in part.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("start"), pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
+
+    return rows.select("doc_id", "start", "parts").mapInArrow(run, "doc_id long, start long, ids binary")

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessella.llm import token_store as S
@@ -28,13 +29,15 @@ def test_cut_points_cover_and_follow_content():
     assert S.cut_points(np.zeros(20000, "<u2"), S._table())[-1] == 20000
 
 
-def test_round_trip(spark):
+def test_round_trip(spark, tmp_path):
     rng = random.Random(4)
     passage = " ".join(rng.choices(["the", "ing", "Straße", "on\n", "x  y"], k=900))
     texts = [None, "", "a", "  \n ", "it's <|endoftext|> ½ 日本", passage, passage + " tail", "head " + passage, passage]
     rows = [(i, t, "s") for i, t in enumerate(texts)] + [(5, passage, "t"), (None, "no id", "t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, digests string")
-    store = S.write_store(docs, DEFINITION, P.PATTERN, 2)
+    path = S.write_store(docs, DEFINITION, P.PATTERN, 2, path=f"file://{tmp_path}/store")
+    assert path == f"file://{tmp_path}/store"
+    store = S.open_store(spark, path)
     library = Tokenizer.from_str(DEFINITION)
     library.encode_special_tokens = True
     want, start = [], 0
@@ -51,9 +54,15 @@ def test_round_trip(spark):
     assert all(zlib.crc32(back[s]) == c for _, s, _, c in want)
     broken = store | {"recipes": store["recipes"].withColumn("root", store["recipes"].root.substr(1, 3))}
     assert not S.verify_manifest(broken)
-    with pytest.raises(Exception, match="doesn't give"):
+    with pytest.raises(Exception, match="don't give"):
         S.read_checksums(broken).collect()
-    assert S.read_checksums(S.write_store(docs.limit(0), DEFINITION, P.PATTERN, 2)).count() == 0
+    fewer = store | {"recipes": store["recipes"].where("start > 0")}
+    with pytest.raises(Exception, match="don't give"):
+        S.read_checksums(fewer).collect()
+    damaged = store | {"chunks": store["chunks"].withColumn("data", F.expr("overlay(data placing X'00' from 1)"))}
+    with pytest.raises(Exception, match="damaged"):
+        S.read_checksums(damaged).collect()
+    assert S.read_checksums(S.open_store(spark, S.write_store(docs.limit(0), DEFINITION, P.PATTERN, 2))).count() == 0
 
 
 def test_added_tokens_are_one_id(spark, tmp_path):
