@@ -1,17 +1,19 @@
 """Scoring by a class-based n-gram model with classes from exchange clustering.
 
-The ``FREQUENT`` most frequent words are clustered by exchange on the driver, from their bigram counts (a table whose size
-that parameter bounds): words move, one at a time, to the class that most raises the likelihood of the class bigrams, until
-a sweep moves none. Every other training word then joins the class under which its own neighbours are likeliest, by the
-same criterion, where its counts are gathered. So all words have a class, and all counts cover all training documents.
+Texts are read once, into blocks: the distinct words of a load and each token's place among them. All later passes work on
+blocks. Every word of the training texts is clustered by exchange, in sweeps over the whole vocabulary: words are dealt by
+hash; a block sends each bucket its words with counts of the classes before and after them; there every word moves to the
+class that most raises the likelihood of the class bigrams, as counted over all training texts under the classes of the
+sweep before; the new classes go back to the blocks. (Words of one sweep move at the same time, so a sweep that does not
+raise the likelihood is the last, and the better classes stay.) Sweeps start from classes that a sequential exchange gives
+the ``frequent`` most frequent words, on the driver, from their bigram counts (a table whose size that parameter bounds);
+every other word starts in the class under which its neighbours are likeliest. It may leave it like any other.
 
 A word after a word of class k has the probability (1 - u_k) * (MIX * P(class | k) * P(word | class) + (1 - MIX) * P(word)),
 and a word unseen in training, one event as in the base score, u_k: the share of hapaxes among what follows class k.
-Once every word has its class, transitions between classes are counted over all training texts in a pass of their own.
+Transitions between classes are counted over all training texts.
 
-Vocabularies grow with the corpus and are never broadcast. Documents are dealt in blocks by doc_id; a block asks for its
-distinct words bucket by bucket (words are dealt by hash), and the answers, a count and a class a word, meet the block's
-texts again to score them. A very frequent word is one entry a block.
+Vocabularies grow with the corpus and are never broadcast. A very frequent word is one entry a block.
 
 Words are lower-cased (A-Z) runs of WORD characters and named by 64-bit hashes; each text ends with one end token.
 
@@ -27,15 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import discard, materialize, scratch, shuffle_partitions
 from .words import WordHasher
 
-FREQUENT, CLASSES, MIX = 512, 24, 0.7
-LOAD = 1 << 21
+FREQUENT, CLASSES, SWEEPS, MIX = 512, 24, 2, 0.7
+LOAD = 1 << 20
 END = np.uint64(1)  # the end token's name; no word hashes to a name below 16
+_BLOCK = "block long, docs binary, no_id binary, held binary, ends binary, names binary, codes binary"
 
 
 class _Texts:
@@ -56,24 +60,57 @@ class _Texts:
         return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.array(ends, np.int64)
 
 
-def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]:
-    texts, size = [], 0
-    for batch in batches:
-        for t in batch.column("text").to_pylist():
-            texts.append(t)
-            size += len(t or "")
-            if size > 4 * LOAD:
-                yield texts
-                texts, size = [], 0
-    if texts:
-        yield texts
-
-
 def held_out(doc_id=None):
     name = F.coalesce((F.col("doc_id") if doc_id is None else doc_id).cast("string"), F.lit(""))
     return F.crc32(name.cast("binary")) % 5 == 1
 
 
+def blocks_of(docs: DataFrame, load: int = LOAD) -> DataFrame:
+    """Blocks of about ``load`` tokens: doc_ids, flags and ends of their texts, sorted names of their distinct words, and each
+    token's place among the names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, place, n = _Texts(), TaskContext.get().partitionId(), 0
+        ids, held, parts, sizes, total = [], [], [], [], 0
+
+        def block() -> pa.RecordBatch:
+            names, codes = np.unique(np.concatenate(parts), return_inverse=True)
+            row = (np.array([x or 0 for x in ids], np.int64), np.array([x is None for x in ids]), np.array(held, bool), np.cumsum(sizes), names, codes.astype(np.uint32))
+            return pa.RecordBatch.from_arrays([pa.array([(place << 32) + n], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in row]], ["block", "docs", "no_id", "held", "ends", "names", "codes"])
+
+        for batch in batches:
+            for doc, out, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
+                tokens, _ = own.tokens([text])
+                ids.append(doc)
+                held.append(out)
+                parts.append(tokens)
+                sizes.append(len(tokens))
+                total += len(tokens)
+                if total >= load:
+                    yield block()
+                    n += 1
+                    ids, held, parts, sizes, total = [], [], [], [], 0
+        if ids:
+            yield block()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, _BLOCK)
+
+
+class _Block:
+    """One row of blocks_of()."""
+
+    def __init__(self, row: dict):
+        read = lambda name, kind: np.frombuffer(row[name], kind)
+        self.block, self.names, self.codes = row["block"], read("names", np.uint64), read("codes", np.uint32).astype(np.int64)
+        self.docs, self.no_id, self.held, self.ends = read("docs", np.int64), read("no_id", bool), read("held", bool), read("ends", np.int64)
+        self.train = np.repeat(~self.held, np.diff(self.ends, prepend=0))
+
+    def sides(self, classes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each token's class, the class before it and the class after it; an end comes before a text as well."""
+        own = classes[self.codes]
+        return own, np.concatenate([[end], own[:-1]]), np.concatenate([own[1:], [end]])
+
+
 def _dealt(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Order by bucket, and the cuts between buckets."""
     to = ((names >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
@@ -81,28 +118,31 @@ def _dealt(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(to[order], np.arange(buckets + 1))
 
 
-def frequent_words(train: DataFrame, buckets: int, most: int) -> tuple[np.ndarray, int, int]:
+def frequent_words(blocks: DataFrame, buckets: int, most: int) -> tuple[np.ndarray, int, int]:
     """Names of the most frequent words (sorted), the number of training tokens and of distinct ones."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _Texts()
-        for texts in _loads(batches):
-            names, counts = np.unique(own.tokens(texts)[0], return_counts=True)
-            order, cuts = _dealt(names, buckets)
-            names, counts = names[order], counts[order].astype(np.uint32)
-            used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int32()), pa.array([names[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary()), pa.array([counts[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary())], ["bucket", "names", "counts"]
-            )
+        for batch in batches:
+            for row in batch.to_pylist():
+                names, codes = np.frombuffer(row["names"], np.uint64), np.frombuffer(row["codes"], np.uint32)
+                train = np.repeat(~np.frombuffer(row["held"], bool), np.diff(np.frombuffer(row["ends"], np.int64), prepend=0))
+                counts = np.bincount(codes[train], minlength=len(names)).astype(np.uint32)
+                order, cuts = _dealt(names, buckets)
+                names, counts = names[order], counts[order]
+                used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(used, pa.int32()), pa.array([names[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary()), pa.array([counts[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary())], ["bucket", "names", "counts"]
+                )
 
     def add(table: pa.Table) -> pa.Table:
         names, inverse = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("names")]), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")])).astype(np.int64)
         top = np.argsort(-counts, kind="stable")[: most + 1]
+        top = top[counts[top] > 0]
         kind = ["word"] * len(top) + ["total"]
-        return pa.table({"kind": kind, "name": np.append(names[top], np.uint64(0)).view(np.int64), "n": np.append(counts[top], counts.sum()), "distinct": np.append(np.zeros(len(top), np.int64), len(names))})
+        return pa.table({"kind": kind, "name": np.append(names[top], np.uint64(0)).view(np.int64), "n": np.append(counts[top], counts.sum()), "distinct": np.append(np.zeros(len(top), np.int64), np.count_nonzero(counts))})
 
-    sums = train.select("text").mapInArrow(send, "bucket int, names binary, counts binary")
+    sums = blocks.select("held", "ends", "names", "codes").mapInArrow(send, "bucket int, names binary, counts binary")
     sums = materialize(sums.groupBy("bucket").applyInArrow(add, "kind string, name long, n long, distinct long"))
     total = sums.where("kind = 'total'").agg(F.sum("n"), F.sum("distinct")).first()
     words = sums.where(f"kind = 'word' and name <> {int(END)}").orderBy(F.desc("n"), "name").limit(most).collect()
@@ -121,17 +161,18 @@ def _codes(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return out
 
 
-def frequent_bigrams(train: DataFrame, frequent: np.ndarray) -> np.ndarray:
+def frequent_bigrams(blocks: DataFrame, frequent: np.ndarray) -> np.ndarray:
     """Bigram counts of frequent words, other words (one code) and ends."""
     side = len(frequent) + 2
-    shared = train.sparkSession.sparkContext.broadcast(frequent)
+    shared = blocks.sparkSession.sparkContext.broadcast(frequent)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = _Texts(), np.zeros(side * side, np.int64)
-        for texts in _loads(batches):
-            codes = _codes(own.tokens(texts)[0], shared.value)
-            before = np.concatenate([[side - 1], codes[:-1]])  # an end comes before a text as well
-            total += np.bincount(before * side + codes, minlength=side * side)
+        total = np.zeros(side * side, np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                of = _Block(row)
+                own, before, _ = of.sides(_codes(of.names, shared.value), side - 1)
+                total += np.bincount((before * side + own)[of.train], minlength=side * side)
         rows = np.flatnonzero(total.reshape(side, side).any(1))
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([zlib.compress(total.reshape(side, side)[r].tobytes(), 1) for r in rows], pa.binary())], ["code", "counts"])
 
@@ -140,7 +181,7 @@ def frequent_bigrams(train: DataFrame, frequent: np.ndarray) -> np.ndarray:
         return pa.table({"code": table.column("code")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros((side, side), np.int64)
-    for row in train.select("text").mapInArrow(count, "code int, counts binary").groupBy("code").applyInArrow(add, "code int, counts binary").toLocalIterator():
+    for row in blocks.mapInArrow(count, "code int, counts binary").groupBy("code").applyInArrow(add, "code int, counts binary").toLocalIterator():
         out[row.code] = np.frombuffer(row.counts, np.int64)
     return out
 
@@ -184,177 +225,239 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
     return own
 
 
-def block_answers(docs: DataFrame, frequent: np.ndarray, own: np.ndarray, table: np.ndarray, buckets: int) -> DataFrame:
-    """Rows of answers (block, bucket: counts and classes of the block's distinct words of that bucket, by name) and of
-    statistics (block -1: from, to, n in the columns of an answer)."""
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def likelihood(table: np.ndarray) -> float:
+    """What exchange raises: the log-likelihood of the class bigrams, but for terms that no class changes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
+
+
+def gains(table: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray, doubled: np.ndarray, classes: int) -> np.ndarray:
+    """Gain of the likelihood for each word in each class, over the word in none. ``table``: class bigrams; ``left``, ``right``: the
+    words' counts of classes before and after them, ``doubled``: after themselves (in neither of the two)."""
+    n, k = len(own), classes
+    out = np.zeros((n, k))
+    for grid, counts, other in ((table, left, right), (table.T, right, left)):
+        w, j = np.nonzero(counts)
+        add = counts[w, j][:, None].astype(float)
+        cells = grid[j, :k].astype(float)
+        mine = own[w]
+        inside = mine < k
+        cells[np.flatnonzero(inside), mine[inside]] -= add[inside, 0]  # without the word's share in its class's column ...
+        at = np.flatnonzero(j == mine)
+        cells[at] -= other[w[at], :k]  # ... and row
+        both = at[inside[at]]
+        cells[both, mine[both]] -= doubled[w[both]]
+        cells = np.maximum(cells, 0)
+        change = _xlogx(cells + add) - _xlogx(cells)
+        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else w
+        if len(w):
+            out[w[first]] += np.add.reduceat(change, first, axis=0)
+    w, c = np.nonzero((left[:, :k] > 0) & (right[:, :k] > 0) | (doubled > 0)[:, None])
+    a, b, s = left[w, c].astype(float), right[w, c].astype(float), doubled[w].astype(float)
+    cell = np.maximum(table[c, c] - (c == own[w]) * (a + b + s), 0)
+    np.add.at(out, (w, c), _xlogx(cell + a + b + s) - _xlogx(cell + a) - _xlogx(cell + b) + _xlogx(cell))
+    for sums, counts in ((table.sum(1), right), (table.sum(0), left)):
+        size = (counts.sum(1) + doubled)[:, None].astype(float)
+        rest = np.maximum(sums[None, :k] - (np.arange(k) == own[:, None]) * size, 0)
+        out -= _xlogx(rest + size) - _xlogx(rest)
+    return out
+
+
+_ASKED = "block long, bucket int, names binary, at binary, slot binary, n binary"
+_ANSWERS = "block long, bucket int, counts binary, classes binary"
+
+
+def _asks(of: _Block, classes: np.ndarray, width: int, buckets: int) -> pa.Table:
+    """A block's words, by bucket, with counts of the classes before (slots from 0) and after them (from ``width``), and of
+    themselves after themselves (the last slot): ``at`` is the place among the bucket's words."""
+    slots = 2 * width + 1
+    _, before, after = of.sides(classes, width - 1)
+    after = after.copy()
+    after[of.ends - 1] = width - 1
+    same = np.concatenate([[False], of.codes[1:] == of.codes[:-1]])
+    into = np.concatenate([same[1:], [False]])
+    code = of.codes * slots
+    seen = np.concatenate([(code + np.where(same, 2 * width, before))[of.train], (code + width + after)[of.train & ~into]])
+    cells = np.bincount(seen, minlength=len(of.names) * slots)
+    order, cuts = _dealt(of.names, buckets)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    hit = np.flatnonzero(cells)
+    at, slot, n = place[hit // slots], (hit % slots).astype(np.uint8), cells[hit].astype(np.uint32)
+    entry = np.argsort(at, kind="stable")
+    at, slot, n = at[entry], slot[entry], n[entry]
+    used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+    edges = np.searchsorted(at, cuts)
+    pieces = lambda x, shift=0: pa.array([(x[edges[b] : edges[b + 1]] - (cuts[b] if shift else 0)).astype(np.uint32 if shift else x.dtype).tobytes() for b in used], pa.binary())
+    names = pa.array([of.names[order[cuts[b] : cuts[b + 1]]].tobytes() for b in used], pa.binary())
+    return pa.table([pa.array([of.block] * len(used), pa.int64()), pa.array(used, pa.int32()), names, pieces(at, 1), pieces(slot), pieces(n)], ["block", "bucket", "names", "at", "slot", "n"])
+
+
+class _Bucket:
+    """A bucket's words with what all blocks ask about them."""
+
+    def __init__(self, table: pa.Table, width: int):
+        parts = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("names")]
+        self.names, self.inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        self.sizes = np.array([len(p) for p in parts])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        slots = 2 * width + 1
+        seen = np.zeros(len(self.names) * slots, np.int64)
+        for start, at, slot, n in zip(self.starts, *(table.column(c).to_pylist() for c in ("at", "slot", "n")), strict=True):
+            cell = self.inverse[start + np.frombuffer(at, np.uint32).astype(np.int64)] * slots + np.frombuffer(slot, np.uint8)
+            seen[cell] += np.frombuffer(n, np.uint32)  # a block's cells are distinct
+        seen = seen.reshape(-1, slots)
+        self.left, self.right, self.doubled = seen[:, :width], seen[:, width : 2 * width], seen[:, 2 * width]
+        self.counts = self.left.sum(1) + self.doubled
+        self.table = table
+
+    def answers(self, classes: np.ndarray) -> pa.Table:
+        of = [self.inverse[s : s + m] for s, m in zip(self.starts, self.sizes, strict=True)]
+        pieces = lambda x: pa.array([x[i].tobytes() for i in of], pa.binary())
+        return pa.table([self.table.column("block"), self.table.column("bucket"), pieces(self.counts), pieces(classes.astype(np.uint8))], ["block", "bucket", "counts", "classes"])
+
+
+def first_classes(blocks: DataFrame, frequent: np.ndarray, own: np.ndarray, table: np.ndarray, buckets: int) -> DataFrame:
+    """(block, bucket, counts, classes) of the blocks' words: frequent words have the classes ``own``, the others that under
+    which the frequent words around them are likeliest."""
     k = int(own[-1]) - 1
     width = k + 2
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, own, table))
+    shared = blocks.sparkSession.sparkContext.broadcast((frequent, own, table))
 
-    def ask(key, table_):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent_, own_, _ = shared.value
-        tokens, ends = _Texts().tokens(table_.column("text").to_pylist())
-        train = np.repeat(~np.array(table_.column("held_out").to_pylist(), bool), np.diff(ends, prepend=0))
-        names, inverse = np.unique(tokens, return_inverse=True)
-        classes = own_[_codes(tokens, frequent_)]
-        before, after = np.concatenate([[k + 1], classes[:-1]]), np.concatenate([classes[1:], [k + 1]])
-        after[ends - 1] = k + 1
-        code = np.concatenate([inverse[train] * 2 * width + before[train], inverse[train] * 2 * width + width + after[train]])
-        code, counts = np.unique(code, return_counts=True)
-        order, cuts = _dealt(names, buckets)
-        place = np.empty(len(names), np.int64)
-        place[order] = np.arange(len(names))
-        at = place[code // (2 * width)]
-        entry = np.argsort(at, kind="stable")
-        at, slot, counts = at[entry], (code % (2 * width))[entry].astype(np.uint8), counts[entry].astype(np.uint32)
-        rows = []
-        for b in range(buckets):
-            lo, hi = cuts[b], cuts[b + 1]
-            if lo < hi:
-                x, y = np.searchsorted(at, [lo, hi])
-                rows.append((key[0].as_py(), b, names[order[lo:hi]].tobytes(), (at[x:y] - lo).astype(np.uint32).tobytes(), slot[x:y].tobytes(), counts[x:y].tobytes()))
-        return pa.table({c: pa.array(v, t) for c, v, t in zip(("block", "bucket", "names", "at", "slot", "n"), zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)})
-
-    def answer(table_: pa.Table) -> pa.Table:
+        for batch in batches:
+            for row in batch.to_pylist():
+                of = _Block(row)
+                yield from _asks(of, own_[_codes(of.names, frequent_)], width, buckets).to_batches()
+
+    def answer(asked: pa.Table) -> pa.Table:
         frequent_, own_, bigrams = shared.value
-        parts = [np.frombuffer(x.as_py(), np.uint64) for x in table_.column("names")]
-        names, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        sizes = np.array([len(p) for p in parts])
-        starts = np.cumsum(sizes) - sizes
-        seen = np.zeros(len(names) * 2 * width)
-        for i, (at, slot, n) in enumerate(zip(table_.column("at"), table_.column("slot"), table_.column("n"), strict=True)):
-            cell = inverse[starts[i] + np.frombuffer(at.as_py(), np.uint32).astype(np.int64)] * 2 * width + np.frombuffer(slot.as_py(), np.uint8)
-            np.add.at(seen, cell, np.frombuffer(n.as_py(), np.uint32))
-        left, right = seen.reshape(-1, 2, width)[:, 0], seen.reshape(-1, 2, width)[:, 1]
-        counts = left.sum(1).astype(np.int64)
-        # The likeliest class of an infrequent word: how its neighbours' classes follow, and precede, members of the class.
+        of = _Bucket(asked, width)
         follow = np.log((bigrams[:k] + 0.5) / (bigrams[:k].sum(1, keepdims=True) + 0.5 * width))
         precede = np.log((bigrams[:, :k].T + 0.5) / (bigrams[:, :k].sum(0)[:, None] + 0.5 * width))
-        classes = np.argmax(right @ follow.T + left @ precede.T, 1) if k else np.zeros(len(names), np.int64)
-        code = _codes(names, frequent_)
+        classes = np.argmax(of.right @ follow.T + of.left @ precede.T, 1) if k else np.zeros(len(of.names), np.int64)
+        code = _codes(of.names, frequent_)
         known = code != len(frequent_)
         classes[known] = own_[code[known]]
-        # Statistics: 0 class totals, 1 from a rare word's class to a neighbour's, 2 from a neighbour's to a rare word's, 3 hapaxes after
-        # a class, 4 rare words after rare words by either class.
-        rows = [(i, 0, 0, int(n)) for i, n in enumerate(np.bincount(classes, counts, width)) if n]
-        rare = ~known
-        for kind, side in ((1, right), (2, left)):
-            sums = np.zeros((width, width))
-            np.add.at(sums, classes[rare], side[rare])
-            rows += [(i, j, kind, int(sums[i, j])) for i, j in zip(*np.nonzero(sums), strict=True)]
-        rows += [(i, 0, 3, int(n)) for i, n in enumerate(left[counts == 1].sum(0)) if n]
-        out = {"block": list(map(int, table_.column("block").to_pylist())), "bucket": table_.column("bucket").to_pylist(), "i": [], "j": [], "kind": [], "n": [], "counts": [], "classes": []}
-        for s, m in zip(starts, sizes, strict=True):
-            at = inverse[s : s + m]
-            out["counts"].append(counts[at].tobytes())
-            out["classes"].append(classes[at].astype(np.uint8).tobytes())
-        none = [None] * len(rows)
-        columns = {
-            "block": pa.array(out["block"] + [-1] * len(rows), pa.int32()), "bucket": pa.array(out["bucket"] + [0] * len(rows), pa.int32()), "counts": pa.array(out["counts"] + none, pa.binary()), "classes": pa.array(out["classes"] + none, pa.binary()),
-            **{c: pa.array([None] * len(sizes) + [r[x] for r in rows], pa.int64()) for x, c in enumerate(("i", "j", "kind", "n"))},
-        }
-        return pa.table(columns)
-
-    asked = docs.groupBy("block").applyInArrow(ask, "block int, bucket int, names binary, at binary, slot binary, n binary")
-    return asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, counts binary, classes binary, i long, j long, kind long, n long")
+        return of.answers(classes)
 
+    return blocks.mapInArrow(ask, _ASKED).groupBy("bucket").applyInArrow(answer, _ANSWERS)
 
-class ClassModel:
-    """Log-probabilities from class totals, transitions and unseen shares."""
 
-    def __init__(self, stats: list[tuple[int, int, int, int]], frequent_table: np.ndarray, counted: tuple[np.ndarray, np.ndarray] | None = None):
-        """``counted``: transitions and hapaxes of class_transitions; without it they are estimated from ``stats``."""
-        width = len(frequent_table)
-        k = width - 2
-        tables = np.zeros((4, width, width))
-        for i, j, kind, n in stats:
-            tables[kind, i, j] += n
-        self.totals = tables[0, :, 0]
-        moves = frequent_table.astype(float).copy()
-        moves[k], moves[:, k] = 0, 0  # other words have classes of their own by now
-        after_rare, before_rare = tables[1], tables[2].T
-        moves += after_rare * (np.arange(width) != k)[None, :] + before_rare * (np.arange(width) != k)[:, None]
-        between = after_rare[:, k].sum()
-        if between:
-            moves += np.outer(after_rare[:, k], before_rare[k]) / between
-        hapax = tables[3, :, 0]  # by the class before; k stands for a rare word
-        rare_share = after_rare.sum(1) / max(after_rare.sum(), 1)
-        rows = moves.sum(1)
-        hapax_by_class = np.where(np.arange(width) == k, 0, hapax) + hapax[k] * rare_share
-        if counted:
-            moves, hapax_by_class = counted
-            rows = moves.sum(1)
-        self.unseen = np.minimum((hapax_by_class + 0.5) / (rows + 1), 0.5)
-        self.moves = moves / np.maximum(rows, 1e-9)[:, None]
-        self.other = k
+def _found(of: _Block, found: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Training counts and classes of a block's words."""
+    found = found.sort_by("bucket")
+    order, _ = _dealt(of.names, buckets)
+    counts, classes = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    counts[order] = np.frombuffer(b"".join(found.column("counts").to_pylist()), np.int64)
+    classes[order] = np.frombuffer(b"".join(found.column("classes").to_pylist()), np.uint8)
+    return counts, classes
 
-    def log10(self, before: np.ndarray, classes: np.ndarray, counts: np.ndarray, tokens: int) -> np.ndarray:
-        total = np.maximum(self.totals[classes], 1)
-        seen = MIX * self.moves[before, classes] * counts / total + (1 - MIX) * counts / max(tokens, 1)
-        return np.log10(np.where(counts > 0, (1 - self.unseen[before]) * np.maximum(seen, 1e-300), self.unseen[before]))
 
+def class_transitions(blocks: DataFrame, answers: DataFrame, buckets: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of class after class over all training tokens, of hapaxes by the class before them, and of the classes."""
 
-def _classed(texts: pa.Table, found: pa.Table, buckets: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ends of a block's texts, and of each token its training count, its class and the class before it."""
-    found = found.sort_by("bucket")
-    stream, ends = _Texts().tokens(texts.column("text").to_pylist())
-    names, inverse = np.unique(stream, return_inverse=True)
-    order, _ = _dealt(names, buckets)
-    counts, kinds = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-    counts[order] = np.frombuffer(b"".join(x.as_py() for x in found.column("counts")), np.int64)
-    kinds[order] = np.frombuffer(b"".join(x.as_py() for x in found.column("classes")), np.uint8)
-    classes = kinds[inverse]
-    return ends, counts[inverse], classes, np.concatenate([[end], classes[:-1]])
-
-
-def class_transitions(rows: DataFrame, blocks: DataFrame, buckets: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of class after class over all training tokens, and of hapaxes by the class before them."""
-
-    def count(texts: pa.Table, found: pa.Table) -> pa.Table:
-        total = np.zeros(width * (width + 1), np.int64)
-        if texts.num_rows:
-            ends, c, k, before = _classed(texts, found, buckets, width - 1)
-            train = np.repeat(~np.array(texts.column("held_out").to_pylist(), bool), np.diff(ends, prepend=0))
-            total[: width * width] = np.bincount((before * width + k)[train], minlength=width * width)
-            total[width * width :] = np.bincount(before[train & (c == 1)], minlength=width)
+    def count(row: pa.Table, found: pa.Table) -> pa.Table:
+        of = _Block(row.to_pylist()[0])
+        counts, classes = _found(of, found, buckets)
+        own, before, _ = of.sides(classes, width - 1)
+        total = np.concatenate([np.bincount((before * width + own)[of.train], minlength=width * width), np.bincount(before[of.train & (counts[of.codes] == 1)], minlength=width), np.bincount(own[of.train], minlength=width)])
         at = np.flatnonzero(total)
         return pa.table({"at": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
-    out = np.zeros(width * (width + 1))
-    counted = rows.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(count, "at long, n long")
+    out = np.zeros(width * (width + 2))
+    counted = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(count, "at long, n long")
     for r in counted.groupBy("at").agg(F.sum("n").alias("n")).collect():  # of fixed size
         out[r.at] = r.n
-    return out[: width * width].reshape(width, width), out[width * width :]
+    return out[: width * width].reshape(width, width), out[width * width :][:width], out[width * width + width :]
 
 
-def score_documents(docs: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    n = shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(n)).cast("int"))
-    train = rows.where(~F.col("held_out"))
-    names, tokens, distinct = frequent_words(train, n, frequent)
-    bigrams = frequent_bigrams(train, names)
+def next_classes(blocks: DataFrame, answers: DataFrame, table: np.ndarray, buckets: int) -> DataFrame:
+    """The answers after one sweep of exchange over all words, with ``table`` as the class bigrams of ``answers``."""
+    width = len(table)
+    shared = blocks.sparkSession.sparkContext.broadcast(table)
+    schema = _ASKED + ", classes binary"
+
+    def ask(row: pa.Table, found: pa.Table) -> pa.Table:
+        of = _Block(row.to_pylist()[0])
+        _, classes = _found(of, found, buckets)
+        return _asks(of, classes, width, buckets).append_column("classes", found.sort_by("bucket").column("classes"))
+
+    def answer(asked: pa.Table) -> pa.Table:
+        of = _Bucket(asked, width)
+        own = np.empty(len(of.names), np.int64)
+        own[of.inverse] = np.frombuffer(b"".join(asked.column("classes").to_pylist()), np.uint8)
+        for at in range(0, len(own), 4096):
+            some = slice(at, at + 4096)
+            gain = gains(shared.value, own[some], of.left[some], of.right[some], of.doubled[some], width - 2)
+            best, mine = np.argmax(gain, 1), own[some]
+            rows = np.arange(len(mine))
+            moves = (mine < width - 2) & (gain[rows, best] > gain[rows, np.minimum(mine, width - 3)] + 1e-9)
+            own[some] = np.where(moves, best, mine)
+        return of.answers(own)
+
+    asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask, schema)
+    return asked.groupBy("bucket").applyInArrow(answer, _ANSWERS)
+
+
+class ClassModel:
+    """Log-probabilities from class totals, transitions and unseen shares."""
+
+    def __init__(self, moves: np.ndarray, hapax: np.ndarray, totals: np.ndarray):
+        rows = moves.sum(1)
+        self.totals = totals
+        self.unseen = np.minimum((hapax + 0.5) / (rows + 1), 0.5)
+        share = totals / max(totals.sum(), 1)  # after a class that nothing follows, classes are as frequent as anywhere
+        self.moves = np.where(rows[:, None] > 0, moves / np.maximum(rows, 1)[:, None], share)
+
+    def log10(self, before: np.ndarray, classes: np.ndarray, counts: np.ndarray, tokens: int) -> np.ndarray:
+        total = np.maximum(self.totals[classes], 1)
+        seen = MIX * self.moves[before, classes] * counts / total + (1 - MIX) * counts / max(tokens, 1)
+        return np.log10(np.where(counts > 0, (1 - self.unseen[before]) * np.maximum(seen, 1e-300), self.unseen[before]))
+
+
+def train(blocks: DataFrame, buckets: int, frequent: int = FREQUENT, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[DataFrame, ClassModel, int, int]:
+    """Counts and classes of the blocks' words, the model, and the numbers of training tokens and of distinct ones."""
+    names, tokens, distinct = frequent_words(blocks, buckets, frequent)
+    bigrams = frequent_bigrams(blocks, names)
     own = exchange(bigrams, classes)
     width = classes + 2
     table = np.zeros((width, width), np.int64)
     np.add.at(table, (own[:, None], own[None, :]), bigrams)
-    answers = materialize(block_answers(rows.select("block", "text", "held_out"), names, own, table, n))
-    stats = answers.where("block = -1").groupBy("i", "j", "kind").agg(F.sum("n").alias("n")).collect()  # of fixed size
-    blocks = answers.where("block >= 0").select("block", "bucket", "counts", "classes")
-    counted = class_transitions(rows.select("block", "text", "held_out"), blocks, n, width)
-    model = docs.sparkSession.sparkContext.broadcast(ClassModel([tuple(r) for r in stats], table, counted))
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def score(texts: pa.Table, found: pa.Table) -> pa.Table:
-        if not texts.num_rows:
-            return schema.empty_table()
-        own_model = model.value
-        ends, c, k, before = _classed(texts, found, n, own_model.other + 1)
-        starts = np.concatenate([[0], ends[:-1]])
+    answers = materialize(first_classes(blocks, names, own, table, buckets))
+    counted = class_transitions(blocks, answers, buckets, width)
+    for _ in range(sweeps):
+        after = materialize(next_classes(blocks, answers, counted[0], buckets))
+        again = class_transitions(blocks, after, buckets, width)
+        if likelihood(again[0]) <= likelihood(counted[0]):
+            break
+        discard(answers)
+        answers, counted = after, again
+    return answers, ClassModel(*counted), tokens, distinct
+
+
+def score_documents(docs: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES, sweeps: int = SWEEPS, load: int = LOAD) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    spark, buckets = docs.sparkSession, shuffle_partitions(docs.sparkSession)
+    with scratch(spark) as keep:
+        blocks = keep(materialize(blocks_of(docs, load)))
+        answers, model, tokens, distinct = train(blocks, buckets, frequent, classes, sweeps)
+        keep(answers)
+    shared = spark.sparkContext.broadcast(model)
+
+    def score(row: pa.Table, found: pa.Table) -> pa.Table:
+        of = _Block(row.to_pylist()[0])
+        counts, kinds = _found(of, found, buckets)
+        own, before, _ = of.sides(kinds, classes + 1)
+        c = counts[of.codes]
+        starts = np.concatenate([[0], of.ends[:-1]])
         add = lambda x: np.add.reduceat(x, starts)
         base = np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
-        rest = [ends - starts, add((c > 0).astype(np.int64)), np.full(len(ends), tokens), add(base), add(own_model.log10(before, k, c, tokens))]
-        return pa.Table.from_arrays([texts.column("doc_id").combine_chunks(), texts.column("held_out").combine_chunks(), *map(pa.array, rest)], schema=schema)
+        rest = [of.ends - starts, add((c > 0).astype(np.int64)), np.full(len(starts), tokens), add(base), add(shared.value.log10(before, own, c, tokens))]
+        return pa.table([pa.array(of.docs, mask=of.no_id), pa.array(of.held), *map(pa.array, rest)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return rows.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

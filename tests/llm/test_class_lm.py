@@ -55,28 +55,93 @@ def test_exchange_finds_the_classes():
     assert all(len(set(own[truth[shuffled] == k])) == 1 for k in range(3)) and len(set(own)) == 3
 
 
-def test_probabilities_sum_to_one():
-    stats = [(0, 0, 0, 50), (1, 0, 0, 30), (3, 0, 0, 10), (0, 1, 1, 4), (1, 2, 1, 3), (0, 2, 2, 3), (1, 0, 2, 5), (0, 0, 3, 2), (2, 0, 3, 1)]
-    table = np.array([[10, 12, 5, 3], [9, 8, 2, 4], [3, 4, 3, 1], [5, 2, 1, 0]])
-    model = M.ClassModel(stats, table)
-    words = [(0, 20), (0, 30), (1, 30), (3, 10)]  # class and count of each seen word
-    for before in (0, 1, 3):
-        classes, counts = (np.array(x) for x in zip(*words, strict=True))
-        seen = 10 ** model.log10(np.full(4, before), classes, counts, 90)
-        assert abs(seen.sum() + model.unseen[before] - 1) < 0.02
-
-
-def test_transitions_are_counted_between_all_words(spark):
-    texts = [("a b a rare", False), ("rare b", False), ("b b b once", True), (None, False)]
-    kinds, counts = {"a": 0, "b": 1, "rare": 2, "once": 0, None: 4}, {"a": 2, "b": 2, "rare": 2, "once": 0, None: 3}
-    named = {w: int(np.maximum(M._Texts().tokens([w or ""])[0][0], 0)) for w in kinds}
-    by_name = sorted(kinds, key=named.get)
-    answer = np.array([counts[w] for w in by_name], np.int64).tobytes(), np.array([kinds[w] for w in by_name], np.uint8).tobytes()
-    rows = spark.createDataFrame([(0, *t) for t in texts], "block int, text string, held_out boolean")
-    moves, hapax = M.class_transitions(rows, spark.createDataFrame([(0, 0, *map(bytearray, answer))], "block int, bucket int, counts binary, classes binary"), 1, 5)
-    want = np.zeros((5, 5))
-    for t, out in texts:
-        line = [None, *(t or "").split(), None]
-        for a, b in zip(line, line[1:], strict=False):
-            want[kinds[a], kinds[b]] += not out
-    assert (moves == want).all() and not hapax.any()
+def test_gains_are_changes_of_the_likelihood():
+    """Against the likelihood of the table with the word moved, for every word and class."""
+    rng = np.random.default_rng(4)
+    words, k = 9, 3
+    own = np.array([*rng.integers(0, k, words), k + 1])  # the last word is the end
+    bigrams = rng.integers(0, 6, (words + 1, words + 1))
+
+    def table(of):
+        out = np.zeros((k + 2, k + 2))
+        np.add.at(out, (of[:, None], of[None, :]), bigrams)
+        return out
+
+    of = lambda w, axis: np.bincount(np.delete(own, w), np.delete(bigrams[:, w] if axis else bigrams[w], w), k + 2)
+    left, right = (np.array([of(w, axis) for w in range(words)], np.int64) for axis in (1, 0))
+    got = M.gains(table(own), own[:words], left, right, np.diag(bigrams)[:words], k)
+    for w in range(words):
+        moved = [M.likelihood(table(np.where(np.arange(words + 1) == w, c, own))) for c in range(k)]
+        assert np.allclose(got[w] - got[w, 0], np.array(moved) - moved[0])
+
+
+def trained(spark, rows, **how):
+    """The model and, of every word, its training count and class."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out string")
+    blocks = M.blocks_of(docs, 2000)
+    blocks.cache()
+    answers, model, tokens, distinct = M.train(blocks, 4, **how)
+    found = {r.block: [] for r in answers.collect()}
+    for r in sorted(answers.collect(), key=lambda r: r.bucket):
+        found[r.block].append(r)
+    known = {}
+    for row in blocks.collect():
+        of = M._Block(row.asDict())
+        order, _ = M._dealt(of.names, 4)
+        counts = np.concatenate([np.frombuffer(r.counts, np.int64) for r in found[of.block]])
+        classes = np.concatenate([np.frombuffer(r.classes, np.uint8) for r in found[of.block]])
+        for name, n, c in zip(of.names[order].tolist(), counts.tolist(), classes.tolist(), strict=True):
+            assert known.setdefault(name, (n, c)) == (n, c)
+    return model, known, tokens, distinct
+
+
+def test_scores_follow_from_the_classes(spark):
+    """The whole score against a model counted word by word from the classes that were found."""
+    rows = make_docs(250)
+    _, known, total, _ = trained(spark, rows, frequent=40, classes=5)
+    name = lambda w: int(M._Texts().tokens([w])[0][0])
+    line = lambda t: [known[name(w)] for w in (t or "").lower().split()] + [known[int(M.END)]]
+    out = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1
+    moves, hapax, totals = Counter(), Counter(), Counter()
+    for d, t, _ in rows:
+        before = 6
+        for n, c in line(t) if not out(d) else []:
+            moves[before, c] += 1
+            hapax[before] += n == 1
+            totals[c] += 1
+            before = c
+    after = Counter()
+    for (a, _), n in moves.items():
+        after[a] += n
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out string")
+    got = M.score_documents(docs, frequent=40, classes=5, load=2000).collect()
+    want = []
+    for d, t, _ in rows:
+        before, score = 6, 0.0
+        for n, c in line(t):
+            unseen = min((hapax[before] + 0.5) / (after[before] + 1), 0.5)
+            p = (1 - unseen) * (M.MIX * moves[before, c] / after[before] * n / totals[c] + (1 - M.MIX) * n / total) if n else unseen
+            score += np.log10(p)
+            before = c
+        want.append((d, score))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    for (d, x), (e, y) in zip(sorted(((r.doc_id, r.score) for r in got), key=key), sorted(want, key=key), strict=True):
+        assert d == e and abs(x - y) < 1e-6 * max(1, abs(y))
+
+
+def test_probabilities_sum_to_one(spark):
+    model, known, total, distinct = trained(spark, make_docs(250), frequent=40, classes=5)
+    seen = [(n, c) for n, c in known.values() if n]
+    assert len(seen) == distinct and sum(n for n, _ in seen) == total
+    counts, classes = (np.array(x) for x in zip(*seen, strict=True))
+    for before in sorted(set(classes.tolist())):
+        p = 10 ** model.log10(np.full(len(seen), before), classes, counts, total)
+        assert abs(p.sum() + model.unseen[before] - 1) < 1e-9
+
+
+def test_a_sweep_moves_all_words(spark):
+    """Words that alternate in three classes, with only some of ninety clustered at first."""
+    rows = [(d, " ".join(w for w in t.split() if "rare" not in w.lower()), s) for d, t, s in make_docs(400)[:400]]
+    _, known, _, _ = trained(spark, rows, frequent=12, classes=3, sweeps=4)
+    kinds = {k: Counter(known[int(M._Texts().tokens([f"{k}{i}"])[0][0])][1] for i in range(30)) for k in "abc"}
+    assert len({c.most_common(1)[0][0] for c in kinds.values()}) == 3 and all(c.most_common(1)[0][1] >= 27 for c in kinds.values())
