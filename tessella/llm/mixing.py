@@ -7,10 +7,13 @@ cap. The level of the water is found by rounds of one small aggregate each, so a
 A share of r times the source's size is met by floor(r) whole passes over the source and a seeded pass over part of
 it: documents are ordered by a hash of seed and doc_id and taken while the part is not yet filled (a document is
 taken if its middle lies within the part), so a source misses its target by half a document at most. The order is
-never sorted as a whole: two levels of hash buckets are summed first and only the one bucket on the border is sorted.
+never sorted as a whole: two levels of hash buckets are summed first and only the one bucket on the border is sorted, its
+equal rows as one. So a source's plan is one row, by which every document is judged where it is.
 
-Defined results: null text has size 0; the null source is a source of its own, last in order; a null doc_id is
-hashed as the word null; repeated rows are separate documents; an empty table gives an empty result.
+Defined results: null text has size 0; the null source is a source of its own, last in order; a document without doc_id is
+hashed by its text; repeated rows are separate documents (of equal ones at the end of a part a seeded share is taken); very
+long texts count whole; other columns are ignored by mix() and kept by repeat_documents(), whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,8 +23,6 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize
 
-FAN = 256
-
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -53,11 +54,15 @@ def _border(sums: DataFrame, bucket: str, base: str) -> DataFrame:
     return inside.groupBy("source", "part").agg(F.max_by(bucket, bucket).alias(f"{bucket}_border"), F.max_by("before", bucket).alias(f"{bucket}_before"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies (0 to max_epochs), taken."""
-    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw.alias("draw")))
-    sizes = sizes.withColumn("b1", F.conv(F.substring("draw", 1, 2), 16, 10).cast("int")).withColumn("b2", F.conv(F.substring("draw", 3, 2), 16, 10).cast("int"))
+def _draw(doc_id: Column, text: Column, seed: int) -> Column:
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
+
+
+def mix_plan(sizes: DataFrame, weights: tuple[int, ...], share: float, max_epochs: float) -> DataFrame:
+    """Per source (p_source): source_size, target, whole (passes), and where the pass over a part ends: rows of (source, size, draw)
+    with (draw, size) below (last_draw, last_size) are in it, and of those there a share of last_share."""
+    sizes = sizes.withColumn("b1", F.substring("draw", 1, 2)).withColumn("b2", F.substring("draw", 3, 2))
     level1 = materialize(sizes.groupBy("source", "b1").agg(F.sum("size").alias("bucket_size")))
     targets = source_targets(level1.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, max_epochs)
     ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
@@ -72,32 +77,49 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     second = _border(level2, "b2", "b1_before")
     border = materialize(second.withColumnRenamed("source", "s_source").join(first.drop("part"), F.col("s_source").eqNullSafe(F.col("f_source"))).drop("f_source"))
 
+    # The rows of the border bucket, equal ones counted as one key: of the first key that the part can't take whole, it takes a share.
     hit = sizes.join(border, sizes.source.eqNullSafe(F.col("s_source")) & (F.col("b1") == F.col("b1_border")) & (F.col("b2") == F.col("b2_border")))
-    w = Window.partitionBy("source").orderBy("draw", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    middle = F.col("b2_before") + F.coalesce(F.sum("size").over(w), F.lit(0)) + F.col("size") / 2.0
-    at_border = hit.select("doc_id", "source", "size", (middle <= F.col("part")).cast("int").alias("extra"))
-    rest = sizes.join(border, sizes.source.eqNullSafe(F.col("s_source")), "left")
-    below = (F.col("b1") < F.col("b1_border")) | ((F.col("b1") == F.col("b1_border")) & (F.col("b2") < F.col("b2_border")))
-    away = ~F.coalesce((F.col("b1") == F.col("b1_border")) & (F.col("b2") == F.col("b2_border")), F.lit(False))
-    rest = rest.where(away).select("doc_id", "source", "size", F.coalesce(below, F.lit(False)).cast("int").alias("extra"))
+    keys = hit.groupBy("source", "part", "b2_before", "draw", "size").agg(F.count(F.lit(1)).alias("rows"))
+    before = F.sum(F.col("size") * F.col("rows")).over(Window.partitionBy("source").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, -1))
+    room = F.col("part") - F.col("b2_before") - F.coalesce(before, F.lit(0))
+    fits = F.when(F.col("size") > 0, F.floor(room / F.col("size") + 0.5)).when(room >= 0, F.col("rows")).otherwise(0)
+    keys = keys.withColumn("fits", F.greatest(F.least(fits, F.col("rows")), F.lit(0)))
+    last = F.min(F.when(F.col("fits") < F.col("rows"), F.struct("draw", "size", (F.col("fits") / F.col("rows")).alias("share"))))
+    ends = keys.groupBy(F.col("source").alias("e_source")).agg(last.alias("last"))
+    out = targets.withColumnRenamed("source", "p_source").join(border.select("s_source", F.concat("b1_border", "b2_border", F.lit("g")).alias("beyond")), F.col("p_source").eqNullSafe(F.col("s_source")), "left")
+    out = out.join(ends, F.col("p_source").eqNullSafe(F.col("e_source")), "left")
+    ends_at = [F.coalesce("last.draw", "beyond", F.lit("")).alias("last_draw"), F.coalesce("last.size", F.lit(0)).alias("last_size"), F.coalesce("last.share", F.lit(0.0)).alias("last_share")]
+    return materialize(out.select("p_source", "source_size", "target", "whole", *ends_at))
+
+
+def _copies(draw: Column, size: Column, max_epochs: float, seed: int) -> Column:
+    """Passes that take a row, by its source's plan; which of equal rows at the end of a part are taken is drawn."""
+    at_end = (draw == F.col("last_draw")) & (size == F.col("last_size")) & (F.rand(seed) < F.col("last_share"))
+    below = (draw < F.col("last_draw")) | ((draw == F.col("last_draw")) & (size < F.col("last_size")))
+    return F.least(F.col("whole") + (below | at_end).cast("int"), F.lit(int(max_epochs))).cast("long")
+
 
-    t = targets.withColumnRenamed("source", "t_source")
-    out = rest.unionByName(at_border).join(t, F.col("source").eqNullSafe(F.col("t_source")))
-    copies = F.least(F.col("whole") + F.col("extra"), F.lit(int(max_epochs))).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies (0 to max_epochs), taken."""
+    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _draw(F.col("doc_id"), F.col("text"), seed).alias("draw")))
+    plan = mix_plan(sizes.select("source", "size", "draw"), weights, share, max_epochs)
+    out = sizes.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).withColumn("copies", _copies(F.col("draw"), F.col("size"), max_epochs, seed))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-def repeat_documents(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` as the mix takes them: a document appears once per pass, or not at all."""
-    taken = mix(docs, **params).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")).withColumnRenamed("doc_id", "mix_id")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs.doc_id.alias("id"))
-    out = rows.join(taken, F.col("id").eqNullSafe(F.col("mix_id")))
-    return out.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
+def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
+    """``docs`` as the mix takes them: a row appears once per pass, or not at all. Texts are not moved."""
+    size, draw = word_count(docs["text"]), _draw(docs["doc_id"], docs["text"], seed)
+    sizes = materialize(docs.select(docs["source"], size.alias("size"), draw.alias("draw")))
+    plan = mix_plan(sizes, weights, share, max_epochs)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["source"].alias("of"), size.alias("size"), draw.alias("draw"))
+    taken = rows.join(plan, F.col("of").eqNullSafe(F.col("p_source"))).withColumn("copies", _copies(F.col("draw"), F.col("size"), max_epochs, seed))
+    return taken.where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 ORACLE = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS draw FROM documents),
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS draw FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight, source_size * 2.0::DOUBLE AS cap FROM s0),
 fill AS (

@@ -29,13 +29,26 @@ def test_repeated_documents(spark):
     assert out.count() * 10 == sum(r.taken for r in mixing.mix(docs).collect())
 
 
+@pytest.mark.parametrize("name", ["null ids, own texts", "null ids, one text", "repeated ids"])
+def test_a_mix_of_rows_without_ids_of_their_own(spark, name):
+    """Two sources of 300 documents of 10 words each, of weights 3 and 1: 6000 and 3000 words are wanted, the first source twice."""
+    text = lambda i: "w " * 9 + (str(i) if name != "null ids, one text" else "w")
+    rows = [((i % 20) if name == "repeated ids" else None, text(i), "a" if i < 300 else "b", i) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, last_size long")
+    for taken in (
+        {r.source: r.taken for r in mixing.mix(docs).groupBy("source").sum("taken").withColumnRenamed("sum(taken)", "taken").collect()},
+        {r.source: 10 * r["count"] for r in mixing.repeat_documents(docs).groupBy("source").count().collect()},
+    ):
+        assert taken["a"] == 6000 and abs(taken["b"] - 3000) < 500
+
+
 def test_quality_edges(spark):
     good = "\n".join(" ".join(f"{w}{i}{j}" for j in range(12)) for i, w in enumerate(["some", "words", "that", "differ", "mostly", "here"]))
     rows = [(i, good.replace("some", f"some{i}"), "en", "s", 0) for i in range(30)] + [
         (100, None, None, None, 0), (101, "", "en", "s", 0), (102, "a b c " * 60, "en", "s", 0), (103, good + " ### $$$ %%% &&& ||| <<< >>>" * 9, "en", "s", 0), (104, good.upper(), "en", "s", 0), (105, good, "en", None, 0), (None, good, "en", "s", 0), (106, "ß\t" * 70000, "de", "s", 0),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, m long")
-    got = {r.doc_id: r for r in quality.quality_report(docs.drop("m")).collect()}
+    got = {r.doc_id: r for r in quality.quality_report(docs).collect()}
     assert len(got) == len(rows)
     assert all(got[i].kept for i in [*range(30), 105, None]) and not any(got[i].kept for i in (100, 101, 102, 103, 104, 106))
     assert (got[102].n_words, got[102].n_repeat_words, got[102].base_failed) == (180, 180, True)
