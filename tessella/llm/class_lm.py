@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,18 +66,29 @@ def held_out(doc_id=None):
     return F.crc32(name.cast("binary")) % 5 == 1
 
 
+def _squeezed(codes: np.ndarray) -> bytes:
+    return zstandard.compress(codes.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _spread(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+
+
 def blocks_of(docs: DataFrame, load: int = LOAD) -> DataFrame:
-    """Blocks of about ``load`` tokens: doc_ids, flags and ends of their texts, sorted names of their distinct words, and each
-    token's place among the names."""
+    """Blocks of about ``load`` tokens: doc_ids, flags and ends of their texts, names of their distinct words from frequent to rare,
+    and each token's place among the names (compressed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, place, n = _Texts(), TaskContext.get().partitionId(), 0
         ids, held, parts, sizes, total = [], [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            names, codes = np.unique(np.concatenate(parts), return_inverse=True)
-            row = (np.array([x or 0 for x in ids], np.int64), np.array([x is None for x in ids]), np.array(held, bool), np.cumsum(sizes), names, codes.astype(np.uint32))
-            return pa.RecordBatch.from_arrays([pa.array([(place << 32) + n], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in row]], ["block", "docs", "no_id", "held", "ends", "names", "codes"])
+            names, codes, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+            order = np.argsort(-counts, kind="stable")
+            place_of = np.empty(len(names), np.uint32)
+            place_of[order] = np.arange(len(names))
+            row = (np.array([x or 0 for x in ids], np.int64), np.array([x is None for x in ids]), np.array(held, bool), np.cumsum(sizes), names[order], _squeezed(place_of[codes]))
+            return pa.RecordBatch.from_arrays([pa.array([(place << 32) + n], pa.int64()), *[pa.array([bytes(x)], pa.binary()) for x in row]], ["block", "docs", "no_id", "held", "ends", "names", "codes"])
 
         for batch in batches:
             for doc, out, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
@@ -101,7 +113,7 @@ class _Block:
 
     def __init__(self, row: dict):
         read = lambda name, kind: np.frombuffer(row[name], kind)
-        self.block, self.names, self.codes = row["block"], read("names", np.uint64), read("codes", np.uint32).astype(np.int64)
+        self.block, self.names, self.codes = row["block"], read("names", np.uint64), _spread(row["codes"])
         self.docs, self.no_id, self.held, self.ends = read("docs", np.int64), read("no_id", bool), read("held", bool), read("ends", np.int64)
         self.train = np.repeat(~self.held, np.diff(self.ends, prepend=0))
 
@@ -124,7 +136,7 @@ def frequent_words(blocks: DataFrame, buckets: int, most: int) -> tuple[np.ndarr
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                names, codes = np.frombuffer(row["names"], np.uint64), np.frombuffer(row["codes"], np.uint32)
+                names, codes = np.frombuffer(row["names"], np.uint64), _spread(row["codes"])
                 train = np.repeat(~np.frombuffer(row["held"], bool), np.diff(np.frombuffer(row["ends"], np.int64), prepend=0))
                 counts = np.bincount(codes[train], minlength=len(names)).astype(np.uint32)
                 order, cuts = _dealt(names, buckets)
@@ -371,8 +383,10 @@ def class_transitions(blocks: DataFrame, answers: DataFrame, buckets: int, width
 
     out = np.zeros(width * (width + 2))
     counted = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(count, "at long, n long")
-    for r in counted.groupBy("at").agg(F.sum("n").alias("n")).collect():  # of fixed size
+    sums = materialize(counted.groupBy("at").agg(F.sum("n").alias("n")))  # of fixed size
+    for r in sums.collect():
         out[r.at] = r.n
+    discard(sums)
     return out[: width * width].reshape(width, width), out[width * width :][:width], out[width * width + width :]
 
 
