@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 #: A blank that does not start a match of its own: white space before it and no word after it.
 _AMID = re.compile(r"\s (?!\S)")
+_MARKS = (",", ".", ";", ":", "!", "?")
 MEMO = 400_000
 LONG = 64
 SLICE = 512
@@ -43,16 +44,20 @@ _PACK = {code: _pack(code) for code in "HI"}
 
 
 class _Memo(dict):
-    """Results by key, computed when missing; emptied when it holds too many."""
+    """Results by key, computed when missing. When it holds half of ``most``, these become the old half, of which what is met again
+    is taken over; so keys that are met once don't push out the others."""
 
     def __init__(self, compute, most: int = MEMO):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.half, self.old = compute, most // 2, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.compute(key)
         if len(key) <= LONG:
-            if len(self) >= self.most:
+            if len(self) >= self.half:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -83,9 +88,20 @@ class PatternSplitter:
         pieces = _Memo(encode_piece)
         join = lambda text: b"".join(map(pieces.__getitem__, self.find(text)))
         self.whole = join
-        self.first = _Memo(join, MEMO // 8)
-        # A blank and letters alone are one match of the pattern.
-        self.after_blank = _Memo(lambda word: encode_piece(" " + word) if word.isalpha() else join(" " + word))
+        self.first = _Memo(join, MEMO // 4)
+
+        def word(w: str) -> bytes:
+            # A blank and letters alone are one match of the pattern; so are a mark that ends the word, and a line's end amid it.
+            if w.isalpha():
+                return encode_piece(" " + w)
+            if w[-1:] in _MARKS and w[:-1].isalpha():
+                return self.after_blank[w[:-1]] + pieces[w[-1]]
+            head, line, tail = w.partition("\n")
+            if line and head and tail and not head[-1].isspace() and not tail[0].isspace():
+                return self.after_blank[head] + pieces[line] + self.first[tail]
+            return join(" " + w)
+
+        self.after_blank = _Memo(word)
 
     def encode(self, text: str) -> bytes:
         if _AMID.search(text):
