@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,10 @@ def correlation(x: Column, y: Column) -> Column:
 
 def euclid(a: Column, b: Column) -> Column:
     return F.sqrt(a * a + b * b)
+
+
+def join_same(df: DataFrame, other: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """Join on equal keys, a null being equal to a null; the keys come from ``df`` alone."""
+    renamed = other.withColumnsRenamed({k: f"{k}__other" for k in keys})
+    on = [df[k].eqNullSafe(renamed[f"{k}__other"]) for k in keys]
+    return df.join(renamed, on, how).drop(*[f"{k}__other" for k in keys])

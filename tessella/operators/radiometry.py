@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.safe import clip, divide, is_valid, truncate
+from ..functions.safe import clip, divide, is_valid, join_same, truncate
 
 V = F.col
 
@@ -23,7 +23,7 @@ def normalize_u8(df: DataFrame, low: float = 1.0, high: float = 99.0) -> DataFra
     """Stretch between percentiles over all pixels to 0..255, truncated."""
     bounds = percentiles(df, low, high, ["product"]).withColumn("hi_", F.when(V("hi_") <= V("lo_"), V("lo_") + 1e-6).otherwise(V("hi_")))
     scaled = (clip_to(V("v"), V("lo_"), V("hi_")) - V("lo_")) / (V("hi_") - V("lo_")) * 255.0
-    return df.join(bounds, "product").withColumn("v", truncate(scaled)).drop("lo_", "hi_")
+    return join_same(df, bounds, "product").withColumn("v", truncate(scaled)).drop("lo_", "hi_")
 
 
 def clip_to(v: Column, low: Column, high: Column) -> Column:
@@ -31,12 +31,15 @@ def clip_to(v: Column, low: Column, high: Column) -> Column:
 
 
 def normalize_masked(df: DataFrame, low: float = 2.0, high: float = 98.0) -> DataFrame:
-    """Stretch between percentiles of valid pixels to 0..1; invalid ones become 0. Adds valid."""
-    ok = is_valid(V("v"))
+    """Stretch between percentiles of valid pixels to 0..1; invalid ones become 0. Adds valid. A product without a valid
+    pixel raises."""
+    ok = F.coalesce(is_valid(V("v")), F.lit(False))
     bounds = percentiles(df, low, high, ["product"], ok)
+    some = F.assert_true(V("lo_").isNotNull(), F.concat(F.lit("no valid pixel in product "), F.coalesce(V("product").cast("string"), F.lit("null"))))
+    bounds = bounds.withColumn("lo_", F.when(some.isNull(), V("lo_")))
     bounds = bounds.withColumn("hi_", F.when(V("hi_") <= V("lo_"), V("lo_") + 1.0).otherwise(V("hi_")))
     scaled = clip((V("v") - V("lo_")) / (V("hi_") - V("lo_")), 0, 1)
-    return df.join(bounds, "product").withColumn("valid", ok).withColumn("v", F.when(V("valid"), scaled).otherwise(0.0)).drop("lo_", "hi_")
+    return join_same(df, bounds, "product").withColumn("valid", ok).withColumn("v", F.when(V("valid"), scaled).otherwise(0.0)).drop("lo_", "hi_")
 
 
 def invert(v: Column) -> Column:
@@ -51,7 +54,7 @@ def log_compress(df: DataFrame, c: float = 1.0) -> DataFrame:
     """c * log(1 + v/255), rescaled by its greatest value per product to 255, truncated."""
     compressed = df.withColumn("v", c * F.log1p(V("v") / 255.0))
     top = compressed.groupBy("product").agg(F.max("v").alias("top_"))
-    return compressed.join(top, "product").withColumn("v", truncate(F.round(F.when(V("top_") > 0, V("v") / V("top_") * 255.0).otherwise(V("v")), 9))).drop("top_")
+    return join_same(compressed, top, "product").withColumn("v", truncate(F.round(F.when(V("top_") > 0, V("v") / V("top_") * 255.0).otherwise(V("v")), 9))).drop("top_")
 
 
 def to_unit(v: Column) -> Column:
@@ -74,23 +77,32 @@ def seeded_uniform(low: float, high: float, seed: int, *keys: Column) -> Column:
 
 def minmax_stretch(df: DataFrame) -> DataFrame:
     bounds = df.groupBy("product").agg(F.min("v").alias("lo_"), F.max("v").alias("hi_"))
-    return df.join(bounds, "product").withColumn("v", divide(V("v") - V("lo_"), V("hi_") - V("lo_")) * 255.0).drop("lo_", "hi_")
+    return join_same(df, bounds, "product").withColumn("v", divide(V("v") - V("lo_"), V("hi_") - V("lo_")) * 255.0).drop("lo_", "hi_")
 
 
 def histogram_match(df: DataFrame, source: str, reference: str) -> DataFrame:
     """Map the source's values so that their distribution is the reference's (interpolated cumulative shares), truncated.
 
-    Works on value counts: one row per distinct value and product, so the ordered windows stay small.
+    Works on value counts, one row per distinct value and product: both products' cumulative shares are merged in one order, in
+    which each of the source's shares finds the reference's on either side.
     """
-    counts = df.where(V("product").isin(source, reference)).groupBy("product", "v").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("product")
-    shares = counts.withColumn("share", F.sum("n").over(w.orderBy("v")) / F.sum("n").over(w))
-    ref = shares.where(V("product") == reference).select(V("share").alias("r_share"), V("v").alias("r_v"))
-    steps = ref.select("r_share", "r_v", F.lead("r_share").over(Window.orderBy("r_share")).alias("n_share"), F.lead("r_v").over(Window.orderBy("r_share")).alias("n_v"))
-    first = ref.agg(F.min("r_share").alias("first_share"), F.min("r_v").alias("first_v"))
-    src = shares.where(V("product") == source).select("v", "share")
-    inside = src.join(steps, (V("share") >= V("r_share")) & (V("share") < F.coalesce(V("n_share"), F.lit(2.0))), "left").join(first)
-    slope = F.try_divide(V("share") - V("r_share"), V("n_share") - V("r_share"))
-    value = F.when(V("r_share").isNull(), V("first_v")).when(V("n_share").isNull(), V("r_v")).otherwise(V("r_v") + slope * (V("n_v") - V("r_v")))
-    table = inside.select("v", truncate(clip(value, 0, 255)).alias("matched"))
-    return df.where(V("product") == source).join(table, "v").select("product", "y", "x", V("matched").alias("v"))
+    return match_histograms(df.where(V("product") == source), df.where(V("product") == reference))
+
+
+def match_histograms(df: DataFrame, reference: DataFrame) -> DataFrame:
+    """Every product of ``df``, matched to all pixels of ``reference``."""
+    shares_of = lambda rows, w: rows.withColumn("share", F.sum("n").over(w.orderBy("v")) / F.sum("n").over(w))
+    counts = lambda rows, *keys: rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
+    src = shares_of(counts(df, "product"), Window.partitionBy("product")).select("product", "v", "share", F.lit(None).cast("struct<share:double,v:double>").alias("at"))
+    ref = shares_of(counts(reference).withColumn("all", F.lit(0)), Window.partitionBy("all"))
+    point = F.struct(V("share").cast("double").alias("share"), V("v").cast("double").alias("v")).alias("at")
+    ref = counts(df, "product").select("product").distinct().join(ref.select("share", point), how="cross")  # products x values of one raster
+    both = src.unionByName(ref.select("product", F.lit(None).cast(df.schema["v"].dataType).alias("v"), "share", "at"))
+    order = Window.partitionBy("product").orderBy("share")
+    below = F.last("at", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    above = F.first("at", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    met = both.withColumn("low", below).withColumn("high", above).where(V("at").isNull())
+    slope = F.try_divide(V("share") - V("low.share"), V("high.share") - V("low.share"))
+    value = F.when(V("low").isNull(), V("high.v")).when(V("high").isNull() | slope.isNull(), V("low.v")).otherwise(V("low.v") + slope * (V("high.v") - V("low.v")))
+    table = met.select("product", "v", truncate(clip(value, 0, 255)).alias("matched"))
+    return join_same(df, table, "product", "v").select("product", "y", "x", V("matched").alias("v"))

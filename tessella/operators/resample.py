@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.safe import truncate
+from ..functions.safe import join_same, truncate
 
 V = F.col
 
@@ -24,7 +22,7 @@ def bin_means(df: DataFrame, bins: Column | int, *, half_even: bool) -> DataFram
     edges = rows.withColumn("i", F.explode(F.sequence(F.lit(0), V("bins") - 1)))
     edges = edges.select("product", "y", V("i").cast("long").alias("bin"), bin_edge(V("i"), V("n"), V("bins")).alias("a"), bin_edge(V("i") + 1, V("n"), V("bins")).alias("b"))
     px = df.select(V("product").alias("p_"), V("y").alias("y_"), "x", "v")
-    met = edges.join(px, (V("product") == V("p_")) & (V("y") == V("y_")) & (V("x") >= V("a")) & (V("x") < V("b")), "left")
+    met = edges.join(px, V("product").eqNullSafe(V("p_")) & (V("y") == V("y_")) & (V("x") >= V("a")) & (V("x") < V("b")), "left")
     mean = F.coalesce(F.avg("v"), F.lit(0.0))
     return met.groupBy("product", "y", V("bin").alias("x")).agg((F.rint(mean).cast("long") if half_even else truncate(mean)).alias("v"))
 
@@ -32,7 +30,7 @@ def bin_means(df: DataFrame, bins: Column | int, *, half_even: bool) -> DataFram
 def area_resize(df: DataFrame, height: int, width: int) -> DataFrame:
     """Means weighted by the area that a pixel shares with a target cell."""
     size = df.groupBy("product").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    px = df.join(size, "product")
+    px = join_same(df, size, "product")
     for axis, old, new in (("y", "h", height), ("x", "w", width)):
         scale = V(old).cast("double") / new
         first, last = F.floor(V(axis) / scale), F.least(F.floor((V(axis) + 1 - 1e-9) / scale), F.lit(new - 1))
@@ -51,14 +49,14 @@ def pad_to_multiple(df: DataFrame, multiple: int = 8) -> DataFrame:
     up = lambda c: (F.ceil((F.max(c) + 1) / multiple) * multiple).cast("long")
     grid = df.groupBy("product").agg(up("y").alias("h"), up("x").alias("w"))
     grid = grid.select("product", "h", "w", F.explode(F.sequence(F.lit(0).cast("long"), V("h") - 1)).alias("y")).select("product", "y", F.explode(F.sequence(F.lit(0).cast("long"), V("w") - 1)).alias("x"))
-    return grid.join(df.select("product", "y", "x", "v"), ["product", "y", "x"], "left").select("product", "y", "x", F.coalesce("v", F.lit(0.0)).alias("v"), F.coalesce(V("v") > 0, F.lit(False)).alias("valid"))
+    return join_same(grid, df.select("product", "y", "x", "v"), "product", "y", "x", how="left").select("product", "y", "x", F.coalesce("v", F.lit(0.0)).alias("v"), F.coalesce(V("v") > 0, F.lit(False)).alias("valid"))
 
 
 def trim_ramp(df: DataFrame, top: int, bottom: int) -> DataFrame:
-    """Rows cut to a width that runs from ``top`` to ``bottom``."""
+    """Rows cut to a width that runs from ``top`` to ``bottom``; a single row has ``top``."""
     last = df.groupBy("product").agg(F.max("y").alias("last"))
-    width = F.rint(top + V("y") / V("last") * (bottom - top))
-    return df.join(last, "product").where(V("x") < width).drop("last")
+    width = F.rint(top + F.coalesce(F.try_divide(V("y"), V("last")), F.lit(0.0)) * (bottom - top))
+    return join_same(df, last, "product").where(V("x") < width).drop("last")
 
 
 def window_crop(df: DataFrame, y0: int, height: int, x0: int, width: int) -> DataFrame:
@@ -76,34 +74,40 @@ def unpatchify(patches: DataFrame, size: int) -> DataFrame:
     return patches.select("product", "py", "px", F.posexplode("values").alias("i", "v")).select("product", (V("py") * size + F.floor(V("i") / size)).alias("y"), (V("px") * size + V("i") % size).alias("x"), "v")
 
 
-def _cubic_rows(length: int, out: int) -> np.ndarray:
-    """Weights of cubic interpolation (a = -0.75, edges replicated) from ``length`` samples to ``out``."""
-    weights = np.zeros((out, length))
-    at = (np.arange(out) + 0.5) * length / out - 0.5
-    base = np.floor(at).astype(int)
+def cubic_taps(at: Column, taps: Column) -> Column:
+    """Cubic interpolation (a = -0.75) at place ``at`` from an array of the four samples around it."""
+    t = at - F.floor(at)
     a = -0.75
-    for k in range(-1, 3):
-        d = np.abs(at - (base + k))
-        w = np.where(d <= 1, ((a + 2) * d - (a + 3)) * d * d + 1, ((a * d - 5 * a) * d + 8 * a) * d - 4 * a)
-        np.add.at(weights, (np.arange(out), np.clip(base + k, 0, length - 1)), w)
-    return weights
+    near = lambda d: ((a + 2) * d - (a + 3)) * d * d + 1
+    far = lambda d: ((a * d - 5 * a) * d + 8 * a) * d - 4 * a
+    return far(t + 1) * taps[0] + near(t) * taps[1] + near(1 - t) * taps[2] + far(2 - t) * taps[3]
+
+
+def _resample_axis(df: DataFrame, axis: str, scale: float) -> DataFrame:
+    """One pass: each output place finds its four samples, edges replicated, through offset windows along the axis. A sample makes
+    the outputs that lie between it and the next, so no row is repeated but by the scale itself."""
+    other = "x" if axis == "y" else "y"
+    w = Window.partitionBy("product", other).orderBy(axis)
+    v = V("v").cast("double")
+    lines = df.select("product", other, axis, v.alias("v")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("product", other)))
+    before, after = F.coalesce(F.lag("v").over(w), V("v")), F.coalesce(F.lead("v").over(w), V("v"))
+    second = F.coalesce(F.lead("v", 2).over(w), after)
+    taps = lines.withColumn("taps", F.array(before, V("v"), after, second))
+    out = F.greatest(F.lit(1), F.rint(V("n") * scale)).cast("long")
+    # Output o lies at (o + 0.5) n / out - 0.5; sample i serves those from i up to i + 1, the first one those before it as well.
+    step = V("n") / V("out_n")
+    first = F.when(V(axis) == 0, 0).otherwise(F.ceil((V(axis) + 0.5) / step - 0.5 - 1e-9)).cast("long")
+    last = F.when(V(axis) == V("n") - 1, V("out_n") - 1).otherwise(F.ceil((V(axis) + 1.5) / step - 0.5 - 1e-9) - 1).cast("long")
+    made = taps.withColumn("out_n", out).withColumn("first", first).withColumn("last", F.least(last, V("out_n") - 1)).where(V("first") <= V("last"))
+    made = made.withColumn("o", F.explode(F.sequence("first", "last"))).withColumn("at", (V("o") + 0.5) * step - 0.5)
+    # Before the first sample the four are shifted by one: two copies of the first, itself among them, and the next.
+    early = V("at") < V(axis)
+    four = F.when(early, F.array(V("taps")[1], V("taps")[1], V("taps")[1], V("taps")[2])).otherwise(V("taps"))
+    return made.select("product", other, V("o").alias(axis), cubic_taps(V("at"), four).alias("v"))
 
 
 def resample(df: DataFrame, source: float, target: float) -> DataFrame:
-    """Cubic resampling from one ground resolution to another, in two passes: along rows, then along columns. A group is one
-    line of pixels, never a raster."""
+    """Cubic resampling of dense rasters from one ground resolution to another, in two passes: along rows, then along columns."""
     if source <= 0 or target <= 0:
         raise ValueError("resolutions must be positive")
-
-    def along(axis: str, other: str):
-        def run(line: pd.DataFrame) -> pd.DataFrame:
-            values = line.sort_values(axis).v.to_numpy()
-            out = max(1, round(len(values) * source / target))
-            new = _cubic_rows(len(values), out) @ values
-            return pd.DataFrame({"product": line["product"].iloc[0], other: line[other].iloc[0], axis: np.arange(out), "v": new})
-
-        return run
-
-    schema = "product string, y long, x long, v double"
-    once = df.select("product", "y", "x", "v").groupBy("product", "y").applyInPandas(lambda d: along("x", "y")(d)[["product", "y", "x", "v"]], schema)
-    return once.groupBy("product", "x").applyInPandas(lambda d: along("y", "x")(d)[["product", "y", "x", "v"]], schema)
+    return _resample_axis(_resample_axis(df, "x", source / target), "y", source / target).select("product", "y", "x", "v")

@@ -17,11 +17,10 @@ def series_stats(df: DataFrame, fields: list[str], keys: list[str], time: str) -
     )
 
 
-def nearest(targets: DataFrame, records: DataFrame, target: str, value: str, order: str, width: float = 1.0, rounds: int = 3) -> DataFrame:
+def nearest(targets: DataFrame, records: DataFrame, target: str, value: str, order: str) -> DataFrame:
     """Each target with the record whose ``value`` is nearest, the first by ``order`` of equals, however far it lies.
 
     The nearest is one of two, the record before and the one after the target by value. A null target has no record.
-    ``width`` and ``rounds``, of an earlier search by buckets, are accepted and have no effect.
     """
     gap = lambda side: F.abs(V(f"{side}.{value}") - V(target))
     closer = (gap("low") < gap("high")) | ((gap("low") == gap("high")) & (V(f"low.{order}") <= V(f"high.{order}")))

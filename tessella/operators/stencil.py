@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.safe import clip, divide, euclid, is_valid, truncate
+from ..functions.safe import clip, divide, euclid, is_valid, join_same, truncate
 from .radiometry import normalize_masked, percentiles
 
 V = F.col
@@ -63,26 +63,38 @@ def dilate_cross(df: DataFrame) -> DataFrame:
     return df.withColumn("n_", F.array(*around)).withColumn("v", F.greatest(V("v"), *[F.coalesce(V("n_")[i], V("v")) for i in range(4)])).drop("n_")
 
 
-def _neighbours(df: DataFrame, radius: int) -> DataFrame:
-    """(product, y, x, v of the pixel as centre, dy, dx, n: the neighbour's value); edges are replicated."""
-    size = df.groupBy("product").agg(F.max("y").alias("my_"), F.max("x").alias("mx_"))
-    offsets = F.sequence(F.lit(-radius), F.lit(radius))
-    wide = df.join(size, "product").withColumn("dy", F.explode(offsets)).withColumn("dx", F.explode(offsets))
-    wide = wide.withColumn("ny_", F.least(F.greatest(V("y") + V("dy"), F.lit(0)), V("my_"))).withColumn("nx_", F.least(F.greatest(V("x") + V("dx"), F.lit(0)), V("mx_")))
-    other = df.select("product", V("y").alias("ny_"), V("x").alias("nx_"), V("v").alias("n"))
-    return wide.join(other, ["product", "ny_", "nx_"]).select("product", "y", "x", "v", "dy", "dx", "n")
+def _window(df: DataFrame, radius: int) -> DataFrame:
+    """Adds around: rows of values from ``radius`` above to ``radius`` below, each from left to right, edges replicated. Two passes of
+    offset windows, so a raster moves twice whatever the radius."""
+
+    def line(v: Column, w) -> Column:
+        before = [F.lag(v, d).over(w) for d in range(radius, 0, -1)]
+        after = [F.lead(v, d).over(w) for d in range(1, radius + 1)]
+        left = [F.coalesce(*before[i:], v) for i in range(radius)]
+        right = [F.coalesce(*reversed(after[: i + 1]), v) for i in range(radius)]
+        return F.array(*left, v, *right)
+
+    return df.withColumn("h_", line(V("v"), row())).withColumn("around", line(V("h_"), column())).drop("h_")
 
 
 def median_blur(df: DataFrame, size: int = 5) -> DataFrame:
-    return _neighbours(df, size // 2).groupBy("product", "y", "x").agg(F.percentile("n", 0.5).alias("v"))
+    """Median over size x size pixels, edges replicated."""
+    middle = (size * size) // 2
+    return _window(df, size // 2).withColumn("v", F.array_sort(F.flatten("around"))[middle].cast("double")).drop("around")
 
 
 def bilateral(df: DataFrame, diameter: int = 5, sigma_color: float = 50.0, sigma_space: float = 50.0) -> DataFrame:
     """Mean over a disc, weighted by closeness in place and value."""
     r = diameter // 2
-    near = _neighbours(df, r).where(V("dy") * V("dy") + V("dx") * V("dx") <= r * r)
-    w = F.exp(-(V("dy") * V("dy") + V("dx") * V("dx")) / (2.0 * sigma_space**2) - F.pow(V("n") - V("v"), F.lit(2)) / (2.0 * sigma_color**2))
-    return near.withColumn("w", w).groupBy("product", "y", "x").agg((F.sum(V("w") * V("n")) / F.sum("w")).alias("v"))
+    near = _window(df, r)
+    total, weights = F.lit(0.0), F.lit(0.0)
+    for dy in range(-r, r + 1):
+        for dx in range(-r, r + 1):
+            if dy * dy + dx * dx <= r * r:
+                n = V("around")[dy + r][dx + r]
+                w = F.exp(F.lit(-(dy * dy + dx * dx) / (2.0 * sigma_space**2)) - F.pow(n - V("v"), F.lit(2)) / (2.0 * sigma_color**2))
+                total, weights = total + w * n, weights + w
+    return near.withColumn("v", total / weights).drop("around")
 
 
 def gradient_magnitude(df: DataFrame) -> DataFrame:
@@ -90,7 +102,7 @@ def gradient_magnitude(df: DataFrame) -> DataFrame:
     g = gradient(normalize_masked(df)).withColumn("g", F.when(V("valid"), euclid(V("gx"), V("gy"))).otherwise(0.0))
     scale = percentiles(g.withColumn("v", V("g")), 50, 99, ["product"], V("g") > 0).select("product", V("hi_").alias("p_"))
     scaled = clip(divide(V("g"), V("p_")), 0, 1) * 255.0
-    return g.join(scale, "product").select("product", "y", "x", truncate(scaled).alias("v"))
+    return join_same(g, scale, "product").select("product", "y", "x", truncate(scaled).alias("v"))
 
 
 def orientation(df: DataFrame) -> DataFrame:
@@ -113,17 +125,17 @@ def left_justify(df: DataFrame, width: int) -> DataFrame:
     left = F.min(F.when(V("v") > 0, V("x"))).over(Window.partitionBy("product", "y"))
     moved = df.withColumn("x", V("x") - left).where(V("x").between(0, width - 1))
     grid = df.select("product", "y").distinct().withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))))
-    return grid.join(moved.select("product", "y", V("x").cast("long").alias("x"), "v"), ["product", "y", "x"], "left").select("product", "y", "x", F.coalesce("v", F.lit(0.0)).alias("v"))
+    return join_same(grid, moved.select("product", "y", V("x").cast("long").alias("x"), "v"), "product", "y", "x", how="left").select("product", "y", "x", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
 def equalize_adaptive(df: DataFrame, clip_limit: float = 2.0, tiles: int = 8) -> DataFrame:
     """Contrast-limited adaptive equalisation of 0..255 values: clipped histograms per tile, their cumulative tables, and
     bilinear blending of the four nearest tables. Rasters are taken to fill the tiles evenly."""
     size = df.groupBy("product").agg(F.ceil((F.max("y") + 1) / tiles).alias("th_"), F.ceil((F.max("x") + 1) / tiles).alias("tw_"))
-    px = df.join(size, "product").withColumn("b_", V("v").cast("int")).withColumn("ty", F.floor(V("y") / V("th_"))).withColumn("tx", F.floor(V("x") / V("tw_")))
+    px = join_same(df, size, "product").withColumn("b_", V("v").cast("int")).withColumn("ty", F.floor(V("y") / V("th_"))).withColumn("tx", F.floor(V("x") / V("tw_")))
     hist = px.groupBy("product", "ty", "tx", "b_").agg(F.count(F.lit(1)).alias("n"))
     area = hist.groupBy("product", "ty", "tx").agg(F.sum("n").alias("area"))
-    bins = area.withColumn("b_", F.explode(F.sequence(F.lit(0), F.lit(255)))).join(hist, ["product", "ty", "tx", "b_"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    bins = area.withColumn("b_", F.explode(F.sequence(F.lit(0), F.lit(255)))).transform(lambda t: join_same(t, hist, "product", "ty", "tx", "b_", how="left")).withColumn("n", F.coalesce("n", F.lit(0)))
     limit = F.greatest(F.floor(clip_limit * V("area") / 256), F.lit(1))
     tile = Window.partitionBy("product", "ty", "tx")
     bins = bins.withColumn("kept", F.least(V("n"), limit)).withColumn("spare", F.sum(V("n") - V("kept")).over(tile)).withColumn("kept", V("kept") + V("spare") / 256.0)
@@ -133,7 +145,7 @@ def equalize_adaptive(df: DataFrame, clip_limit: float = 2.0, tiles: int = 8) ->
     y0, x0 = F.floor(fy), F.floor(fx)
     corner = lambda dy, dx: F.struct(clip_long(y0 + dy, last).alias("ty"), clip_long(x0 + dx, last).alias("tx"), ((fy - y0 if dy else 1 - (fy - y0)) * (fx - x0 if dx else 1 - (fx - x0))).alias("w"))
     wide = px.drop("ty", "tx").withColumn("c", F.explode(F.array(*[corner(dy, dx) for dy in (0, 1) for dx in (0, 1)]))).select("product", "y", "x", "b_", "c.*")
-    present = wide.join(lut, ["product", "ty", "tx", "b_"])
+    present = join_same(wide, lut, "product", "ty", "tx", "b_")
     return present.groupBy("product", "y", "x").agg((F.sum(V("lut") * V("w")) / F.sum("w")).alias("v")).withColumn("v", F.rint("v"))
 
 

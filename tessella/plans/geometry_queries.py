@@ -41,8 +41,8 @@ query("pair_combos", f"WITH {CORNERS} SELECT DISTINCT a.key AS key_a, b.key AS k
 )
 query(
     "scanline_range",
-    f"WITH {CORNERS}, rw AS (SELECT unnest(range(0, 120)) AS \"row\"), h AS (SELECT key, \"row\", 1.2::DOUBLE + (\"row\" + 0.5::DOUBLE) * -0.02::DOUBLE AS lat, lon1, lat1, lon2, lat2 FROM sd CROSS JOIN rw WHERE key LIKE 'O2%') SELECT key, \"row\", round(lat, 6) AS lat, round(min(lon1 + (lat - lat1) / (lat2 - lat1) * (lon2 - lon1)), 6) AS lo, round(max(lon1 + (lat - lat1) / (lat2 - lat1) * (lon2 - lon1)), 6) AS hi FROM h WHERE lat BETWEEN least(lat1, lat2) AND greatest(lat1, lat2) AND lat1 <> lat2 GROUP BY key, \"row\", lat",
-)(lambda s, d: G.scanlines(footprints(s).where("key like 'O2%'"), "key", 1.2, -0.02, 120).select("key", V("row").cast("long").alias("row"), *[F.round(c, 6).alias(c) for c in ("lat", "lo", "hi")]))
+    f"WITH {CORNERS}, rw AS (SELECT unnest(range(0, 120)) AS \"row\"), h AS (SELECT key, \"row\", 1.2::DOUBLE + (\"row\" + 0.5::DOUBLE) * -0.02::DOUBLE AS lat, lon1, lat1, lon2, lat2 FROM sd CROSS JOIN rw) SELECT key, \"row\", round(lat, 6) AS lat, round(min(lon1 + (lat - lat1) / (lat2 - lat1) * (lon2 - lon1)), 6) AS lo, round(max(lon1 + (lat - lat1) / (lat2 - lat1) * (lon2 - lon1)), 6) AS hi FROM h WHERE lat BETWEEN least(lat1, lat2) AND greatest(lat1, lat2) AND lat1 <> lat2 GROUP BY key, \"row\", lat",
+)(lambda s, d: G.scanlines(footprints(s), "key", 1.2, -0.02, 120).select("key", V("row").cast("long").alias("row"), *[F.round(c, 6).alias(c) for c in ("lat", "lo", "hi")]))
 query("sun_delta", "SELECT o_orderkey, round(least(abs(o_totalprice % 360 - o_custkey % 360), 360 - abs(o_totalprice % 360 - o_custkey % 360)), 6) AS delta FROM orders")(
     lambda s, d: table(s, d, "orders").select("o_orderkey", F.round(G.circular_difference(V("o_totalprice") % 360, (V("o_custkey") % 360).cast("double")), 6).alias("delta"))
 )
@@ -128,20 +128,11 @@ query("lat_window", "SELECT event_id, user_id, value FROM events WHERE value BET
 query("series_stats", "SELECT event_type, 'value' AS field, count(*) AS records, min(ts) AS first_time, max(ts) AS last_time, min(value) AS v_min, round(median(value), 6) AS v_median, max(value) AS v_max FROM events GROUP BY 1 UNION ALL SELECT event_type, 'user_id', count(*), min(ts), max(ts), min(user_id)::DOUBLE, median(user_id)::DOUBLE, max(user_id)::DOUBLE FROM events GROUP BY 1")(
     lambda s, d: T.series_stats(table(s, d, "events"), ["value", "user_id"], ["event_type"], "ts").withColumn("v_median", F.round("v_median", 6))
 )
-query("nearest_lat", "WITH t AS (SELECT o_orderkey, o_totalprice / 1000 AS want FROM orders WHERE o_orderkey % 50 = 0), j AS (SELECT t.o_orderkey, e.event_id, e.value, row_number() OVER (PARTITION BY t.o_orderkey ORDER BY abs(e.value - want), e.event_id) AS r FROM t CROSS JOIN events e) SELECT o_orderkey, event_id, value FROM j WHERE r = 1")(
-    lambda s, d: _nearest_lat(s, d, table(s, d, "orders").where("o_orderkey % 50 = 0"))
+query("nearest_lat", "WITH t AS (SELECT o_orderkey, o_totalprice / 1000 AS want FROM orders), r AS (SELECT value, min(event_id) AS event_id FROM events GROUP BY value), lo AS (SELECT o_orderkey, want, value, event_id FROM t ASOF LEFT JOIN r ON want >= value), hi AS (SELECT o_orderkey, value, event_id FROM t ASOF LEFT JOIN r ON want <= value), b AS (SELECT o_orderkey, lo.event_id AS e1, lo.value AS v1, hi.event_id AS e2, hi.value AS v2, hi.value IS NULL OR abs(lo.value - want) < abs(hi.value - want) OR (abs(lo.value - want) = abs(hi.value - want) AND lo.event_id <= hi.event_id) AS low FROM lo JOIN hi USING (o_orderkey)) SELECT o_orderkey, CASE WHEN low THEN e1 ELSE e2 END AS event_id, CASE WHEN low THEN v1 ELSE v2 END AS value FROM b")(
+    lambda s, d: T.nearest(table(s, d, "orders").select("o_orderkey", (V("o_totalprice") / 1000).alias("want")), table(s, d, "events").select("event_id", "value"), "want", "value", "event_id").select("o_orderkey", "event_id", "value")
 )
-
-
-def _nearest_lat(s: SparkSession, d: str, orders: DataFrame) -> DataFrame:
-    targets = orders.select("o_orderkey", (V("o_totalprice") / 1000).alias("want"))
-    return T.nearest(targets, table(s, d, "events").select("event_id", "value"), "want", "value", "event_id", 1.0).select("o_orderkey", "event_id", "value")
-
-
-# A record for every order; its SQL would be a cross join of whole tables.
-query("nearest_lat_whole")(lambda s, d: _nearest_lat(s, d, table(s, d, "orders")))
 query("nearest_band", "SELECT s_suppkey, p_partkey FROM (SELECT s_suppkey, p_partkey, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(p_retailprice - s_acctbal), p_partkey) AS r FROM supplier CROSS JOIN part) WHERE r = 1")(
-    lambda s, d: T.nearest(table(s, d, "supplier").select("s_suppkey", "s_acctbal"), table(s, d, "part").select("p_partkey", "p_retailprice"), "s_acctbal", "p_retailprice", "p_partkey", 4.0).select("s_suppkey", "p_partkey")
+    lambda s, d: T.nearest(table(s, d, "supplier").select("s_suppkey", "s_acctbal"), table(s, d, "part").select("p_partkey", "p_retailprice"), "s_acctbal", "p_retailprice", "p_partkey").select("s_suppkey", "p_partkey")
 )
 # Lines, headers and labels are spelled out of table columns, so that both engines parse the same text.
 _LINE = "rpad('ORBTATTD', 18, ' ') || lpad(year(ts)::VARCHAR, 4, ' ') || lpad(month(ts)::VARCHAR, 4, ' ') || lpad(day(ts)::VARCHAR, 4, ' ') || lpad(hour(ts)::VARCHAR, 4, ' ') || lpad(minute(ts)::VARCHAR, 4, ' ') || lpad(second(ts)::VARCHAR, 4, ' ') || lpad('0', 4, ' ') || lpad(user_id::VARCHAR, 20, ' ')"

@@ -15,19 +15,18 @@ from .fixtures import patches, raster, table
 V = F.col
 
 
-def _features(s: SparkSession, d: str, side: int, whole: bool = False) -> DataFrame:
-    """Features of one side; the queries with SQL keep its prefix of the ids, the ``_whole`` ones read every row."""
-    rows = patches(s, d) if whole else patches(s, d).where(V("vec_id") < 100)
-    return rows.where(V("vec_id") % 2 == side).select(F.floor(V("vec_id") / 50).alias("pair"), F.floor(V("vec_id") % 50 / 2).alias("i"), "f")
+def _features(s: SparkSession, d: str, side: int) -> DataFrame:
+    """Features of one side of every pair: 50 ids in a row are a pair, even ones its first image and odd ones its second."""
+    return patches(s, d).where(V("vec_id") % 2 == side).select(F.floor(V("vec_id") / 50).alias("pair"), F.floor(V("vec_id") % 50 / 2).alias("i"), "f")
 
 
-_SIM = "fe AS (SELECT vec_id // 50 AS pair, (vec_id % 50) // 2 AS i, vec_id % 2 AS side, embedding::DOUBLE[] AS f FROM embeddings WHERE vec_id < 100), sim AS (SELECT a.pair, a.i, b.i AS j, list_sum(list_transform(range(1, 65), lambda t: a.f[t] * b.f[t])) * 10 AS sim FROM fe a JOIN fe b ON a.pair = b.pair AND a.side = 0 AND b.side = 1)"
+_SIM = "fe AS (SELECT vec_id // 50 AS pair, (vec_id % 50) // 2 AS i, vec_id % 2 AS side, embedding::DOUBLE[] AS f FROM embeddings), sim AS (SELECT a.pair, a.i, b.i AS j, list_sum(list_transform(range(1, 65), lambda t: a.f[t] * b.f[t])) * 10 AS sim FROM fe a JOIN fe b ON a.pair = b.pair AND a.side = 0 AND b.side = 1)"
 _LOGP = "lp AS (SELECT pair, i, j, 2 * sim - (ln(sum(exp(sim - mi)) OVER (PARTITION BY pair, i)) + mi) - (ln(sum(exp(sim - mj)) OVER (PARTITION BY pair, j)) + mj) AS logp FROM (SELECT *, max(sim) OVER (PARTITION BY pair, i) AS mi, max(sim) OVER (PARTITION BY pair, j) AS mj FROM sim))"
 _MUTUAL = "bm AS (SELECT *, row_number() OVER (PARTITION BY pair, i ORDER BY logp DESC, j) AS ri, row_number() OVER (PARTITION BY pair, j ORDER BY logp DESC, i) AS rj FROM lp), mu AS (SELECT pair, i, j, exp(logp) AS conf FROM bm WHERE ri = 1 AND rj = 1 AND exp(logp) > 0.01)"
 
 
-def _similar(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return M.similarity(_features(s, d, 0, whole), _features(s, d, 1, whole), 10.0)
+def _similar(s: SparkSession, d: str) -> DataFrame:
+    return M.similarity(_features(s, d, 0), _features(s, d, 1), 10.0)
 
 
 def _top1(sim: DataFrame) -> DataFrame:
@@ -100,8 +99,8 @@ def _weights(s: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 query(
     "kan_layer",
-    f"WITH xs AS (SELECT vec_id * 64 + i AS vec_id, x FROM (SELECT vec_id, unnest(embedding)::DOUBLE * 10 AS x, unnest(range(0, 64)) AS i FROM embeddings WHERE vec_id < 60)), {_spline_sql()}, tm AS (SELECT vec_id // 64 AS v, vec_id % 64 AS i, 0 AS k, x / (1 + exp(-x)) AS t FROM xs UNION ALL SELECT vec_id // 64, vec_id % 64, i + 1, b FROM s3), wt AS (SELECT id % 2 AS o, id // 2 AS i, 0 AS k, (id * 37 % 101) / 101 - 0.5 AS w FROM (SELECT unnest(range(0, 128)) AS id) UNION ALL SELECT id % 2, id // 2 % 64, id // 128 + 1, (id * 53 % 103) / 103 - 0.5 FROM (SELECT unnest(range(0, 1024)) AS id)) SELECT v AS vec_id, o::INT AS o, round(sum(t * w), 5) AS y FROM tm JOIN wt USING (i, k) GROUP BY v, o",
-)(lambda s, d: _kan(s, patches(s, d).where("vec_id < 60")))
+    f"WITH xs AS (SELECT vec_id * 64 + i AS vec_id, x FROM (SELECT vec_id, unnest(embedding)::DOUBLE * 10 AS x, unnest(range(0, 64)) AS i FROM embeddings)), {_spline_sql()}, tm AS (SELECT vec_id // 64 AS v, vec_id % 64 AS i, 0 AS k, x / (1 + exp(-x)) AS t FROM xs UNION ALL SELECT vec_id // 64, vec_id % 64, i + 1, b FROM s3), wt AS (SELECT id % 2 AS o, id // 2 AS i, 0 AS k, (id * 37 % 101) / 101 - 0.5 AS w FROM (SELECT unnest(range(0, 128)) AS id) UNION ALL SELECT id % 2, id // 2 % 64, id // 128 + 1, (id * 53 % 103) / 103 - 0.5 FROM (SELECT unnest(range(0, 1024)) AS id)) SELECT v AS vec_id, o::INT AS o, round(sum(t * w), 5) AS y FROM tm JOIN wt USING (i, k) GROUP BY v, o",
+)(lambda s, d: _kan(s, patches(s, d)))
 query("gather_join", f"WITH {_PROJ}, uv AS (SELECT cell, greatest(0, least(round_even((py + 0.5) / 8 - 0.5, 0)::BIGINT, 29)) * 18 + greatest(0, least(round_even((px + 0.5) / 8 - 0.5, 0)::BIGINT, 17)) AS j FROM pp) SELECT cell, j, label FROM uv JOIN embeddings ON vec_id = j")(
     lambda s, d: _cells(s).select("cell", "j").join(patches(s, d).select(V("vec_id").alias("j"), "label"), "j")
 )
@@ -111,16 +110,6 @@ query("top1_acc", f"WITH {_SIM}, {_LOGP}, b AS (SELECT pair, i, j, row_number()
 query("losses", f"WITH {_SIM}, {_LOGP} SELECT pair, round(avg(-logp), 6) AS matching_loss, round(sqrt(avg(logp * logp)), 6) AS rmse FROM lp WHERE i = j GROUP BY pair")(
     lambda s, d: _losses(_similar(s, d))
 )
-# The same on every row of embeddings. Their tests compare with array arithmetic.
-query("similarity_cross_whole")(lambda s, d: _similar(s, d, True).withColumn("sim", F.round("sim", 6)))
-query("dual_softmax_whole")(lambda s, d: M.dual_softmax(_similar(s, d, True)).select("pair", "i", "j", F.round("logp", 6).alias("logp")))
-query("mutual_nn_whole")(lambda s, d: M.mutual_nearest(M.dual_softmax(_similar(s, d, True)), 0.01).withColumn("conf", F.round("conf", 6)))
-query("border_filter_whole")(lambda s, d: M.mutual_nearest(M.dual_softmax(_similar(s, d, True)), 0.01, 1, 5, 5).withColumn("conf", F.round("conf", 6)))
-query("top1_acc_whole")(lambda s, d: _top1(_similar(s, d, True)))
-query("losses_whole")(lambda s, d: _losses(_similar(s, d, True)))
-query("kan_layer_whole")(lambda s, d: _kan(s, patches(s, d)))
-
-
 def _placed(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents")
     return docs.select(V("doc_id").alias("patch_id"), F.length("source").cast("long").alias("strip_id"), (V("doc_id") * 64).alias("row0"), (V("doc_id") % 3 * 100).alias("col0"))
@@ -210,7 +199,7 @@ query("array_map_ops", "SELECT p_partkey, map {'a': p_size, 'b': length(p_name)}
 )
 query("pca_denoise")(lambda s, d: M.pca_denoise(patches(s, d)).select("vec_id", F.posexplode("f").alias("i", "x")))
 for _name in ("OHRC_NAC", "IIRS_WAC", "DFSAR_SELENE", "TMC_NAC", "IIRS_1P5UM"):
-    query(f"recipe_{_name.lower()}")(lambda s, d, n=_name: recipes.run_recipe(raster(s, d, "click", "view"), n))
+    query(f"recipe_{_name.lower()}")(lambda s, d, n=_name: recipes.run_recipe(raster(s, d), n))
 query("recipe_corridor")(lambda s, d: recipes.corridor(raster(s, d, "click"), raster(s, d, "view"), 11))
 query("stream_tumbling", "SELECT time_bucket(INTERVAL '6 hours', ts::TIMESTAMP, TIMESTAMP '2024-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(
     lambda s, d: windows.tumbling(table(s, d, "events").withColumn("ts", V("ts").cast("timestamp")), "ts", "value", ["event_type"], "6 hours", "1 hour").withColumn("total", F.round("total", 4))

@@ -98,7 +98,7 @@ def test_equalisation_stays_in_range(spark):
 def test_nearest_takes_the_first_of_equals(spark):
     records = spark.createDataFrame([(0, 1.0), (1, 3.0), (2, 3.0), (3, 900.0)], "i int, v double")
     targets = spark.createDataFrame([(2.0,), (3.1,), (5000.0,), (-700.0,)], "t double")
-    got = {r.t: r.i for r in series.nearest(targets, records, "t", "v", "i", 1.0, 2).collect()}
+    got = {r.t: r.i for r in series.nearest(targets, records, "t", "v", "i").collect()}
     assert got == {2.0: 0, 3.1: 1, 5000.0: 3, -700.0: 0}
 
 

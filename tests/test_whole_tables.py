@@ -28,22 +28,22 @@ def blocks(spark):
 
 def test_matching_reads_every_row(spark, blocks):
     cells = {(p, i, j): (sim[i, j], logp[i, j]) for p, (sim, logp) in blocks.items() for i in range(25) for j in range(25)}
-    for name, at, column in (("similarity_cross_whole", 0, "sim"), ("dual_softmax_whole", 1, "logp")):
+    for name, at, column in (("similarity_cross", 0, "sim"), ("dual_softmax", 1, "logp")):
         got = {(r.pair, r.i, r.j): r[column] for r in RUNS[name](spark, SF_DIR).collect()}
         assert got.keys() == cells.keys() and all(abs(got[k] - cells[k][at]) < 2e-6 for k in cells)
     mutual = {(p, i, j) for p, (_, t) in blocks.items() for i in range(25) for j in [int(t[i].argmax())] if t[:, j].argmax() == i and t[i, j] > np.log(0.01)}
-    assert {(r.pair, r.i, r.j) for r in RUNS["mutual_nn_whole"](spark, SF_DIR).collect()} == mutual
+    assert {(r.pair, r.i, r.j) for r in RUNS["mutual_nn"](spark, SF_DIR).collect()} == mutual
     inner = {m for m in mutual if 1 <= m[1] % 5 <= 3 and 1 <= m[1] // 5 <= 3}
-    assert {(r.pair, r.i, r.j) for r in RUNS["border_filter_whole"](spark, SF_DIR).collect()} == inner
-    acc = {r.pair: r.acc for r in RUNS["top1_acc_whole"](spark, SF_DIR).collect()}
-    loss = {r.pair: r.matching_loss for r in RUNS["losses_whole"](spark, SF_DIR).collect()}
+    assert {(r.pair, r.i, r.j) for r in RUNS["border_filter"](spark, SF_DIR).collect()} == inner
+    acc = {r.pair: r.acc for r in RUNS["top1_acc"](spark, SF_DIR).collect()}
+    loss = {r.pair: r.matching_loss for r in RUNS["losses"](spark, SF_DIR).collect()}
     assert acc.keys() == loss.keys() == blocks.keys()
     for p, (_, t) in blocks.items():
         assert abs(acc[p] - (t.argmax(1) == np.arange(25)).mean()) < 2e-6 and abs(loss[p] + np.diag(t).mean()) < 2e-6
 
 
 def test_kan_layer_reads_every_row(spark):
-    got = {(r.vec_id, r.o): r.y for r in RUNS["kan_layer_whole"](spark, SF_DIR).collect()}
+    got = {(r.vec_id, r.o): r.y for r in RUNS["kan_layer"](spark, SF_DIR).collect()}
     ids = {r.vec_id for r in patches(spark, SF_DIR).select("vec_id").collect()}
     assert got.keys() == {(i, o) for i in ids for o in (0, 1)}
     base, spline = ({tuple(r)[:-1]: r.w for r in t.collect()} for t in Q._weights(spark))
@@ -63,13 +63,12 @@ def test_nearest_inside_gaps(spark):
     records = [(4, 900.0), (0, 1.0), (1, 3.0), (7, 3.0), (2, 5000.0), (3, 5000.0)]
     targets = [400.0, 451.5, 451.6, 2950.0, 2000.0, 4000.0, 9000.0, -800.0, 3.0]
     want = {t: min(records, key=lambda r: (abs(r[1] - t), r[0])) for t in targets}
-    args = spark.createDataFrame([(t,) for t in targets], "t double"), spark.createDataFrame(records, "i int, v double"), "t", "v", "i", 1.0
-    for rounds in (2, 3):
-        assert {r.t: (r.i, r.v) for r in series.nearest(*args, rounds).collect()} == want
+    args = spark.createDataFrame([(t,) for t in targets], "t double"), spark.createDataFrame(records, "i int, v double"), "t", "v", "i"
+    assert {r.t: (r.i, r.v) for r in series.nearest(*args).collect()} == want
     rng = np.random.default_rng(6)
     values = np.concatenate([rng.uniform(0, 1, 300), rng.uniform(1e6, 1e7, 300), 10 ** rng.uniform(3, 9, 300)]).tolist()
     wanted = np.concatenate([10 ** rng.uniform(0, 10, 400), -(10 ** rng.uniform(0, 5, 50))]).tolist()
-    got = series.nearest(spark.createDataFrame([(t,) for t in wanted], "t double"), spark.createDataFrame(list(enumerate(values)), "i int, v double"), "t", "v", "i", 1.0)
+    got = series.nearest(spark.createDataFrame([(t,) for t in wanted], "t double"), spark.createDataFrame(list(enumerate(values)), "i int, v double"), "t", "v", "i")
     assert {r.t: r.i for r in got.collect()} == {t: min(range(900), key=lambda i: (abs(values[i] - t), i)) for t in wanted}
 
 
@@ -80,4 +79,4 @@ def test_every_order_has_its_nearest_record(spark):
     ids, values = ids[order], values[order]
     orders = table(spark, SF_DIR, "orders").select("o_orderkey", "o_totalprice").collect()
     want = {r.o_orderkey: int(ids[np.argmin(abs(values - float(r.o_totalprice) / 1000))]) for r in orders}
-    assert {r.o_orderkey: r.event_id for r in RUNS["nearest_lat_whole"](spark, SF_DIR).collect()} == want
+    assert {r.o_orderkey: r.event_id for r in RUNS["nearest_lat"](spark, SF_DIR).collect()} == want
