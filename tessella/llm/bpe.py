@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 #: A blank that does not start a match of its own: white space before it and no word after it.
 _AMID = re.compile(r"\s (?!\S)")
-_MARKS = (",", ".", ";", ":", "!", "?")
+_MARKS = frozenset(",.;:!?")
 MEMO = 400_000
 LONG = 64
 SLICE = 512
@@ -78,30 +78,47 @@ def fingerprint(*things) -> str:
     return hashlib.sha256(repr(things).encode()).hexdigest()
 
 
-class PatternSplitter:
-    """Encodes texts by pieces: ``encode_piece`` gives the ids of one match of ``pattern`` as bytes."""
-
-    def __init__(self, pattern: str, encode_piece):
-        import regex
+class _Words(_Memo):
+    """Ids of words that follow a blank, blank and all."""
 
-        self.find = regex.compile(pattern).findall
-        pieces = _Memo(encode_piece)
-        join = lambda text: b"".join(map(pieces.__getitem__, self.find(text)))
-        self.whole = join
-        self.first = _Memo(join, MEMO // 4)
+    def __init__(self, splitter: PatternSplitter, encode_word, most: int):
+        super().__init__(None, most)
+        self.splitter, self.encode_word = splitter, encode_word
 
-        def word(w: str) -> bytes:
+    def __missing__(self, w: str) -> bytes:
+        value = self.old.pop(w, None)
+        if value is None:
             # A blank and letters alone are one match of the pattern; so are a mark that ends the word, and a line's end amid it.
             if w.isalpha():
-                return encode_piece(" " + w)
-            if w[-1:] in _MARKS and w[:-1].isalpha():
-                return self.after_blank[w[:-1]] + pieces[w[-1]]
-            head, line, tail = w.partition("\n")
-            if line and head and tail and not head[-1].isspace() and not tail[0].isspace():
-                return self.after_blank[head] + pieces[line] + self.first[tail]
-            return join(" " + w)
-
-        self.after_blank = _Memo(word)
+                value = self.encode_word(w)
+            elif w[-1:] in _MARKS and w[:-1].isalpha():
+                value = self[w[:-1]] + self.splitter.pieces[w[-1]]
+            else:
+                head, line, tail = w.partition("\n")
+                if line and head and tail and not head[-1].isspace() and not tail[0].isspace():
+                    value = self[head] + self.splitter.pieces[line] + self.splitter.first[tail]
+                else:
+                    value = self.splitter.whole(" " + w)
+        if len(w) <= LONG:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+            self[w] = value
+        return value
+
+
+class PatternSplitter:
+    """Encodes texts by pieces: ``encode_piece`` gives the ids of one match of ``pattern`` as bytes, ``encode_word`` those of a blank and
+    letters. ``memo``: words that are remembered."""
+
+    def __init__(self, pattern: str, encode_piece, encode_word=None, memo: int = MEMO):
+        import regex
+
+        find = regex.compile(pattern).findall
+        self.pieces = pieces = _Memo(encode_piece, memo // 2)
+        self.whole = lambda text: b"".join(map(pieces.__getitem__, find(text)))
+        self.first = _Memo(lambda text: pieces[text] if text.isalpha() else self.whole(text), memo // 4)
+        self.after_blank = _Words(self, encode_word or (lambda w: encode_piece(" " + w)), memo)
 
     def encode(self, text: str) -> bytes:
         if _AMID.search(text):

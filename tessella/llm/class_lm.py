@@ -38,7 +38,7 @@ from .common import discard, materialize, scratch, shuffle_partitions
 from .words import WordHasher
 
 FREQUENT, CLASSES, SWEEPS, MIX = 512, 24, 2, 0.7
-LOAD = 1 << 20
+LOAD = 1 << 19
 END = np.uint64(1)  # the end token's name; no word hashes to a name below 16
 _BLOCK = "block long, docs binary, no_id binary, held binary, ends binary, names binary, codes binary"
 
@@ -71,7 +71,7 @@ def _squeezed(codes: np.ndarray) -> bytes:
 
 
 def _spread(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
 def blocks_of(docs: DataFrame, load: int = LOAD) -> DataFrame:
@@ -120,7 +120,8 @@ class _Block:
     def sides(self, classes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each token's class, the class before it and the class after it; an end comes before a text as well."""
         own = classes[self.codes]
-        return own, np.concatenate([[end], own[:-1]]), np.concatenate([own[1:], [end]])
+        edge = np.array([end], own.dtype)
+        return own, np.concatenate([edge, own[:-1]]), np.concatenate([own[1:], edge])
 
 
 def _dealt(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -286,14 +287,15 @@ def _asks(of: _Block, classes: np.ndarray, width: int, buckets: int) -> pa.Table
     """A block's words, by bucket, with counts of the classes before (slots from 0) and after them (from ``width``), and of
     themselves after themselves (the last slot): ``at`` is the place among the bucket's words."""
     slots = 2 * width + 1
-    _, before, after = of.sides(classes, width - 1)
-    after = after.copy()
+    _, before, after = of.sides(classes.astype(np.uint8), width - 1)
     after[of.ends - 1] = width - 1
     same = np.concatenate([[False], of.codes[1:] == of.codes[:-1]])
+    before[same] = 2 * width  # the last slot
     into = np.concatenate([same[1:], [False]])
-    code = of.codes * slots
-    seen = np.concatenate([(code + np.where(same, 2 * width, before))[of.train], (code + width + after)[of.train & ~into]])
-    cells = np.bincount(seen, minlength=len(of.names) * slots)
+    code = of.codes.astype(np.int64) * slots
+    cells = np.bincount((code + before)[of.train], minlength=len(of.names) * slots).astype(np.uint32)
+    cells += np.bincount((code + width + after)[of.train & ~into], minlength=len(of.names) * slots).astype(np.uint32)
+    del code, before, after
     order, cuts = _dealt(of.names, buckets)
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))

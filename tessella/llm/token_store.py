@@ -35,6 +35,7 @@ from .bpe import _PACK, PatternSplitter, fingerprint, per_worker, slices
 from .common import delete, materialize, scratch, shared_dir, shuffle_partitions, write
 
 WINDOW, MASK, LONGEST = 16, 0x1FF, 8192
+MEMO = 800_000
 _ENTRY = "kind string, key binary, doc_id long, n long, digests array<binary>, data binary"
 
 
@@ -102,7 +103,13 @@ class LibraryEncoder:
             ids = [t.id for t in tokenize(signs)]
             return packs[len(ids)](*ids) if len(ids) < 64 else pack(ids)
 
-        plain = PatternSplitter(pattern, piece).encode
+        def word(w: str) -> bytes:
+            if not w.isascii():
+                return piece(" " + w)
+            ids = [t.id for t in tokenize(blank + w)]
+            return packs[len(ids)](*ids) if len(ids) < 64 else pack(ids)
+
+        plain = PatternSplitter(pattern, piece, word, MEMO).encode
         contents = [t.content for t in whole.get_added_tokens_decoder().values()] if added else []
 
         def encode(text: str) -> bytes:
@@ -231,12 +238,27 @@ def _shift(length: int) -> int:
     return power
 
 
-def joined_crc32(parts: list[tuple[int, int]]) -> int:
-    """crc32 of a concatenation, from (crc32, length in bytes) of its parts."""
-    crc = 0
-    for part, length in parts:
-        crc = _times(_shift(length), crc) ^ part
-    return crc
+def _times_all(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """_times() of arrays of 32-bit integers."""
+    product, b = np.zeros(len(a), np.uint32), b.copy()
+    for bit in range(31, -1, -1):
+        product ^= np.where(a >> np.uint32(bit) & np.uint32(1), b, np.uint32(0))
+        b = (b >> np.uint32(1)) ^ np.where(b & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+    return product
+
+
+def joined_crc32(crcs: np.ndarray, lengths: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """crc32 of concatenations, from the crc32 and the lengths in bytes of their parts: concatenation i has the parts from offsets[i] up to
+    offsets[i + 1]."""
+    sizes, inverse = np.unique(lengths, return_inverse=True)
+    powers = np.array([_shift(int(n)) for n in sizes], np.uint32)
+    out = np.zeros(len(offsets) - 1, np.uint32)
+    counts = np.diff(offsets)
+    for turn in range(int(counts.max(initial=0))):
+        at = np.flatnonzero(counts > turn)
+        part = offsets[at] + turn
+        out[at] = _times_all(powers[inverse[part]], out[at]) ^ crcs[part].astype(np.uint32)
+    return out
 
 
 def checked_chunks(chunks: DataFrame, width: int) -> DataFrame:
@@ -272,12 +294,16 @@ def read_checksums(store: dict[str, DataFrame]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2048):
-            sums = []
-            for row in part.to_pylist():
-                if merkle_root(row["digests"]) != row["root"] or sum(p["n"] for p in row["parts"]) != row["n_tokens"]:
-                    raise ValueError(f"the recipe at {row['start']} doesn't give its document")
-                sums.append(joined_crc32([(p["crc"], 4 * p["n"]) for p in row["parts"]]))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("start"), part.column("n_tokens"), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            parts = part.column("parts")
+            flat, offsets = parts.flatten(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+            crcs, sizes = flat.field("crc").to_numpy(), flat.field("n").to_numpy()
+            totals = np.add.reduceat(sizes, offsets[:-1]) if len(sizes) else sizes
+            whole = totals == part.column("n_tokens").to_numpy()
+            for i, (names, root) in enumerate(zip(part.column("digests").to_pylist(), part.column("root").to_pylist(), strict=True)):
+                if not whole[i] or merkle_root(names) != root:
+                    raise ValueError(f"the recipe at {part.column('start')[i]} doesn't give its document")
+            sums = joined_crc32(crcs, 4 * sizes, offsets).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("start"), part.column("n_tokens"), pa.array(sums)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -14,9 +14,11 @@ DEFINITION = open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()
 
 def test_crc_of_parts():
     rng = random.Random(3)
-    for _ in range(50):
-        parts = [rng.randbytes(rng.randint(0, 5000)) for _ in range(rng.randint(0, 6))]
-        assert S.joined_crc32([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
+    whole = [[rng.randbytes(rng.randint(1, 5000)) for _ in range(rng.randint(1, 6))] for _ in range(50)]
+    parts = [p for w in whole for p in w]
+    offsets = np.cumsum([0, *map(len, whole)])
+    got = S.joined_crc32(np.array([zlib.crc32(p) for p in parts]), np.array([len(p) for p in parts]), offsets)
+    assert got.tolist() == [zlib.crc32(b"".join(w)) for w in whole]
 
 
 def test_cut_points_cover_and_follow_content():
