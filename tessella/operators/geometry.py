@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.safe import join_same
+
 V = F.col
 #: Fixed value: the Moon's radius in metres.
 MOON_RADIUS = 1_737_400.0
@@ -39,6 +41,23 @@ def affine(origin: Column, step: Column, index: Column) -> Column:
     return origin + (index + 0.5) * step
 
 
+def affine_row(origin: Column, step: Column, coordinate: Column) -> Column:
+    """The index whose pixel holds a coordinate: the inverse of affine()."""
+    return F.floor((coordinate - origin) / step).cast("long")
+
+
+def row_range(lat_top: Column, lat_bottom: Column, origin: Column, step: Column, rows: int) -> tuple[Column, Column]:
+    """First and last row of a raster that lie between two latitudes, cut to the raster."""
+    bound = lambda c: F.greatest(F.lit(0), F.least(c, F.lit(rows - 1))).cast("long")
+    a, b = affine_row(origin, step, lat_top), affine_row(origin, step, lat_bottom)
+    return bound(F.least(a, b)), bound(F.greatest(a, b))
+
+
+def browse_scale(full_width: Column, full_height: Column, width: Column, height: Column) -> tuple[Column, Column]:
+    """Full-resolution pixels for one of a browse image, across and along."""
+    return full_width / width, full_height / height
+
+
 def common_grid(lat_top: Column, lat_bottom: Column, lon_top: Column, lon_bottom: Column, step: float = 5.687) -> tuple[Column, Column, Column]:
     """Rows, and columns at the top and bottom, of a grid of square cells over a corridor."""
     degree = math.pi * MOON_RADIUS / 180
@@ -106,20 +125,34 @@ _RING = T.ArrayType(T.StructType([T.StructField("lon", T.DoubleType()), T.Struct
 
 
 def intersect(pairs: DataFrame, ring_a: str = "ring_a", ring_b: str = "ring_b") -> DataFrame:
-    """Adds ring: the intersection of two convex rings, empty if there is none."""
+    """Adds ring: the intersection of two convex rings, empty if there is none. A ring that is not convex raises."""
+
+    def points(ring) -> np.ndarray:
+        out = np.array([(p["lon"], p["lat"]) for p in ring], float)
+        side, turn = np.roll(out, -1, 0) - out, np.roll(out, -2, 0) - np.roll(out, -1, 0)
+        turns = side[:, 0] * turn[:, 1] - side[:, 1] * turn[:, 0]
+        if len(out) < 3 or not ((turns >= -1e-12).all() or (turns <= 1e-12).all()):
+            raise ValueError(f"ring is not convex: {out.tolist()}")
+        return out
 
     @F.pandas_udf(_RING)
     def clip(a: pd.Series, b: pd.Series) -> pd.Series:
-        points = lambda ring: np.array([(p["lon"], p["lat"]) for p in ring], float)
         return pd.Series([[{"lon": x, "lat": y} for x, y in clip_ring(points(p), points(q))] for p, q in zip(a, b, strict=True)])
 
     return pairs.withColumn("ring", clip(ring_a, ring_b))
 
 
-def overlaps(rings: DataFrame, key: str) -> DataFrame:
-    """For each unordered pair of footprints: area shared, the share of either, and the bounds (null if disjoint).
+def unordered_pairs(rows: DataFrame, key: str) -> DataFrame:
+    """(key_a, key_b) of all pairs of rows with key_a < key_b; as many as asked for, so for lists of products."""
+    a, b = (rows.select(V(key).alias(f"{key}_{s}")) for s in "ab")
+    return a.join(b, V(f"{key}_a") < V(f"{key}_b"))
 
-    Pairs are found by latitude bands of one degree, so that footprints far apart never meet.
+
+def overlaps(rings: DataFrame, key: str, disjoint: bool = True) -> DataFrame:
+    """For each unordered pair of footprints: area shared, the share of either, and the bounds; 0 and null if they are disjoint.
+
+    What may meet is found by latitude bands of one degree, so footprints far apart are never intersected. ``disjoint``: also list the
+    pairs that do not meet, which is every pair there is; without them the result grows with the neighbours only.
     """
     band = lambda f: F.floor(f(F.transform("ring", lambda p: p["lat"])))
     dealt = rings.withColumn("band", F.explode(F.sequence(band(F.array_min), band(F.array_max))))
@@ -128,7 +161,12 @@ def overlaps(rings: DataFrame, key: str) -> DataFrame:
     cut = intersect(pairs).withColumn("pair", F.struct(f"{key}_a", f"{key}_b"))
     shared = footprint_area(cut.where(F.size("ring") > 2).select("pair", "ring"), "pair").withColumnRenamed("area_km2", "shared_km2")
     own = footprint_area(rings.select(key, "ring"), key)
-    out = cut.join(shared, "pair", "left").join(own.select(V(key).alias(f"{key}_a"), V("area_km2").alias("area_a")), f"{key}_a").join(own.select(V(key).alias(f"{key}_b"), V("area_km2").alias("area_b")), f"{key}_b")
+    met = cut.select("pair", f"{key}_a", f"{key}_b", "ring").join(shared, "pair", "left").drop("pair")
+    if disjoint:
+        met = unordered_pairs(rings, key).join(met, [f"{key}_a", f"{key}_b"], "left")
+    else:
+        met = met.where("shared_km2 > 0")
+    out = met.join(own.select(V(key).alias(f"{key}_a"), V("area_km2").alias("area_a")), f"{key}_a").join(own.select(V(key).alias(f"{key}_b"), V("area_km2").alias("area_b")), f"{key}_b")
     area = F.coalesce("shared_km2", F.lit(0.0))
     bound = lambda f, c: f(F.transform("ring", lambda p: p[c]))
     return out.select(
@@ -183,3 +221,30 @@ def boundary_walk(grid: DataFrame) -> DataFrame:
     side = F.filter(F.array(*[F.when(on, F.struct(F.lit(i).alias("side"), at.cast("double").alias("at"))) for i, (on, at) in enumerate(sides)]), lambda s: s.isNotNull())
     walked = g.withColumn("s", F.explode(side))
     return walked.select(F.row_number().over(Window.orderBy("s.side", "s.at")).alias("ord"), "x", "y", "lon", "lat")
+
+
+def to_equirectangular(lon: Column, lat: Column, lon0: float = 0.0, lat0: float = 0.0, radius: float = MOON_RADIUS) -> tuple[Column, Column]:
+    """Metres east and north on the cylinder that is true along the parallel lat0."""
+    return radius * F.radians(lon - lon0) * math.cos(math.radians(lat0)), radius * F.radians(lat)
+
+
+def from_equirectangular(x: Column, y: Column, lon0: float = 0.0, lat0: float = 0.0, radius: float = MOON_RADIUS) -> tuple[Column, Column]:
+    return F.degrees(x / (radius * math.cos(math.radians(lat0)))) + lon0, F.degrees(y / radius)
+
+
+def reproject(pixels: DataFrame, source: tuple, target: tuple, height: int, width: int, inverse=None) -> DataFrame:
+    """pixels(product, y, x, v) on another grid, bilinear. ``source`` and ``target`` are geotransforms (west, step east, 0, north, 0, step
+    south); ``inverse`` takes target coordinates to source coordinates (by default they are the same), as from_equirectangular() does. Cells
+    whose four neighbours are not all there have no pixel. A target cell meets its neighbours by an equi-join on their places."""
+    rows = pixels.select("product").distinct().withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(height - 1).cast("long")))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))))
+    at = affine(F.lit(target[0]), F.lit(target[1]), V("x")), affine(F.lit(target[3]), F.lit(target[5]), V("y"))
+    lon, lat = inverse(*at) if inverse else at
+    placed = rows.withColumn("sx", (lon - source[0]) / source[1] - 0.5).withColumn("sy", (lat - source[3]) / source[5] - 0.5)
+    placed = placed.withColumn("fx", V("sx") - F.floor("sx")).withColumn("fy", V("sy") - F.floor("sy"))
+    near = lambda d, f: F.when(F.lit(d) == 1, V(f)).otherwise(1 - V(f))
+    corner = lambda dy, dx: F.struct((F.floor("sy") + dy).alias("ny"), (F.floor("sx") + dx).alias("nx"), (near(dy, "fy") * near(dx, "fx")).alias("w"))
+    wide = placed.withColumn("c", F.explode(F.array(*[corner(dy, dx) for dy in (0, 1) for dx in (0, 1)]))).select("product", "y", "x", "c.*").where("w > 0")
+    values = pixels.select("product", V("y").cast("long").alias("ny"), V("x").cast("long").alias("nx"), "v")
+    met = join_same(wide, values, "product", "ny", "nx", how="left")
+    mean = met.groupBy("product", "y", "x").agg(F.sum(V("w") * V("v")).alias("v"), F.count_if(V("v").isNull()).alias("missing"))
+    return mean.where("missing = 0").select("product", "y", "x", "v")

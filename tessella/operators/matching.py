@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 V = F.col
+#: Fixed value: the similarity of cells that cannot match.
+MASKED = -1e4
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -22,9 +24,14 @@ def dot(a: Column, b: Column) -> Column:
 
 def similarity(a: DataFrame, b: DataFrame, scale: float) -> DataFrame:
     """(pair, i, j, sim): scaled products of all features of one image with all of the other, within a pair. All pairs are what
-    is asked for; a pair's grids bound them."""
-    left, right = a.select("pair", "i", V("f").alias("fa")), b.select("pair", V("i").alias("j"), V("f").alias("fb"))
-    return left.join(right, "pair").select("pair", "i", "j", (dot(V("fa"), V("fb")) * scale).alias("sim"))
+    is asked for; a pair's grids bound them. If the features have a column valid, products with an invalid cell become MASKED
+    and the result says in valid whether both cells are."""
+    masked = "valid" in a.columns or "valid" in b.columns
+    of = lambda df: F.coalesce("valid", F.lit(False)) if "valid" in df.columns else F.lit(True)
+    left, right = a.select("pair", "i", V("f").alias("fa"), of(a).alias("va")), b.select("pair", V("i").alias("j"), V("f").alias("fb"), of(b).alias("vb"))
+    sim = dot(V("fa"), V("fb")) * scale
+    met = left.join(right, "pair").select("pair", "i", "j", F.when(V("va") & V("vb"), sim).otherwise(MASKED).alias("sim"), (V("va") & V("vb")).alias("valid"))
+    return met if masked else met.drop("valid")
 
 
 def dual_softmax(sim: DataFrame) -> DataFrame:
@@ -42,9 +49,12 @@ def inner_cell(index: Column, width: int, height: int, border: int) -> Column:
 
 
 def mutual_nearest(scored: DataFrame, threshold: float = 0.2, border: int = 0, width: int = 1, height: int = 1) -> DataFrame:
-    """(pair, i, j, conf) where each is the other's best (the first of equals), confident and away from the border."""
+    """(pair, i, j, conf) where each is the other's best (the first of equals), confident and away from the border; both cells
+    must be valid if ``scored`` has that column."""
     best = lambda key, other: F.row_number().over(Window.partitionBy("pair", key).orderBy(F.desc("logp"), other)) == 1
     kept = scored.withColumn("bi", best("i", "j")).withColumn("bj", best("j", "i")).where("bi and bj").withColumn("conf", F.exp("logp")).where(V("conf") > threshold)
+    if "valid" in scored.columns:
+        kept = kept.where("valid")
     return (kept.where(inner_cell(V("i"), width, height, border)) if border else kept).select("pair", "i", "j", "conf")
 
 
@@ -96,6 +106,101 @@ def kan_layer(rows: DataFrame, key: str, base: DataFrame, spline: DataFrame) ->
     return summed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("o", "v"))).alias("f")).select(key, F.transform("f", lambda p: p["v"]).alias("f"))
 
 
+def kan_network(rows: DataFrame, key: str, layers: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(key, f) -> (key, f) through layers of (base, spline) weights, each after a layer norm."""
+    for base, spline in layers:
+        rows = kan_layer(rows.select(key, layer_norm(V("f")).alias("f")), key, base, spline)
+    return rows
+
+
+def fit_spline(x: np.ndarray, y: np.ndarray, grid_size: int = 5, order: int = 3, low: float = -3.0, high: float = 3.0) -> np.ndarray:
+    """Least-squares coefficients (inputs, bases, outputs) of splines through samples x (n, inputs) -> y (n, inputs, outputs); for
+    starting values, on the driver."""
+    h = (high - low) / grid_size
+    knots = low + h * np.arange(-order, grid_size + order + 1)
+    bases = ((x[..., None] >= knots[:-1]) & (x[..., None] < knots[1:])).astype(float)
+    for k in range(1, order + 1):
+        rise = (x[..., None] - knots[: -k - 1]) / (knots[k:-1] - knots[: -k - 1])
+        fall = (knots[k + 1 :] - x[..., None]) / (knots[k + 1 :] - knots[1:-k])
+        bases = rise * bases[..., :-1] + fall * bases[..., 1:]
+    return np.stack([np.linalg.lstsq(bases[:, i], y[:, i], rcond=None)[0] for i in range(x.shape[1])])
+
+
+def encode_features(patches: DataFrame, make_encoder, schema: str = "pair long, i long, f array<double>") -> DataFrame:
+    """Features of patches by a network that the caller brings: ``make_encoder()`` is called once a task and gives a function
+    from a pandas frame of patches to one of the schema."""
+
+    def run(batches):
+        encode = make_encoder()
+        for batch in batches:
+            yield encode(batch)
+
+    return patches.mapInPandas(run, schema)
+
+
+def refine(found: DataFrame, a: DataFrame, b: DataFrame, layers: list[tuple[DataFrame, DataFrame]], width: int, most: float = 4.0, stride: int = 8) -> DataFrame:
+    """``found`` (pair, i, j, ...) with the cells' centres (x0, y0), (x1c, y1c) and the refined place (x1, y1): both features,
+    joined end to end, go through the network, whose bounded output is added to the second centre."""
+    of = lambda df, side, index: df.select("pair", V("i").alias(index), V("f").alias(side))
+    both = found.join(of(a, "fa", "i"), ["pair", "i"]).join(of(b, "fb", "j"), ["pair", "j"])
+    moved = kan_network(both.select(F.struct("pair", "i", "j").alias("cell"), F.concat("fa", "fb").alias("f")), "cell", layers)
+    offsets = moved.select("cell.*", bounded(V("f")[0], most).alias("dx"), bounded(V("f")[1], most).alias("dy"))
+    (x0, y0), (x1, y1) = cell_centre(V("i"), width, stride), cell_centre(V("j"), width, stride)
+    placed = found.join(offsets, ["pair", "i", "j"])
+    return placed.select(*found.columns, x0.alias("x0"), y0.alias("y0"), x1.alias("x1c"), y1.alias("y1c"), (x1 + V("dx")).alias("x1"), (y1 + V("dy")).alias("y1"))
+
+
+def match_forward(
+    a: DataFrame, b: DataFrame, layers: list[tuple[DataFrame, DataFrame]], width: int, height: int, temperature: float = 0.1, threshold: float = 0.2, border: int = 2, most: float = 4.0, stride: int = 8
+) -> DataFrame:
+    """(pair, i, j, conf, x0, y0, x1c, y1c, x1, y1) from feature tables (pair, i, f [, valid]) of two images: similarities, their
+    dual softmax, mutual nearest cells and refined places, as one plan. All features have as many values as the first."""
+    dim = F.size("f")
+    scaled = lambda df: df.withColumn("f", F.transform("f", lambda x: x / F.sqrt(dim)))
+    found = mutual_nearest(dual_softmax(similarity(scaled(a), scaled(b), 1.0 / temperature)), threshold, border, width, height)
+    return refine(found, a, b, layers, width, most, stride)
+
+
+def true_cells(pairs: DataFrame, cells: int, width: int, height: int, stride: int = 8) -> DataFrame:
+    """(pair, i, j, ok, tx, ty): where a homography (pair, h) takes each cell's centre, the cell nearest to that place, and whether
+    it lies inside."""
+    grid = pairs.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
+    x, y = cell_centre(V("i"), width, stride)
+    tx, ty = project(x, y, V("h"), guarded=True)
+    placed = grid.select("pair", "i", tx.alias("tx"), ty.alias("ty"))
+    j, ok = target_cell(V("tx"), V("ty"), width, height, stride)
+    return placed.select("pair", "i", j.alias("j"), ok.alias("ok"), "tx", "ty")
+
+
+def matching_loss(scored: DataFrame, truth: DataFrame) -> DataFrame:
+    """(pair, cells, matching_loss): the mean of -logp at the true cells (pair, i, j, ok)."""
+    met = scored.join(truth.where("ok").select("pair", "i", "j"), ["pair", "i", "j"])
+    return met.groupBy("pair").agg(F.count(F.lit(1)).alias("cells"), F.avg(-V("logp")).alias("matching_loss"))
+
+
+def top1_accuracy(scored: DataFrame, truth: DataFrame) -> DataFrame:
+    """(pair, acc): the share of cells (pair, i, j, ok) whose best j (the first of equals) is the true one."""
+    best = scored.groupBy("pair", "i").agg(F.max_by("j", F.struct("logp", -V("j"))).alias("best"))
+    return truth.where("ok").join(best, ["pair", "i"]).groupBy("pair").agg(F.avg((V("best") == V("j")).cast("int")).alias("acc"))
+
+
+def offset_loss(refined: DataFrame, truth: DataFrame, most_pairs: int | None = None, seed: int = 0) -> DataFrame:
+    """One row: pairs, mse (over both coordinates), rmse_px of the refined places and no_offset_rmse_px of the bare cell centres against the
+    true places (pair, i, tx, ty). ``most_pairs``: a seeded sample of so many."""
+    met = refined.join(truth.select("pair", "i", "tx", "ty"), ["pair", "i"])
+    if most_pairs:
+        met = met.orderBy(F.xxhash64(F.lit(seed), "pair", "i"), "pair", "i").limit(most_pairs)
+    far = lambda x, y: F.pow(V(x) - V("tx"), F.lit(2)) + F.pow(V(y) - V("ty"), F.lit(2))
+    return met.agg(F.count(F.lit(1)).alias("pairs"), (F.avg(far("x1", "y1")) / 2).alias("mse"), F.sqrt(F.avg(far("x1", "y1"))).alias("rmse_px"), F.sqrt(F.avg(far("x1c", "y1c"))).alias("no_offset_rmse_px"))
+
+
+def match_errors(matches: DataFrame) -> DataFrame:
+    """(pair, variant, n, median_err, p90_err): distances between matches (x1, y1) and the true places of (x0, y0) under h_gt."""
+    tx, ty = project(V("x0"), V("y0"), V("h_gt"))
+    err = matches.withColumn("err", F.sqrt(F.pow(V("x1") - tx, F.lit(2)) + F.pow(V("y1") - ty, F.lit(2))))
+    return err.groupBy("pair", "variant").agg(F.count(F.lit(1)).alias("n"), F.percentile("err", 0.5).alias("median_err"), F.percentile("err", 0.9).alias("p90_err"))
+
+
 def solve_homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     """Least-squares homography of matched points, on centred and scaled coordinates."""
 
@@ -145,12 +250,15 @@ def warp(image: np.ndarray, h: np.ndarray, *, nearest: bool = False) -> np.ndarr
     return out.reshape(n, m)
 
 
-def robust_homography(p: np.ndarray, q: np.ndarray, limit: float = 1.5, rounds: int = 500, seed: int = 0) -> tuple[np.ndarray, np.ndarray] | None:
-    """Seeded sampling of four matches, the largest consensus, refitted until it is stable: (h, inliers)."""
+def robust_homography(p: np.ndarray, q: np.ndarray, limit: float = 1.5, rounds: int = 10_000, confidence: float = 0.999, seed: int = 0) -> tuple[np.ndarray, np.ndarray] | None:
+    """Seeded sampling of four matches, the largest consensus, refitted until it is stable: (h, inliers). Sampling ends when a
+    better consensus has been ruled out with the confidence, or after so many rounds. Every group of matches has the same seed."""
     if len(p) < 4:
         return None
     rng, best = np.random.default_rng(seed), None
-    for _ in range(rounds):
+    for done in range(rounds):
+        if best is not None and done >= math.log(1 - confidence) / math.log(1 - min(max((best.sum() / len(p)) ** 4, 1e-12), 1 - 1e-12)):
+            break
         pick = rng.choice(len(p), 4, replace=False)
         with np.errstate(all="ignore"):
             h = solve_homography(p[pick], q[pick])

@@ -76,6 +76,27 @@ def parse_labels(texts: DataFrame, key: str = "path", xml: str = "value") -> Dat
 
 
 def label_leaves(texts: DataFrame, key: str = "path", xml: str = "value") -> DataFrame:
-    """(key, tag, value) of every element that holds text only, namespaces stripped."""
+    """(key, tag, value, attributes) of every element that holds text only, namespaces stripped."""
     leaf = F.regexp_extract_all(V(xml), F.lit(r"<([A-Za-z_:][\w:.-]*(?:\s[^<>]*)?>[^<>]+)</"), F.lit(1))
-    return texts.select(key, F.explode(leaf).alias("l")).select(key, F.element_at(F.split(F.regexp_extract("l", r"^([\w:.-]+)", 1), ":"), -1).alias("tag"), F.trim(F.regexp_extract("l", r">([^<>]+)$", 1)).alias("value")).where("value <> ''")
+    rows = texts.select(key, F.explode(leaf).alias("l")).withColumn("head", F.regexp_extract("l", r"^([^>]*)>", 1))
+    bare = lambda name: F.element_at(F.split(name, ":"), -1)
+    pairs = F.transform(F.regexp_extract_all("head", F.lit(r"""([\w:.-]+\s*=\s*(?:"[^"]*"|'[^']*'))"""), F.lit(1)), lambda p: F.split(p, r"\s*=\s*", 2))
+    attributes = F.map_from_entries(F.transform(pairs, lambda p: F.struct(bare(p[0]), F.substring(p[1], F.lit(2), F.length(p[1]) - 2))))
+    return rows.select(key, bare(F.regexp_extract("head", r"^([\w:.-]+)", 1)).alias("tag"), F.trim(F.regexp_extract("l", r">([^<>]+)$", 1)).alias("value"), attributes.alias("attributes")).where("value <> ''")
+
+
+#: Bytes of an element, by the label's name for its type.
+TYPE_BYTES = {"UnsignedByte": 1, "SignedByte": 1, "UnsignedLSB2": 2, "SignedLSB2": 2, "UnsignedMSB2": 2, "SignedMSB2": 2, "UnsignedLSB4": 4, "SignedLSB4": 4, "UnsignedMSB4": 4, "SignedMSB4": 4, "IEEE754LSBSingle": 4, "IEEE754MSBSingle": 4}
+
+
+def label_audit(texts: DataFrame, key: str = "path", xml: str = "value") -> DataFrame:
+    """(key, axes, file_size, md5, data_type, bands, expected_bytes): axes by their names in lower case, one band if there is no such axis,
+    and the bytes that axes and type call for, to hold against the file's size."""
+    x = V(xml)
+    strings = lambda tag: F.xpath(x, F.lit(_local(tag)))
+    one = lambda tag: F.trim(F.get(strings(tag), F.lit(0)))
+    axes = F.map_from_arrays(F.transform(strings("axis_name"), lambda a: F.lower(F.trim(a))), F.transform(strings("elements"), lambda e: F.trim(e).cast("long")))
+    size = F.element_at(F.create_map(*[F.lit(v) for kv in TYPE_BYTES.items() for v in kv]), one("data_type"))
+    elements = F.aggregate(F.map_values("axes"), F.lit(1).cast("long"), lambda a, n: a * n)
+    rows = texts.select(key, axes.alias("axes"), one("file_size").cast("long").alias("file_size"), F.lower(one("md5_checksum")).alias("md5"), one("data_type").alias("data_type"), size.alias("size"))
+    return rows.select(key, "axes", "file_size", "md5", "data_type", F.coalesce(F.try_element_at("axes", F.lit("band")), F.lit(1)).alias("bands"), (elements * V("size")).alias("expected_bytes"))

@@ -1,14 +1,17 @@
 """A Python data source for headerless rasters and band-sequential cubes.
 
-Partitions are ranges of lines of one band; a filter on band prunes the others, so one band of a large cube costs one
-band's bytes. Truncated cubes give the bands that are complete; a raster that is too short raises.
+Partitions are ranges of lines of one band; filters on band and y prune the others, so a window of one band of a large cube
+costs that window's lines. A worker reads and yields a few lines at a time. The path must be mounted by the driver and all
+executors. Truncated cubes give the bands that are complete; a raster that is too short raises.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+
+BATCH = 1 << 18
 
 
 class LineRange(InputPartition):
@@ -46,16 +49,22 @@ class RawImageReader(DataSourceReader):
         if complete < 1 or (complete < wanted and options.get("truncated", "false") != "true"):
             raise ValueError(f"{self.path} holds {complete} of {wanted} bands")
         self.bands = range(min(wanted, complete))
+        self.first, self.last = 0, self.lines
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             if isinstance(f, EqualTo) and f.attribute == ("band",):
                 self.bands = [b for b in self.bands if b == f.value]
             else:
+                if getattr(f, "attribute", None) == ("y",):  # lines are pruned; Spark filters what is left
+                    if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                        self.first = max(self.first, int(f.value) + isinstance(f, GreaterThan))
+                    if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                        self.last = min(self.last, int(f.value) + (not isinstance(f, LessThan)))
                 yield f
 
     def partitions(self) -> list[LineRange]:
-        return [LineRange(b, y, min(y + self.rows, self.lines)) for b in self.bands for y in range(0, self.lines, self.rows)]
+        return [LineRange(b, y, min(y + self.rows, self.last)) for b in self.bands for y in range(self.first, self.last, self.rows)]
 
     def read(self, part: LineRange | None):
         import numpy as np
@@ -64,13 +73,14 @@ class RawImageReader(DataSourceReader):
         if part is None:  # no band is left
             return
         kind = np.dtype(self.dtype)
+        lines = max(1, BATCH // self.samples)
         with open(self.path, "rb") as file:
             file.seek(self.offset + part.band * self.band_bytes + part.first * self.samples * kind.itemsize)
-            values = np.frombuffer(file.read((part.last - part.first) * self.samples * kind.itemsize), kind)
-        n = len(values)
-        at = np.arange(n)
-        columns = [np.full(n, part.band, np.int32), (part.first + at // self.samples).astype(np.int32), (at % self.samples).astype(np.int32), values.astype(np.float64)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["band", "y", "x", "v"])
+            for first in range(part.first, part.last, lines):
+                values = np.frombuffer(file.read(min(lines, part.last - first) * self.samples * kind.itemsize), kind)
+                at = np.arange(len(values))
+                columns = [np.full(len(values), part.band, np.int32), (first + at // self.samples).astype(np.int32), (at % self.samples).astype(np.int32), values.astype(np.float64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["band", "y", "x", "v"])
 
 
 def nearest_band(wavelengths: dict[int, float], available: int, target: float) -> int:
