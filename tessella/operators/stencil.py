@@ -139,14 +139,14 @@ def equalize_adaptive(df: DataFrame, clip_limit: float = 2.0, tiles: int = 8) ->
     limit = F.greatest(F.floor(clip_limit * V("area") / 256), F.lit(1))
     tile = Window.partitionBy("product", "ty", "tx")
     bins = bins.withColumn("kept", F.least(V("n"), limit)).withColumn("spare", F.sum(V("n") - V("kept")).over(tile)).withColumn("kept", V("kept") + V("spare") / 256.0)
-    lut = bins.withColumn("lut", clip(F.rint(F.sum("kept").over(tile.orderBy("b_")) * 255.0 / V("area")), 0, 255)).select("product", "ty", "tx", "b_", "lut")
+    lut = bins.withColumn("lut", clip(F.rint(F.round(F.sum("kept").over(tile.orderBy("b_")) * 255.0 / V("area"), 9)), 0, 255)).select("product", "ty", "tx", "b_", "lut")
     last = F.lit(float(tiles - 1))
     fy, fx = (V("y") + 0.5) / V("th_") - 0.5, (V("x") + 0.5) / V("tw_") - 0.5
     y0, x0 = F.floor(fy), F.floor(fx)
     corner = lambda dy, dx: F.struct(clip_long(y0 + dy, last).alias("ty"), clip_long(x0 + dx, last).alias("tx"), ((fy - y0 if dy else 1 - (fy - y0)) * (fx - x0 if dx else 1 - (fx - x0))).alias("w"))
     wide = px.drop("ty", "tx").withColumn("c", F.explode(F.array(*[corner(dy, dx) for dy in (0, 1) for dx in (0, 1)]))).select("product", "y", "x", "b_", "c.*")
     present = join_same(wide, lut, "product", "ty", "tx", "b_")
-    return present.groupBy("product", "y", "x").agg((F.sum(V("lut") * V("w")) / F.sum("w")).alias("v")).withColumn("v", F.rint("v"))
+    return present.groupBy("product", "y", "x").agg((F.sum(V("lut") * V("w")) / F.sum("w")).alias("v")).withColumn("v", F.rint(F.round("v", 9)))
 
 
 def clip_long(v: Column, last: Column) -> Column:

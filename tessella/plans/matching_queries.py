@@ -9,8 +9,7 @@ from ..operators import matching as M
 from ..operators import split
 from ..registry import query
 from ..streaming import windows
-from . import recipes
-from .fixtures import patches, raster, table
+from .fixtures import patches, table
 
 V = F.col
 
@@ -198,9 +197,6 @@ query("array_map_ops", "SELECT p_partkey, map {'a': p_size, 'b': length(p_name)}
     lambda s, d: table(s, d, "part").select("p_partkey", F.element_at(F.create_map(F.lit("a"), V("p_size"), F.lit("b"), F.length("p_name")), "a").alias("a"), F.coalesce(F.try_element_at(F.create_map(F.lit("a"), V("p_size")), F.lit("z")), F.lit(-1)).alias("b"), F.array_position(F.array(V("p_size"), F.lit(7)), 7).alias("c"), F.size(F.filter(F.array(V("p_size"), F.lit(None).cast("int"), F.lit(3)), lambda x: x.isNotNull())).alias("d"))
 )
 query("pca_denoise")(lambda s, d: M.pca_denoise(patches(s, d)).select("vec_id", F.posexplode("f").alias("i", "x")))
-for _name in ("OHRC_NAC", "IIRS_WAC", "DFSAR_SELENE", "TMC_NAC", "IIRS_1P5UM"):
-    query(f"recipe_{_name.lower()}")(lambda s, d, n=_name: recipes.run_recipe(raster(s, d), n))
-query("recipe_corridor")(lambda s, d: recipes.corridor(raster(s, d, "click"), raster(s, d, "view"), 11))
 query("stream_tumbling", "SELECT time_bucket(INTERVAL '6 hours', ts::TIMESTAMP, TIMESTAMP '2024-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(
     lambda s, d: windows.tumbling(table(s, d, "events").withColumn("ts", V("ts").cast("timestamp")), "ts", "value", ["event_type"], "6 hours", "1 hour").withColumn("total", F.round("total", 4))
 )
