@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import geometry as G
 from ..operators import series as T
+from ..operators import tables
 from ..registry import query
 from ..sources import catalogue, text_records
 from .fixtures import table
@@ -34,10 +35,34 @@ query(
     "footprint_area",
     f"WITH {CORNERS}, n AS (SELECT *, greatest(ceil(sqrt(pow(lon2 - lon1, 2) + pow(lat2 - lat1, 2)) / 0.005), 1) AS n FROM sd), p AS (SELECT *, unnest(range(0, n::BIGINT)) AS j FROM n), q AS (SELECT key, radians(lon1 + (lon2 - lon1) * (j / n)) * 1737400 AS x1, sin(radians(lat1 + (lat2 - lat1) * (j / n))) * 1737400 AS y1, radians(lon1 + (lon2 - lon1) * ((j + 1) / n)) * 1737400 AS x2, sin(radians(lat1 + (lat2 - lat1) * ((j + 1) / n))) * 1737400 AS y2 FROM p) SELECT key, round(abs(sum(x1 * y2 - x2 * y1)) / 2e6, 4) AS area_km2 FROM q GROUP BY key",
 )(lambda s, d: G.footprint_area(footprints(s), "key").select("key", F.round("area_km2", 4).alias("area_km2")))
-query("footprint_overlap")(lambda s, d: G.overlaps(footprints(s).where("key not in ('TMC_system', 'TMC_corrected')"), "key"))
-query("overlap_sensitivity")(lambda s, d: G.overlaps(footprints(s).where("key = 'O24' or key like 'TMC%'"), "key").where("key_a = 'O24'"))
+#: Intersections of the convex rings of CORNERS as relation o (a, b, i, lon, lat): corners inside the other ring and crossings of sides,
+#: ordered around their centre; and their areas as relation oa.
+_OVERLAP = """ccw AS (SELECT key, sum(lon1 * lat2 - lon2 * lat1) AS t FROM sd GROUP BY key),
+ins AS (SELECT p.key AS a, e.key AS b, p.i, p.lon, p.lat, min(sign(t) * ((lon2 - lon1) * (p.lat - lat1) - (lat2 - lat1) * (p.lon - lon1))) AS side FROM c p JOIN sd e ON e.key <> p.key JOIN ccw ON ccw.key = e.key GROUP BY ALL),
+x0 AS (SELECT e.key AS a, f.key AS b, e.lon1 AS px, e.lat1 AS py, e.lon2 - e.lon1 AS dx, e.lat2 - e.lat1 AS dy, f.lon1 AS qx, f.lat1 AS qy, f.lon2 - f.lon1 AS ex, f.lat2 - f.lat1 AS ey FROM sd e JOIN sd f ON e.key < f.key),
+x1 AS (SELECT a, b, px, py, dx, dy, ((qx - px) * ey - (qy - py) * ex) / nullif(dx * ey - dy * ex, 0) AS t, ((qx - px) * dy - (qy - py) * dx) / nullif(dx * ey - dy * ex, 0) AS u FROM x0),
+pt AS (SELECT least(a, b) AS a, greatest(a, b) AS b, lon, lat FROM ins WHERE side >= 0 UNION SELECT a, b, px + t * dx, py + t * dy FROM x1 WHERE t > 0 AND t < 1 AND u > 0 AND u < 1),
+ct AS (SELECT *, avg(lon) OVER (PARTITION BY a, b) AS mx, avg(lat) OVER (PARTITION BY a, b) AS my, count(*) OVER (PARTITION BY a, b) AS n FROM pt),
+o AS (SELECT a, b, n, lon, lat, row_number() OVER (PARTITION BY a, b ORDER BY atan2(lat - my, lon - mx)) AS i FROM ct WHERE n > 2),
+os AS (SELECT p.a, p.b, p.lon AS lon1, p.lat AS lat1, q.lon AS lon2, q.lat AS lat2 FROM o p JOIN o q ON p.a = q.a AND p.b = q.b AND q.i = p.i % p.n + 1),
+al AS (SELECT a, b, lon1, lat1, lon2, lat2 FROM os UNION ALL SELECT key, key, lon1, lat1, lon2, lat2 FROM sd),
+an AS (SELECT *, greatest(ceil(sqrt(pow(lon2 - lon1, 2) + pow(lat2 - lat1, 2)) / 0.005), 1) AS n FROM al), ap AS (SELECT *, unnest(range(0, n::BIGINT)) AS j FROM an),
+aq AS (SELECT a, b, radians(lon1 + (lon2 - lon1) * (j / n)) * 1737400 AS x1, sin(radians(lat1 + (lat2 - lat1) * (j / n))) * 1737400 AS y1, radians(lon1 + (lon2 - lon1) * ((j + 1) / n)) * 1737400 AS x2, sin(radians(lat1 + (lat2 - lat1) * ((j + 1) / n))) * 1737400 AS y2 FROM ap),
+oa AS (SELECT a, b, abs(sum(x1 * y2 - x2 * y1)) / 2e6 AS km2 FROM aq GROUP BY a, b),
+ov AS (SELECT p.key AS key_a, q.key AS key_b, round(coalesce(s.km2, 0), 3) AS shared_km2, round(coalesce(s.km2, 0) / x.km2 * 100, 4) AS percent_a, round(coalesce(s.km2, 0) / y.km2 * 100, 4) AS percent_b, round(e.lon_min, 6) AS lon_min, round(e.lon_max, 6) AS lon_max, round(e.lat_min, 6) AS lat_min, round(e.lat_max, 6) AS lat_max
+  FROM (SELECT DISTINCT key FROM c) p JOIN (SELECT DISTINCT key FROM c) q ON p.key < q.key LEFT JOIN oa s ON s.a = p.key AND s.b = q.key JOIN oa x ON x.a = p.key AND x.b = p.key JOIN oa y ON y.a = q.key AND y.b = q.key
+  LEFT JOIN (SELECT a, b, min(lon) AS lon_min, max(lon) AS lon_max, min(lat) AS lat_min, max(lat) AS lat_max FROM o GROUP BY a, b) e ON e.a = p.key AND e.b = q.key)"""
+
+
+def _overlaps(s: SparkSession) -> DataFrame:
+    rounded = [F.round("shared_km2", 3).alias("shared_km2"), *[F.round(c, 4).alias(c) for c in ("percent_a", "percent_b")], *[F.round(c, 6).alias(c) for c in ("lon_min", "lon_max", "lat_min", "lat_max")]]
+    return G.overlaps(tables.sound_rings(footprints(s)), "key").select("key_a", "key_b", *rounded)
+
+
+query("footprint_overlap", f"WITH {CORNERS}, {_OVERLAP} SELECT * FROM ov")(lambda s, d: _overlaps(s))
+query("overlap_sensitivity", f"WITH {CORNERS}, {_OVERLAP} SELECT * FROM ov WHERE key_a = 'O24' AND key_b LIKE 'TMC%'")(lambda s, d: _overlaps(s).where("key_a = 'O24' and key_b like 'TMC%'"))
 query("pair_combos", f"WITH {CORNERS} SELECT DISTINCT a.key AS key_a, b.key AS key_b FROM c a JOIN c b ON a.key < b.key")(
-    lambda s, d: footprints(s).select(V("key").alias("key_a")).join(footprints(s).select(V("key").alias("key_b")), V("key_a") < V("key_b"))
+    lambda s, d: G.unordered_pairs(footprints(s), "key")
 )
 query(
     "scanline_range",
@@ -79,7 +104,23 @@ def _targets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "key string, i int, lat double, lon double").select("*", *corner)
 
 
-query("inverse_geo")(lambda s, d: G.inverse_search(_targets(s)).select("key", "i", F.rint(V("bx") * 9691).cast("long").alias("px"), F.rint(V("by") * 182971).cast("long").alias("py")))
+_TMC = FOOTPRINTS["TMC_refined"]
+_MODEL = lambda c, x, y: f"((1 - {x}) * (1 - {y}) * ({_TMC[0][c]}::DOUBLE) + {x} * (1 - {y}) * ({_TMC[1][c]}::DOUBLE) + (1 - {x}) * {y} * ({_TMC[3][c]}::DOUBLE) + {x} * {y} * ({_TMC[2][c]}::DOUBLE))"
+query(
+    "inverse_geo",
+    f"""WITH RECURSIVE {CORNERS}, gx AS (SELECT unnest(range(0, 31)) AS ix), gy AS (SELECT unnest(range(0, 31)) AS iy),
+rec AS (SELECT key, i, lat, lon, 0.5::DOUBLE AS bx, 0.5::DOUBLE AS byy, 0.5::DOUBLE AS rad, 0 AS step FROM c WHERE key LIKE 'O2%'
+  UNION ALL SELECT key, i, lat, lon, arg_min(x, (e, iy * 31 + ix)), arg_min(y, (e, iy * 31 + ix)), rad / 5, step + 1 FROM (
+    SELECT key, i, lat, lon, rad, step, ix, iy, x, y, pow({_MODEL(0, 'x', 'y')} - lat, 2) + pow({_MODEL(1, 'x', 'y')} - lon, 2) AS e FROM (
+      SELECT key, i, lat, lon, rad, step, ix, iy, greatest(0, least(1, bx - rad + 2 * rad * ix / 30)) AS x, greatest(0, least(1, byy - rad + 2 * rad * iy / 30)) AS y FROM rec CROSS JOIN gx CROSS JOIN gy WHERE step < 8)) GROUP BY key, i, lat, lon, rad, step)
+SELECT key, i, round_even(bx * 9691, 0)::BIGINT AS px, round_even(byy * 182971, 0)::BIGINT AS py FROM rec WHERE step = 8""",
+)(lambda s, d: G.inverse_search(_targets(s)).select("key", "i", F.rint(V("bx") * 9691).cast("long").alias("px"), F.rint(V("by") * 182971).cast("long").alias("py")))
+query("affine_inverse", "SELECT event_id, floor((22.979537643969138::DOUBLE + (user_id + 0.5) * 0.0001666::DOUBLE - 22.979537643969138::DOUBLE) / 0.0001666::DOUBLE)::BIGINT AS x, greatest(0, least(floor((1.0 - (event_id % 90) - 6.604545584720541::DOUBLE) / -0.0001666::DOUBLE), 182971))::BIGINT AS first_row, greatest(0, least(floor((0.5 - (event_id % 90) - 6.604545584720541::DOUBLE) / -0.0001666::DOUBLE), 182971))::BIGINT AS last_row FROM events")(
+    lambda s, d: table(s, d, "events").select(
+        "event_id", G.affine_row(F.lit(22.979537643969138), F.lit(0.0001666), G.affine(F.lit(22.979537643969138), F.lit(0.0001666), V("user_id"))).alias("x"),
+        *[c.alias(n) for c, n in zip(G.row_range(1.0 - V("event_id") % 90, 0.5 - V("event_id") % 90, F.lit(6.604545584720541), F.lit(-0.0001666), 182972), ("first_row", "last_row"), strict=True)],
+    )
+)
 query(
     "crop_window",
     "WITH b AS (SELECT event_type AS key, min(user_id * 7) AS x0, max(user_id * 7) AS x1, min(event_id) AS y0, max(event_id) AS y1 FROM events GROUP BY 1), m AS (SELECT *, greatest(10, floor((x1 - x0) * 0.1)) AS mx, greatest(10, floor((y1 - y0) * 0.1)) AS my FROM b) SELECT key, greatest(0, x0 - mx)::BIGINT AS xoff, greatest(0, y0 - my)::BIGINT AS yoff, (least(999, x1 + mx) - greatest(0, x0 - mx) + 1)::BIGINT AS xsize, (least(99999, y1 + my) - greatest(0, y0 - my) + 1)::BIGINT AS ysize FROM m",
@@ -107,7 +148,10 @@ def _support(s: SparkSession, d: str) -> DataFrame:
 
 
 query("support_area", "SELECT user_id AS y, round(count(DISTINCT hour(ts)) * pow(1737400, 2) * radians(0.01) * abs(sin(radians(1 - user_id * 0.01)) - sin(radians(1 - (user_id + 1) * 0.01))) / 1e6, 6) AS km2 FROM events WHERE event_type = 'click' AND value > 0 GROUP BY user_id")(
-    lambda s, d: _support(s, d).groupBy("y").agg(F.count_if(V("v") > 0).alias("n")).where("n > 0").select("y", F.round(V("n") * (G.MOON_RADIUS**2) * F.radians(F.lit(0.01)) * F.abs(F.sin(F.radians(1 - V("y") * 0.01)) - F.sin(F.radians(1 - (V("y") + 1) * 0.01))) / 1e6, 6).alias("km2"))
+    lambda s, d: tables.support_area(_support(s, d), 1.0, 0.01).select("y", F.round("km2", 6).alias("km2"))
+)
+query("support_inside", "WITH n AS (SELECT user_id AS y, hour(ts) AS x FROM events WHERE event_type = 'click' AND value > 0 GROUP BY ALL), k AS (SELECT y, count(*) AS n, count(*) FILTER (WHERE 23 + (x + 0.5) * 0.01 BETWEEN 23.05 AND 23.05 + (y % 10 + 1) * 0.015) AS m, pow(1737400, 2) * radians(0.01) * abs(sin(radians(1 - y * 0.01)) - sin(radians(1 - (y + 1) * 0.01))) / 1e6 AS cell FROM n GROUP BY y) SELECT y, n, round(n * cell, 6) AS km2, m AS n_inside, round(m * cell, 6) AS km2_inside FROM k")(
+    lambda s, d: tables.support_area(_support(s, d), 1.0, 0.01, _support(s, d).select(V("y").alias("row"), F.lit(23.05).alias("lo"), (23.05 + (V("y") % 10 + 1) * 0.015).alias("hi")).distinct(), 23.0).select("y", "n", F.round("km2", 6).alias("km2"), "n_inside", F.round("km2_inside", 6).alias("km2_inside"))
 )
 query("gap_stats", "WITH r AS (SELECT user_id AS y, min(hour(ts)) AS first_x FROM events WHERE event_type = 'click' GROUP BY 1), g AS (SELECT y, round((23 + first_x * 0.1::DOUBLE - 23.25) * pi() * 1737400 / 180 * cos(radians(1 - y * 0.01)), 3) AS gap FROM r), k AS (SELECT *, row_number() OVER (ORDER BY y) AS rn, count(*) OVER () AS n, min(gap) OVER () AS gap_min, median(gap) OVER () AS gap_median, max(gap) OVER () AS gap_max FROM g) SELECT y, gap, gap_min, round(gap_median, 3) AS gap_median, gap_max FROM k WHERE rn = 1 OR rn = n // 2 + 1 OR rn = n")(
     lambda s, d: _gaps(s, d)
@@ -115,9 +159,8 @@ query("gap_stats", "WITH r AS (SELECT user_id AS y, min(hour(ts)) AS first_x FRO
 
 
 def _gaps(s: SparkSession, d: str) -> DataFrame:
-    first = _support(s, d).where("v > 0").groupBy("y").agg(F.min("x").alias("x"))
-    gap = first.select("y", F.round((23 + V("x") * 0.1 - 23.25) * (3.141592653589793 * G.MOON_RADIUS / 180) * F.cos(F.radians(1 - V("y") * 0.01)), 3).alias("gap"))
-    stats = gap.agg(F.min("gap").alias("gap_min"), F.round(F.percentile("gap", 0.5), 3).alias("gap_median"), F.max("gap").alias("gap_max"))
+    gap = tables.edge_gaps(_support(s, d), 23.0, 0.1, F.lit(23.25), 1 - V("y") * 0.01).withColumn("gap", F.round("gap", 3))
+    stats = tables.gap_stats(gap).withColumn("gap_median", F.round("gap_median", 3))
     return T.pick_first_middle_last(gap, ["y"]).drop("rank").join(F.broadcast(stats))  # one row
 
 

@@ -84,10 +84,10 @@ def recipe(name: str, source_res: float | None = None, target_res: float | None
     return recipes[name]
 
 
-def run_recipe(df: DataFrame, name: str, **options) -> DataFrame:
+def run_recipe(df: DataFrame, name: str, source_res: float | None = None, target_res: float | None = None, **options) -> DataFrame:
     """The raster after the recipe's steps, with their names in steps_applied. Options as of recipe(). A band is picked only
     from rasters that have bands, and only then is a step."""
-    steps = recipe(name, **options)
+    steps = recipe(name, source_res, target_res, **options)
     if "band" not in df.columns:
         steps = [s for s in steps if s[0] not in ("reference_band", "nadir_band", "wavelength_band")]
     for _, step in steps:
