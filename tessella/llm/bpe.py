@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 #: A blank that does not start a match of its own: white space before it and no word after it.
 _AMID = re.compile(r"\s (?!\S)")
 _MARKS = frozenset(",.;:!?")
-MEMO = 400_000
+MEMO = 250_000
 LONG = 64
 SLICE = 512
 
@@ -234,32 +234,46 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
-def with_column(df: DataFrame, name: str, kind: T.DataType, make, source: str) -> DataFrame:
-    """``df`` plus a column; ``make()`` gives a worker's function from the values of ``source`` to an Arrow array."""
-    schema = T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
-    kept = [f.name for f in schema.fields[:-1]]
+def with_columns(df: DataFrame, added: dict[str, T.DataType], make, source: str) -> DataFrame:
+    """``df`` plus columns; ``make()`` gives a worker's function from the values of ``source`` to the columns' Arrow arrays."""
+    names = list(added)
+    schema = T.StructType([f for f in df.schema.fields if f.name not in added] + [T.StructField(n, kind) for n, kind in added.items()])
+    kept = [f.name for f in schema.fields[: -len(names)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = None
         for part in slices(batches):
             apply = apply or make()
-            made = apply(part.column(source))
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], made], [*kept, name])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *apply(part.column(source))], [*kept, *names])
 
     return df.mapInArrow(run, schema)
 
 
-def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "ids") -> DataFrame:
-    """``docs`` plus a binary column: the ids of text. The vocabulary, a file of fixed size, is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+def _joiner(token: dict[int, bytes]):
+    return lambda ids: b"".join(map(token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def _binary(values: list) -> pa.Array:
+    return pa.array(values, pa.binary())
+
 
+def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` plus a binary column: the ids of text; with ``decoded``, another one: the bytes that these ids stand for, decoded where
+    they were encoded. The vocabulary, a file of fixed size, is broadcast."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
     key = fingerprint(sorted(ranks.items()), pattern)
 
     def make():
         bpe = per_worker(key, lambda: ByteBpe(shared.value, pattern))
-        return lambda texts: pa.array([bpe.encode(t or "") for t in texts.to_pylist()], pa.binary())
+        join = _joiner(bpe.token)
+
+        def apply(texts: pa.Array) -> list[pa.Array]:
+            made = [bpe.encode(t or "") for t in texts.to_pylist()]
+            return [_binary(made), *([_binary([join(x) for x in made])] if decoded else [])]
+
+        return apply
 
-    return with_column(docs, ids, T.BinaryType(), make, "text")
+    return with_columns(docs, dict.fromkeys([ids, *([decoded] if decoded else [])], T.BinaryType()), make, "text")
 
 
 def decode_documents(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -267,14 +281,13 @@ def decode_documents(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "id
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     def make():
-        token = {i: b for b, i in shared.value.items()}
-        join = lambda x: b"".join(map(token.__getitem__, np.frombuffer(x, "<u4").tolist()))
-        return lambda col: pa.array([None if x is None else join(x) for x in col.to_pylist()], pa.binary())
+        join = _joiner({i: b for b, i in shared.value.items()})
+        return lambda col: [_binary([None if x is None else join(x) for x in col.to_pylist()])]
 
-    return with_column(encoded, out, T.BinaryType(), make, ids)
+    return with_columns(encoded, {out: T.BinaryType()}, make, ids)
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    both = decode_documents(encode_documents(docs.select("doc_id", "text"), ranks, pattern).drop("text"), ranks)
+    both = encode_documents(docs.select("doc_id", "text"), ranks, pattern, decoded="decoded")
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, scratch, shuffle_partitions
+from .common import discard, materialize, scratch, shuffle_partitions, small_batches
 from .words import WordHasher
 
 FREQUENT, CLASSES, SWEEPS, MIX = 512, 24, 2, 0.7
@@ -459,9 +459,10 @@ def train(blocks: DataFrame, buckets: int, frequent: int = FREQUENT, classes: in
 def score_documents(docs: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES, sweeps: int = SWEEPS, load: int = LOAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark, buckets = docs.sparkSession, shuffle_partitions(docs.sparkSession)
-    with scratch(spark) as keep:
+    with scratch(spark) as keep, small_batches(spark, 512):
         blocks = keep(materialize(blocks_of(docs, load)))
-        answers, model, tokens, distinct = train(blocks, buckets, frequent, classes, sweeps)
+        with small_batches(spark, 4):  # rows are blocks
+            answers, model, tokens, distinct = train(blocks, buckets, frequent, classes, sweeps)
         keep(answers)
     shared = spark.sparkContext.broadcast(model)
 

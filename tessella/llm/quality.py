@@ -7,7 +7,8 @@ of merging. The sketch gives the quartiles, and a document fails if a ratio lies
 q3 + 3 * max(q3 - q1, slack). The slack keeps sources whose documents are all alike from rejecting ordinary ones.
 
 Defined results: a null text has no words and fails the base rules; null language or source are groups of their own;
-repeated rows are judged alike; an empty table gives an empty result.
+repeated rows are judged alike; very long texts are measured whole; other columns, whatever their names, are ignored by
+quality_report() and kept by keep_good(); an empty table gives an empty result.
 """
 
 from __future__ import annotations

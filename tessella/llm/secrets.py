@@ -3,9 +3,9 @@
 Two models of order two give the log-likelihood of a string as a random secret and as an ordinary identifier. In a run of
 key characters the stretch between '=', '/' and the run's ends whose ratio is greatest is a secret if that passes the
 margin, unless a pattern has found it already; what is left on either side of it is searched in the same way. The models are trained
-from labelled samples: seeded random strings over the usual alphabets (secret), and words and identifiers made from words
-of at most ``SAMPLE`` documents of the corpus, those of least hash (ordinary). That bound limits the training sample
-alone; every whole text is scanned.
+from labelled samples: seeded random strings over the usual alphabets (secret), and words and identifiers made from at most
+``WORDS`` words of at most ``SAMPLE`` documents of the corpus, those of least hash (ordinary); the margin is set on a quarter of
+these words, held out. The bounds limit the training sample alone; every whole text is scanned.
 
 Spans are (kind, start, end) in code points, end exclusive, sorted by start, then by kind in the order of KINDS.
 
@@ -26,18 +26,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import with_column
+from .bpe import with_columns
 
 KINDS = ("assign", "access", "hex", "model")
-SAMPLE = 400
+SAMPLE, WORDS = 400, 60_000
 SHORTEST = 16
-MARGIN = 8.0
+LEAST, SLACK = 4.0, 1.0
 
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _HINTS = (b"passw", b"secret", b"token", b"api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _KEY = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
+_OTHER = re.compile(r"[^A-Za-z0-9+/_=-]")
 _PIECE = re.compile(r"[^=/]+")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -75,10 +76,9 @@ def random_secrets(count: int = 3000, seed: int = 11) -> list[str]:
     return [kinds[i % len(kinds)]() for i in range(count)]
 
 
-def identifiers(texts: list[str], count: int = 6000, seed: int = 12) -> list[str]:
-    """Labelled samples of ordinary strings: words of the texts, alone and joined as identifiers and paths are."""
+def identifiers(words: list[str], count: int = 6000, seed: int = 12) -> list[str]:
+    """Labelled samples of ordinary strings: words, alone and joined as identifiers and paths are."""
     rng = random.Random(seed)
-    words = [w for t in texts for w in re.findall(r"[A-Za-z]{2,}", t)]
     if not words:
         return []
     out = rng.choices(words, k=count // 2)
@@ -89,14 +89,23 @@ def identifiers(texts: list[str], count: int = 6000, seed: int = 12) -> list[str
     return out + [w.upper() for w in out[: count // 8]]
 
 
-def train(docs: DataFrame) -> np.ndarray:
-    """Differences of the two models' log-probabilities, by the codes of three characters."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
-    chosen = docs.where("text is not null").select("doc_id", key.alias("key")).orderBy("key", "doc_id").limit(SAMPLE)
-    ids = {r.doc_id for r in chosen.collect()}
-    rows = docs.where(F.col("doc_id").isin([i for i in ids if i is not None]) | (F.col("doc_id").isNull() if None in ids else F.lit(False)))
-    texts = [r.text for r in rows.where("text is not null").orderBy("doc_id", "text").limit(SAMPLE).collect()]
-    return MarkovModel(random_secrets()).log - MarkovModel(identifiers(texts)).log
+def sample_words(docs: DataFrame) -> list[str]:
+    """At most ``WORDS`` words of at most ``SAMPLE`` documents, those of least hash; a document without an id is hashed by its text."""
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.col("text").cast("binary")))).cast("binary"))
+    rows = docs.where("text is not null").select(key.alias("key"), "text")
+    keys = [r.key for r in rows.select("key").distinct().orderBy("key").limit(SAMPLE).collect()]
+    words = rows.where(F.col("key").isin(keys)).dropDuplicates(["key"]).select("key", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0))).alias("pos", "word"))
+    return [r.word for r in words.orderBy(F.xxhash64("key", "pos"), "key", "pos").limit(WORDS).collect()]
+
+
+def train(docs: DataFrame) -> tuple[np.ndarray, float]:
+    """Differences of the two models' log-probabilities, by the codes of three characters, and the margin: what no ordinary string of
+    a held-out quarter of the sampled words reaches, and LEAST at any rate."""
+    words = sample_words(docs)
+    held_out, rest = words[::4], [w for i, w in enumerate(words) if i % 4]
+    model = MarkovModel(random_secrets()).log - MarkovModel(identifiers(rest)).log
+    ordinary = [_OTHER.sub("", x) for x in identifiers(held_out, seed=13)]
+    return model, max([LEAST, *[log_ratio(model, x) + SLACK for x in ordinary if len(x) >= SHORTEST]])
 
 
 def log_ratio(model: np.ndarray, string: str) -> float:
@@ -143,7 +152,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def scan(text: str, model: np.ndarray, margin: float = MARGIN) -> list[tuple[str, int, int]]:
+def scan(text: str, model: np.ndarray, margin: float) -> list[tuple[str, int, int]]:
     """All spans of a text: those of the patterns, and those that the models add."""
     found = base_spans(text)
     keys = []
@@ -165,19 +174,17 @@ def scan(text: str, model: np.ndarray, margin: float = MARGIN) -> list[tuple[str
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def find_secrets(docs: DataFrame, model: np.ndarray | None = None, margin: float = MARGIN) -> DataFrame:
-    """``docs`` plus spans. The broadcast model is a table of fixed size."""
-    if model is None:
-        model = train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def find_secrets(docs: DataFrame, trained: tuple[np.ndarray, float] | None = None) -> DataFrame:
+    """``docs`` plus spans. The broadcast model, of train(), is a table of fixed size and a margin."""
+    shared = docs.sparkSession.sparkContext.broadcast(trained or train(docs))
 
     def make():
-        table = shared.value
+        table, margin = shared.value
         as_dict = lambda x: [{"kind": k, "start": s, "end": e} for k, s, e in x]
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        return lambda texts: pa.array([as_dict(scan(t or "", table, margin)) for t in texts.to_pylist()], kind)
+        return lambda texts: [pa.array([as_dict(scan(t or "", table, margin)) for t in texts.to_pylist()], kind)]
 
-    return with_column(docs, "spans", _SPAN, make, "text")
+    return with_columns(docs, {"spans": _SPAN}, make, "text")
 
 
 def span_text(spans: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-MEMO = 300_000
+MEMO = 200_000
 _MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) + 0xD1B54A32D192ED03 * (i * i + 1)) % 2**64 | 1 for i in range(64)], np.uint64)
 
 

@@ -2,19 +2,25 @@ import hashlib
 import random
 import re
 
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 
-from tessella.llm import secrets as S
+sys.path.insert(0, str(Path(__file__).parents[1]))
+from tessella.llm import secrets as S  # noqa: E402
 
 WORDS = "the thing ereating onandthe haingon reouent stand inerea account userName connection request handler buffer value".split()
 
 
+MARGIN = 8.0
+
+
 @pytest.fixture(scope="module")
 def model():
     rng = random.Random(2)
-    texts = [" ".join(rng.choices(WORDS, k=300)) for _ in range(20)]
-    return S.MarkovModel(S.random_secrets()).log - S.MarkovModel(S.identifiers(texts)).log
+    return S.MarkovModel(S.random_secrets()).log - S.MarkovModel(S.identifiers(rng.choices(WORDS, k=6000))).log
 
 
 def brute(text):
@@ -30,15 +36,15 @@ def test_patterns(model):
     bits = ["password", "PASSWD", "Secret", "token", "api_key", "ApiKey", ":", "=", " ", "\n", '"', "'", "AKIA", "ABCDEFGHIJ0123456789", "deadbeef01234567", "abc", "é", "ſecret", "K", "　", "tok", "x.y", "0123456789abcdef" * 3]
     for _ in range(3000):
         text = "".join(rng.choices(bits, k=rng.randint(0, 25)))
-        assert [s for s in S.scan(text, model) if s[0] != "model"] == brute(text), repr(text)
+        assert [s for s in S.scan(text, model, MARGIN) if s[0] != "model"] == brute(text), repr(text)
 
 
 def test_models_tell_secrets_from_identifiers(model):
     held_out = [s for s in S.random_secrets(800, seed=99) if len(s) >= S.SHORTEST]
     rng = random.Random(98)
-    ordinary = [s for s in S.identifiers([" ".join(rng.choices(WORDS, k=2000))], 3000, seed=97) if len(s) >= S.SHORTEST]
-    caught = np.mean([S.log_ratio(model, s) >= S.MARGIN for s in held_out])
-    wrong = np.mean([S.log_ratio(model, re.sub(r"[^A-Za-z0-9+/_=-]", "", s)) >= S.MARGIN for s in ordinary])
+    ordinary = [s for s in S.identifiers(rng.choices(WORDS, k=2000), 3000, seed=97) if len(s) >= S.SHORTEST]
+    caught = np.mean([S.log_ratio(model, s) >= MARGIN for s in held_out])
+    wrong = np.mean([S.log_ratio(model, re.sub(r"[^A-Za-z0-9+/_=-]", "", s)) >= MARGIN for s in ordinary])
     assert caught > 0.95 and wrong < 0.01
 
 
@@ -51,16 +57,34 @@ def test_documents(spark, model):
     assert (1, 1, 1, 0, sha("assign:0:20,access:25:45")) in got
     assert {(2, 0, 0, 0, sha("")), (3, 0, 0, 0, sha("")), (None, 0, 0, 0, sha("")), (4, 0, 0, 1, sha("hex:40000:40016"))} <= got
     assert S.report(docs).count() == 6 and S.report(docs.limit(0)).count() == 0
-    spans = S.find_secrets(docs, model).where("doc_id is null").first().spans
+    spans = S.find_secrets(docs, (model, MARGIN)).where("doc_id is null").first().spans
     assert [(s.kind, s.start, s.end) for s in spans] == [("model", 4, 4 + len(key))]
 
 
 def test_secrets_joined_to_ordinary_text(model):
-    keys = [k for k in S.random_secrets(400, seed=21) if not re.search("[=/]", k) and not re.fullmatch("[0-9a-f]+", k) and S.log_ratio(model, k) >= S.MARGIN]
+    keys = [k for k in S.random_secrets(400, seed=21) if not re.search("[=/]", k) and not re.fullmatch("[0-9a-f]+", k) and S.log_ratio(model, k) >= MARGIN]
     assert len(keys) > 100 and any(len(k) < 20 for k in keys)
     for front in ("", "access_key=", "database_connection_string=", "the/request/handler/account/"):
-        spans = {k: S.scan(front + k, model) for k in keys}
+        spans = {k: S.scan(front + k, model, MARGIN) for k in keys}
         assert all(any(kind == "model" and a <= len(front) and b == len(front) + len(k) for kind, a, b in spans[k]) for k in keys)
     rng = random.Random(98)
-    ordinary = S.identifiers([" ".join(rng.choices(WORDS, k=2000))], 3000, seed=97)
-    assert np.mean([bool(S.scan(x + "=" + y, model)) for x, y in zip(ordinary, ordinary[1:], strict=False)]) < 0.01
+    ordinary = S.identifiers(rng.choices(WORDS, k=2000), 3000, seed=97)
+    assert np.mean([bool(S.scan(x + "=" + y, model, MARGIN)) for x, y in zip(ordinary, ordinary[1:], strict=False)]) < 0.01
+
+
+def test_the_margin_is_set_on_held_out_words(spark):
+    """Documents of the driver: keys of other kinds than the generator's are found, and clean documents stay free of model spans."""
+    from compare import SF_DIR
+
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    table, margin = S.train(docs)
+    assert margin >= S.LEAST and (table, margin)[1] == S.train(docs.repartition(3))[1]
+    rng = random.Random(77)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["sk_live_" + "".join(rng.choices(alphabet, k=24)) for _ in range(100)] + ["ghp_" + "".join(rng.choices(alphabet, k=36)) for _ in range(100)]
+    caught = [any(kind == "model" for kind, _, _ in S.scan(f"the key is {k} here", table, margin)) for k in keys]
+    assert sum(caught) > 150
+    found = S.report(docs).select("doc_id", "spans").collect()
+    assert sum("model" in r.spans for r in found) < 0.02 * len(found)
+    null = docs.withColumn("doc_id", docs.doc_id.cast("string").substr(1, 0).cast("long"))
+    assert S.find_secrets(null).count() == docs.count()
