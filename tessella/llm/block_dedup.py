@@ -18,17 +18,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, shuffle_partitions
+from .common import ascii_lower, materialize, scratch, shuffle_partitions
 
 BLOCK = 2048
 PROBE = 48
 
 
 def _named(distinct: DataFrame, cols: list[str], name: str) -> DataFrame:
-    """Number the rows of ``distinct`` in sort order; written out, since names must not change on a retry."""
+    """Number the rows of ``distinct``, sorted; written out, since names must not change on a retry. Which number a row gets depends on the
+    bounds that Spark draws: names of one run are equal or not, and mean nothing else."""
     n = shuffle_partitions(distinct.sparkSession)
-    # Bounds are drawn from the heads of long blocks: whole blocks would make the sample of bounds large.
-    heads = [F.substring(c, 1, 128) if c == "block" else F.col(c) for c in cols]
+    # Bounds are drawn from the heads of long blocks and, where very many blocks have one head, their hashes: whole blocks would
+    # make the sample of bounds large.
+    heads = [x for c in cols for x in ((F.substring(c, 1, 64), F.xxhash64(c)) if c == "block" else (F.col(c),))]
     ordered = distinct.repartitionByRange(n, *heads).sortWithinPartitions(*cols)
     return materialize(ordered.select(*cols, F.monotonically_increasing_id().alias(name)))
 
@@ -68,23 +70,24 @@ def exact_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm"))
     texts = texts.withColumn("size", F.length("norm")).withColumn("sha", F.sha2(F.encode("norm", "UTF-8"), 256))
-    heads = materialize(texts.select("doc_id", "sha", "size", _probe(F.col("norm"), F.col("size")).alias("probe")))
-    # Only documents that share length and probe blocks with another row can have a copy.
-    # Written first, so that the join deals both sides anew and a probe that very many share can be split.
-    shared = materialize(heads.groupBy("size", "probe").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size", "probe"))
-    members = materialize(heads.join(shared, ["size", "probe"]).groupBy("doc_id", "sha", "size").agg(F.count(F.lit(1)).alias("rows")))
-    keys = members.select(F.col("doc_id").alias("m_id"), F.col("sha").alias("m_sha"))
-    # By merge at any size, so that the plan is the same for small and large tables; written once, used twice.
-    candidates = materialize(texts.join(keys.hint("merge"), texts.doc_id.eqNullSafe(F.col("m_id")) & (texts.sha == F.col("m_sha")), "left_semi"))
-    named = block_names(candidates, block).withColumnsRenamed({"doc_id": "b_id", "sha": "b_sha", "size": "b_size"})
-    rows = members.join(named, members.doc_id.eqNullSafe(F.col("b_id")) & (F.col("sha") == F.col("b_sha"))).select("doc_id", "sha", "size", "rows", "name")
-    rows = materialize(rows)
+    with scratch(docs.sparkSession) as keep:
+        heads = keep(materialize(texts.select("doc_id", "sha", "size", _probe(F.col("norm"), F.col("size")).alias("probe"))))
+        # Only documents that share length and probe blocks with another row can have a copy.
+        # Written first, so that the join deals both sides anew and a probe that very many share can be split.
+        shared = materialize(heads.groupBy("size", "probe").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size", "probe"))
+        members = materialize(heads.join(shared, ["size", "probe"]).groupBy("doc_id", "sha", "size").agg(F.count(F.lit(1)).alias("rows")))
+        keys = members.select(F.col("doc_id").alias("m_id"), F.col("sha").alias("m_sha"))
+        # By merge at any size, so that the plan is the same for small and large tables; written once, used twice.
+        candidates = materialize(texts.join(keys.hint("merge"), texts.doc_id.eqNullSafe(F.col("m_id")) & (texts.sha == F.col("m_sha")), "left_semi"))
+        named = block_names(candidates, block).withColumnsRenamed({"doc_id": "b_id", "sha": "b_sha", "size": "b_size"})
+        rows = members.join(named, members.doc_id.eqNullSafe(F.col("b_id")) & (F.col("sha") == F.col("b_sha"))).select("doc_id", "sha", "size", "rows", "name")
+        rows = keep(materialize(rows))
     groups = rows.groupBy("size", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("rows").alias("group_size"))
     found = rows.join(groups, ["size", "name"]).select(F.col("doc_id").alias("f_id"), F.col("sha").alias("f_sha"), "keep_id", "group_size")
     out = heads.join(found, heads.doc_id.eqNullSafe(F.col("f_id")) & (heads.sha == F.col("f_sha")), "left")
-    keep = F.when(F.col("f_sha").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    stays = F.when(F.col("f_sha").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(
-        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256")
+        "doc_id", stays.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(stays).alias("kept"), F.col("sha").alias("text_sha256")
     )
 
 

@@ -31,11 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import _PACK, PatternSplitter, fingerprint, per_worker, slices
+from .bpe import _PACK, PatternSplitter, fingerprint, per_worker, slices, without_collector
 from .common import delete, materialize, scratch, shared_dir, shuffle_partitions, write
 
 WINDOW, MASK, LONGEST = 16, 0x1FF, 8192
-MEMO = 800_000
+MEMO = 1_500_000
 _ENTRY = "kind string, key binary, doc_id long, n long, digests array<binary>, data binary"
 
 
@@ -133,8 +133,9 @@ def encode_entries(docs: DataFrame, definition: str, pattern: str, end_id: int,
         sent: set[bytes] = set()
         for part in slices(batches, 256):
             rows: list[tuple] = []
-            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                data = own.encode(text or "") + end
+            with without_collector():
+                encoded = [own.encode(text or "") + end for text in part.column("text").to_pylist()]
+            for doc, data in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
                 ends = cut_points(np.frombuffer(data, kind), table) * own.width
                 names = []
                 at = 0
