@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.plans import recipes
-from tessella.sources import catalogue, raw_image, text_records
+from tessella.sources import catalogue, raster_files, raw_image, text_records
 from tessella.streaming import windows
 
 LABEL = """<Product xmlns="urn:a" xmlns:isda="urn:b"><File><file_name>a.img</file_name></File><Array_2D_Image><offset unit="byte">16</offset><axes>2</axes>
@@ -48,6 +48,13 @@ def test_raw_images(spark, tmp_path):
     assert all(cube[r.band, r.y, r.x] == r.v for r in one.collect()) and one.count() == 20
     with pytest.raises(Exception, match="holds 3 of 7"):
         spark.read.format("rawimage").options(**options, bands="7").load().collect()
+    window = df.where("band = 2 and y >= 2 and y < 4")
+    assert window.rdd.getNumPartitions() == 1 and sorted((r.y, r.x, r.v) for r in window.collect()) == sorted((y, x, cube[2, y, x]) for y in (2, 3) for x in range(4))
+    (tmp_path / "whole.qub").write_bytes(cube.tobytes())
+    stored = raw_image.read_lines(spark, f"file://{tmp_path}/whole.qub", 5, 4, "<u2").collect()
+    assert len(stored) == 60 and all(cube[r.band, r.y, r.x] == r.v for r in stored)
+    header = {"lines": 5, "samples": 4, "bands": 7, "offset": 16, "dtype": "<u2", "interleave": "bsq"}
+    assert raster_files.read_cube(spark, str(tmp_path / "c.qub"), header).count() == 60
     assert raw_image.nearest_band({0: 0.8, 1: 0.9, 2: 1.0, 5: 1.5}, 3, 1.5) == 2 and raw_image.nearest_band({}, 3, 1.5) == 0
 
 
