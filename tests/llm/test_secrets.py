@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parents[1]))
+from pyspark.sql import functions as F  # noqa: E402
+
 from tessella.llm import secrets as S  # noqa: E402
 
 WORDS = "the thing ereating onandthe haingon reouent stand inerea account userName connection request handler buffer value".split()
@@ -86,5 +88,5 @@ def test_the_margin_is_set_on_held_out_words(spark):
     assert sum(caught) > 150
     found = S.report(docs).select("doc_id", "spans").collect()
     assert sum("model" in r.spans for r in found) < 0.02 * len(found)
-    null = docs.withColumn("doc_id", docs.doc_id.cast("string").substr(1, 0).cast("long"))
+    null = docs.withColumn("doc_id", F.lit(None).cast("long"))
     assert S.find_secrets(null).count() == docs.count()
