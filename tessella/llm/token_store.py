@@ -35,7 +35,7 @@ from .bpe import _PACK, PatternSplitter, fingerprint, per_worker, slices, withou
 from .common import delete, materialize, scratch, shared_dir, shuffle_partitions, write
 
 WINDOW, MASK, LONGEST = 16, 0x1FF, 8192
-MEMO = 1_500_000
+MEMO = 1_000_000
 _ENTRY = "kind string, key binary, doc_id long, n long, digests array<binary>, data binary"
 
 
