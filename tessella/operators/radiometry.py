@@ -1,7 +1,7 @@
 """Per-pixel radiometry on pixels(product, y, x, v). Zero or non-finite values are invalid.
 
-Bounds are aggregates per product, joined back; the exact percentile keeps one counter per distinct value, which 8- and
-16-bit rasters bound.
+Bounds are aggregates per product, joined back. Percentiles are exact: of 8- and 16-bit rasters from one counter per distinct value,
+of values without such a bound from the few around a sketch's estimate.
 """
 
 from __future__ import annotations
@@ -14,11 +14,37 @@ from ..functions.safe import clip, divide, is_valid, join_same, truncate
 V = F.col
 
 
-def percentiles(df: DataFrame, low: float, high: float, keys: list[str], where: Column | None = None) -> DataFrame:
+def percentiles(df: DataFrame, low: float, high: float, keys: list[str], where: Column | None = None, *, discrete: bool = True) -> DataFrame:
+    """(keys, lo_, hi_): exact percentiles, interpolated. ``discrete``: values are few, as those of 8- and 16-bit rasters are."""
     value = V("v") if where is None else F.when(where, V("v"))
+    if not discrete:
+        return _percentiles_of_many(df.select(*keys, value.alias("v")), (low / 100, high / 100), keys)
     return df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low / 100), F.lit(high / 100))).alias("q_")).select(*keys, V("q_")[0].alias("lo_"), V("q_")[1].alias("hi_"))
 
 
+def _percentiles_of_many(rows: DataFrame, shares: tuple[float, float], keys: list[str], around: float = 1e-3) -> DataFrame:
+    """Exact percentiles of any number of distinct values: a sketch gives bounds ``around`` each share; what is below them is counted, and
+    only the values between them are put in order. The next value on either side covers ranks that few values put outside."""
+    within = [max(0.0, min(1.0, q + d)) for q in shares for d in (-around, around)]
+    found = rows.groupBy(*keys).agg(F.count("v").alias("n"), F.percentile_approx("v", within, 10000).alias("b"))
+    one = lambda k: F.struct(F.lit(k).alias("k"), V("b")[2 * k].alias("from"), V("b")[2 * k + 1].alias("to"), (shares[k] * (V("n") - 1)).alias("rank"))
+    marked = join_same(rows.where(V("v").isNotNull()), found, *keys).withColumn("s", F.explode(F.array(one(0), one(1)))).select(*keys, "v", "s.*")
+    group = [*keys, "k", "rank"]
+    outside = marked.groupBy(*group).agg(F.count_if(V("v") < V("from")).alias("below"), F.max(F.when(V("v") < V("from"), V("v"))).alias("before"), F.min(F.when(V("v") > V("to"), V("v"))).alias("after"))
+    inside = marked.where(V("v").between(V("from"), V("to"))).groupBy(*group, "v").agg(F.count(F.lit(1)).alias("c"))
+    met = join_same(inside, outside, *group)
+    stop = V("below") + F.sum("c").over(Window.partitionBy(*group).orderBy("v"))
+    met = met.withColumn("stop", stop)
+    at = lambda r: F.max(F.when((V("stop") > r) & (V("stop") - V("c") <= r), V("v")))
+    low, high = F.floor("rank"), F.ceil("rank")
+    picked = met.groupBy(*group, "below", "before", "after").agg(at(low).alias("a"), at(high).alias("z"))
+    a = F.coalesce("a", F.when(low < V("below"), V("before")).otherwise(V("after")))
+    z = F.coalesce("z", F.when(high < V("below"), V("before")).otherwise(V("after")))
+    value = picked.select(*keys, "k", (a + (V("rank") - low) * (z - a)).alias("value"))
+    both = value.groupBy(*keys).agg(F.max(F.when(V("k") == 0, V("value"))).alias("lo_"), F.max(F.when(V("k") == 1, V("value"))).alias("hi_"))
+    return join_same(found.select(*keys), both, *keys, how="left")
+
+
 def normalize_u8(df: DataFrame, low: float = 1.0, high: float = 99.0) -> DataFrame:
     """Stretch between percentiles over all pixels to 0..255, truncated."""
     bounds = percentiles(df, low, high, ["product"]).withColumn("hi_", F.when(V("hi_") <= V("lo_"), V("lo_") + 1e-6).otherwise(V("hi_")))

@@ -10,11 +10,16 @@ RANGES = 256
 
 
 def series_stats(df: DataFrame, fields: list[str], keys: list[str], time: str) -> DataFrame:
-    """Per key: count, first and last time, and least, median and greatest value of each field, one row a field."""
+    """Per key: count, first and last time, and least, median and greatest value of each field, one row a field. Without keys every
+    field has a row, of 0 records if there are none."""
     long = df.select(*keys, time, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), V(f).cast("double").alias("value")) for f in fields])).alias("f")).select(*keys, time, "f.*")
-    return long.groupBy(*keys, "field").agg(
+    out = long.groupBy(*keys, "field").agg(
         F.count(F.lit(1)).alias("records"), F.min(time).alias("first_time"), F.max(time).alias("last_time"), F.min("value").alias("v_min"), F.percentile("value", 0.5).alias("v_median"), F.max("value").alias("v_max")
     )
+    if keys:
+        return out
+    listed = df.sparkSession.createDataFrame([(f,) for f in fields], "field string")
+    return listed.join(out, "field", "left").withColumn("records", F.coalesce("records", F.lit(0)))
 
 
 def nearest(targets: DataFrame, records: DataFrame, target: str, value: str, order: str) -> DataFrame:

@@ -100,7 +100,7 @@ def bilateral(df: DataFrame, diameter: int = 5, sigma_color: float = 50.0, sigma
 def gradient_magnitude(df: DataFrame) -> DataFrame:
     """Gradient length of the stretched raster, over its 99th percentile of positive values, times 255, truncated; 0 outside."""
     g = gradient(normalize_masked(df)).withColumn("g", F.when(V("valid"), euclid(V("gx"), V("gy"))).otherwise(0.0))
-    scale = percentiles(g.withColumn("v", V("g")), 50, 99, ["product"], V("g") > 0).select("product", V("hi_").alias("p_"))
+    scale = percentiles(g.withColumn("v", V("g")), 50, 99, ["product"], V("g") > 0, discrete=False).select("product", V("hi_").alias("p_"))
     scaled = clip(divide(V("g"), V("p_")), 0, 1) * 255.0
     return join_same(g, scale, "product").select("product", "y", "x", truncate(scaled).alias("v"))
 

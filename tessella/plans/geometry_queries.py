@@ -223,3 +223,6 @@ query("ingest_anti", "SELECT url AS path, length(html)::BIGINT AS size FROM page
 query("prefix_filter", "SELECT p_partkey, p_type FROM part WHERE starts_with(p_brand, 'B') AND (p_type LIKE '%A%' OR p_name LIKE '%3')")(
     lambda s, d: table(s, d, "part").where(V("p_brand").startswith("B") & (V("p_type").contains("A") | V("p_name").endswith("3"))).select("p_partkey", "p_type")
 )
+query("record_stats", "SELECT 'value' AS field, count(*) AS records, min(ts) AS first_time, max(ts) AS last_time, min(value) AS v_min, round(median(value), 6) AS v_median, max(value) AS v_max FROM events UNION ALL SELECT 'user_id', count(*), min(ts), max(ts), min(user_id)::DOUBLE, median(user_id)::DOUBLE, max(user_id)::DOUBLE FROM events")(
+    lambda s, d: T.series_stats(table(s, d, "events"), ["value", "user_id"], [], "ts").withColumn("v_median", F.round("v_median", 6))
+)

@@ -224,3 +224,8 @@ query(
     "reproject",
     f"WITH {RASTER}, t AS (SELECT p.product, ys.y, xs.x, (100 + (xs.x + 0.5::DOUBLE) * 0.8::DOUBLE - 100) / 1 - 0.5 AS sx, ((50 + (ys.y + 0.5::DOUBLE) * -0.7::DOUBLE) - 50) / -1 - 0.5 AS sy FROM (SELECT DISTINCT product FROM r) p CROSS JOIN (SELECT unnest(range(0, 20)) AS y) ys CROSS JOIN (SELECT unnest(range(0, 30)) AS x) xs), c AS (SELECT t.*, floor(sy) + dy AS ny, floor(sx) + dx AS nx, (CASE WHEN dy = 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) * (CASE WHEN dx = 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) AS w FROM t CROSS JOIN (SELECT unnest([0, 1]) AS dy) a CROSS JOIN (SELECT unnest([0, 1]) AS dx) b) SELECT c.product, c.y, c.x, round(sum(w * r.v), 6) AS v FROM c LEFT JOIN r ON r.product = c.product AND r.y = c.ny AND r.x = c.nx WHERE w > 0 GROUP BY c.product, c.y, c.x HAVING count(*) FILTER (WHERE r.v IS NULL) = 0",
 )(lambda s, d: G.reproject(raster(s, d), (100.0, 1.0, 0.0, 50.0, 0.0, -1.0), (100.0, 0.8, 0.0, 50.0, 0.0, -0.7), 20, 30).select("product", "y", "x", _r("v")))
+query("band_crop", f"WITH {RASTER} SELECT product, y, x, v * 2 AS v FROM r WHERE y BETWEEN 2 AND 9 AND x BETWEEN 4 AND 15")(lambda s, d: S.window_crop(_cube(s, d).where("band = 1"), 2, 8, 4, 12).select("product", "y", "x", "v"))
+query(
+    "shift_ranks",
+    f"WITH {RASTER}, {_SHIFT}, j AS (SELECT dx, dy, count(*) AS n, covar_pop(a.v, b.v) / nullif(stddev_pop(a.v) * stddev_pop(b.v), 0) AS score FROM r a CROSS JOIN sh JOIN r b ON b.y = a.y - dy AND b.x = a.x - dx WHERE a.product = 'click' AND b.product = 'view' AND a.v > 0 AND b.v > 0 GROUP BY dx, dy) SELECT dx::INT AS dx, dy::INT AS dy, n, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, dx DESC, dy DESC)::INT AS rank FROM j WHERE n >= {LEAST} AND score IS NOT NULL QUALIFY rank <= 10",
+)(lambda s, d: tables.ranked(shift.correlate_bands(raster(s, d, "click"), raster(s, d, "view"), 4, LEAST, 32).withColumn("score", F.round("score", 6)), [F.desc("score"), F.desc("dx"), F.desc("dy")]))

@@ -15,6 +15,12 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
 
 
+def read_documents(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Whole JSON documents, one row each (one an element, if a document is a list), with the path."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path).withColumn("path", F.col("_metadata.file_path"))
+
+
 def sensor(path: Column) -> Column:
     low = F.lower(path)
     named = F.when(low.contains("ohr"), "OHRC").when(low.contains("tmc"), "TMC").when(low.contains("iir"), "IIRS")

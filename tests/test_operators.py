@@ -137,3 +137,8 @@ def test_pca_keeps_what_is_on_a_plane(spark):
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(plane)], "vec_id long, f array<double>")
     got = np.array([r.f for r in matching.pca_denoise(df, 0.9999).orderBy("vec_id").collect()])
     assert np.allclose(got, plane, atol=1e-2)
+
+
+def test_no_records_are_counted_as_none(spark):
+    empty = spark.createDataFrame([], "ts timestamp, a double, b double")
+    assert {(r.field, r.records, r.v_min) for r in series.series_stats(empty, ["a", "b"], [], "ts").collect()} == {("a", 0, None), ("b", 0, None)}

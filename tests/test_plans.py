@@ -88,6 +88,19 @@ def test_null_products_keep_their_pixels(spark):
         assert np.allclose(array(resample.resample(df, 1, 1)), image)
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 30, 5000])
+def test_percentiles_of_many_values(spark, n):
+    rng = np.random.default_rng(n)
+    for values in (rng.normal(size=n), rng.integers(0, 3, n).astype(float)):
+        df = spark.createDataFrame([(None if i % 2 else "a", float(v)) for i, v in enumerate(values)], "product string, v double")
+        got = {r["product"]: (r.lo_, r.hi_) for r in radiometry.percentiles(df, 2, 99, ["product"], discrete=False).collect()}
+        for i, product in enumerate(("a", None)):
+            if len(values[i::2]):
+                assert np.allclose(got[product], np.percentile(values[i::2], (2, 99)))
+    none = spark.createDataFrame([("a", 1.0)], "product string, v double")
+    assert radiometry.percentiles(none, 2, 98, ["product"], F.col("v") > 5, discrete=False).first().hi_ is None
+
+
 def test_medians_and_bilateral_means(spark):
     image = np.random.default_rng(3).integers(0, 255, (9, 7)).astype(float)
     wide = np.pad(image, 2, mode="edge")
