@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import bucket_count, lean, materialize
 from .words import mixed
 
 LOAD = 1 << 20
@@ -137,12 +137,12 @@ def by_document(sent: DataFrame) -> DataFrame:
         pieces = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())
         return pa.table({"d": d[first][docs], "th": th[first][docs], "starts": pieces(starts), "stops": pieces(stops)})
 
-    return sent.groupBy("bucket").applyInArrow(fold, "d long, th long, starts binary, stops binary")
+    return sent.groupBy("bucket").applyInArrow(lean(fold), "d long, th long, starts binary, stops binary")
 
 
 def repeated_anchors(docs: DataFrame, shape: Shape) -> DataFrame:
     """(d, th, starts): the documents' places of anchors found at two or more places."""
-    buckets = shuffle_partitions(docs.sparkSession)
+    buckets = bucket_count(docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = shape.make_units()
@@ -182,8 +182,8 @@ def repeated_anchors(docs: DataFrame, shape: Shape) -> DataFrame:
         keep = ((h == 0) | several) & (pos >= 0)
         return _to_documents(d[keep], th[keep], pos[keep], pos[keep], buckets)
 
-    sent = keyed(docs).select("d", "th", "text").mapInArrow(send, "bucket int, d binary, th binary, pos binary, h binary")
-    return by_document(sent.groupBy("bucket").applyInArrow(meet, _TO_DOCUMENTS)).select("d", "th", "starts")
+    sent = keyed(docs).select("d", "th", "text").mapInArrow(lean(send), "bucket int, d binary, th binary, pos binary, h binary")
+    return by_document(sent.groupBy("bucket").applyInArrow(lean(meet), _TO_DOCUMENTS)).select("d", "th", "starts")
 
 
 def with_candidates(docs: DataFrame, shape: Shape, plain) -> DataFrame:
@@ -267,7 +267,7 @@ def contexts(rows: DataFrame, shape: Shape, solve: Callable[[Contexts], tuple[np
     whole contexts that are repeated and not first. ``solve`` gets whole groups of one anchor and gives the hit contexts and
     the starts and stops of their runs. ``distinct_rows``: repeated rows of one document are one place.
     """
-    buckets = shuffle_partitions(rows.sparkSession)
+    buckets = bucket_count(rows)
     dtype = shape.make_units()(b"").dtype
     width = 2 * shape.reach + shape.gram
     names = [*_KINDS, "units"]
@@ -311,5 +311,5 @@ def contexts(rows: DataFrame, shape: Shape, solve: Callable[[Contexts], tuple[np
                     at = f
         return _to_documents(*(np.concatenate(x) for x in zip(*out, strict=True)), buckets)
 
-    sent = rows.where("places is not null").select("d", "th", "places", "text").mapInArrow(send, "bucket int, " + ", ".join(f"{c} binary" for c in names))
-    return by_document(sent.groupBy("bucket").applyInArrow(meet, _TO_DOCUMENTS))
+    sent = rows.where("places is not null").select("d", "th", "places", "text").mapInArrow(lean(send), "bucket int, " + ", ".join(f"{c} binary" for c in names))
+    return by_document(sent.groupBy("bucket").applyInArrow(lean(meet), _TO_DOCUMENTS))

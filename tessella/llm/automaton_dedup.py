@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .anchors import Contexts, Shape, contexts, equal_contexts, runs_of, with_candidates, with_runs
 from .words import WordHasher, run_hashes
 
@@ -168,7 +169,7 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
                     out.append({"doc_id": r["doc_id"], "n_words": n, "n_removed": n - len(words), "kept_sha256": hashlib.sha256(kept).hexdigest(), "spans": [{"start": a, "stop": b} for a, b in runs_], "kept": kept.decode() if runs_ else None})
                 yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
 
-    return joined.select("doc_id", "text", "plain", "starts", "stops").mapInArrow(cut, schema)
+    return joined.select("doc_id", "text", "plain", "starts", "stops").mapInArrow(lean(cut), schema)
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("kept", pa.string())])

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
+
 #: A blank that does not start a match of its own: white space before it and no word after it.
 _AMID = re.compile(r"\s (?!\S)")
 _MARKS = frozenset(",.;:!?")
@@ -76,6 +78,12 @@ def per_worker(key: str, make):
     return _WORKER[key]
 
 
+def forget(key: str) -> None:
+    """Let this worker's object of that key forget what it remembers of texts."""
+    if key in _WORKER:
+        _WORKER[key].forget()
+
+
 @contextmanager
 def without_collector() -> Iterator[None]:
     """Encoding makes very many short-lived lists and no cycles; looking for cycles among the memos' entries costs a tenth of the time."""
@@ -134,6 +142,11 @@ class PatternSplitter:
         self.first = _Memo(lambda text: pieces[text] if text.isalpha() else self.whole(text), memo // 4)
         self.after_blank = _Words(self, encode_word or (lambda w: encode_piece(" " + w)), memo)
 
+    def forget(self) -> None:
+        for memo in (self.pieces, self.first, self.after_blank):
+            memo.clear()
+            memo.old = {}
+
     def encode(self, text: str) -> bytes:
         if _AMID.search(text):
             return self.whole(text)
@@ -232,6 +245,11 @@ class ByteBpe:
         """Ids of the text, as little-endian unsigned 32-bit integers."""
         return self.text.encode(text)
 
+    def forget(self) -> None:
+        """Drop what is remembered of texts; the vocabulary stays."""
+        self.text.forget()
+        self.fits.clear()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -248,21 +266,25 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
-def with_columns(df: DataFrame, added: dict[str, T.DataType], make, source: str) -> DataFrame:
-    """``df`` plus columns; ``make()`` gives a worker's function from the values of ``source`` to the columns' Arrow arrays."""
+def with_columns(df: DataFrame, added: dict[str, T.DataType], make, source: str, done=lambda: None) -> DataFrame:
+    """``df`` plus columns; ``make()`` gives a worker's function from the values of ``source`` to the columns' Arrow arrays. ``done()`` is
+    called when a task ends."""
     names = list(added)
     schema = T.StructType([f for f in df.schema.fields if f.name not in added] + [T.StructField(n, kind) for n, kind in added.items()])
     kept = [f.name for f in schema.fields[: -len(names)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = None
-        for part in slices(batches):
-            apply = apply or make()
-            with without_collector():
-                made = apply(part.column(source))
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *made], [*kept, *names])
+        try:
+            for part in slices(batches):
+                apply = apply or make()
+                with without_collector():
+                    made = apply(part.column(source))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *made], [*kept, *names])
+        finally:
+            done()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def _joiner(token: dict[int, bytes]):
@@ -289,7 +311,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids
 
         return apply
 
-    return with_columns(docs, dict.fromkeys([ids, *([decoded] if decoded else [])], T.BinaryType()), make, "text")
+    return with_columns(docs, dict.fromkeys([ids, *([decoded] if decoded else [])], T.BinaryType()), make, "text", lambda: forget(key))
 
 
 def decode_documents(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:

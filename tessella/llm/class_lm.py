@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, scratch, shuffle_partitions, small_batches
+from .common import bucket_count, discard, lean, materialize, scratch, small_batches
 from .words import WordHasher
 
 FREQUENT, CLASSES, SWEEPS, MIX = 512, 24, 2, 0.7
@@ -105,7 +105,7 @@ def blocks_of(docs: DataFrame, load: int = LOAD) -> DataFrame:
         if ids:
             yield block()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, _BLOCK)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(lean(run), _BLOCK)
 
 
 class _Block:
@@ -155,8 +155,8 @@ def frequent_words(blocks: DataFrame, buckets: int, most: int) -> tuple[np.ndarr
         kind = ["word"] * len(top) + ["total"]
         return pa.table({"kind": kind, "name": np.append(names[top], np.uint64(0)).view(np.int64), "n": np.append(counts[top], counts.sum()), "distinct": np.append(np.zeros(len(top), np.int64), np.count_nonzero(counts))})
 
-    sums = blocks.select("held", "ends", "names", "codes").mapInArrow(send, "bucket int, names binary, counts binary")
-    sums = materialize(sums.groupBy("bucket").applyInArrow(add, "kind string, name long, n long, distinct long"))
+    sums = blocks.select("held", "ends", "names", "codes").mapInArrow(lean(send), "bucket int, names binary, counts binary")
+    sums = materialize(sums.groupBy("bucket").applyInArrow(lean(add), "kind string, name long, n long, distinct long"))
     total = sums.where("kind = 'total'").agg(F.sum("n"), F.sum("distinct")).first()
     words = sums.where(f"kind = 'word' and name <> {int(END)}").orderBy(F.desc("n"), "name").limit(most).collect()
     return np.sort(np.array([r.name for r in words], np.int64).view(np.uint64)), total[0] or 0, total[1] or 0
@@ -194,7 +194,7 @@ def frequent_bigrams(blocks: DataFrame, frequent: np.ndarray) -> np.ndarray:
         return pa.table({"code": table.column("code")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros((side, side), np.int64)
-    for row in blocks.mapInArrow(count, "code int, counts binary").groupBy("code").applyInArrow(add, "code int, counts binary").toLocalIterator():
+    for row in blocks.mapInArrow(lean(count), "code int, counts binary").groupBy("code").applyInArrow(lean(add), "code int, counts binary").toLocalIterator():
         out[row.code] = np.frombuffer(row.counts, np.int64)
     return out
 
@@ -359,7 +359,7 @@ def first_classes(blocks: DataFrame, frequent: np.ndarray, own: np.ndarray, tabl
         classes[known] = own_[code[known]]
         return of.answers(classes)
 
-    return blocks.mapInArrow(ask, _ASKED).groupBy("bucket").applyInArrow(answer, _ANSWERS)
+    return blocks.mapInArrow(lean(ask), _ASKED).groupBy("bucket").applyInArrow(lean(answer), _ANSWERS)
 
 
 def _found(of: _Block, found: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -384,7 +384,7 @@ def class_transitions(blocks: DataFrame, answers: DataFrame, buckets: int, width
         return pa.table({"at": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
     out = np.zeros(width * (width + 2))
-    counted = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(count, "at long, n long")
+    counted = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean(count), "at long, n long")
     sums = materialize(counted.groupBy("at").agg(F.sum("n").alias("n")))  # of fixed size
     for r in sums.collect():
         out[r.at] = r.n
@@ -416,8 +416,8 @@ def next_classes(blocks: DataFrame, answers: DataFrame, table: np.ndarray, bucke
             own[some] = np.where(moves, best, mine)
         return of.answers(own)
 
-    asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask, schema)
-    return asked.groupBy("bucket").applyInArrow(answer, _ANSWERS)
+    asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean(ask), schema)
+    return asked.groupBy("bucket").applyInArrow(lean(answer), _ANSWERS)
 
 
 class ClassModel:
@@ -458,7 +458,7 @@ def train(blocks: DataFrame, buckets: int, frequent: int = FREQUENT, classes: in
 
 def score_documents(docs: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES, sweeps: int = SWEEPS, load: int = LOAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    spark, buckets = docs.sparkSession, shuffle_partitions(docs.sparkSession)
+    spark, buckets = docs.sparkSession, bucket_count(docs)
     with scratch(spark) as keep, small_batches(spark, 512):
         blocks = keep(materialize(blocks_of(docs, load)))
         with small_batches(spark, 4):  # rows are blocks
@@ -477,4 +477,4 @@ def score_documents(docs: DataFrame, frequent: int = FREQUENT, classes: int = CL
         rest = [of.ends - starts, add((c > 0).astype(np.int64)), np.full(len(starts), tokens), add(base), add(shared.value.log10(before, own, c, tokens))]
         return pa.table([pa.array(of.docs, mask=of.no_id), pa.array(of.held), *map(pa.array, rest)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean(score), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

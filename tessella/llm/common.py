@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import inspect
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: What a worker gets of a table at once, as Catalyst sizes it (compressed, for files). Beyond KNOWN it is no size but Catalyst's sign that
+#: it has none.
+BUCKET_BYTES, KNOWN = 32 << 20, 1 << 50
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Into how many buckets workers deal what ``df`` gives: the session's shuffle partitions, and more where these would be too large
+    for a worker's memory. Several buckets may share a partition; a worker holds one at a time."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(shuffle_partitions(df.sparkSession), -(-size // BUCKET_BYTES) if size < KNOWN else 1)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. ASCII texts take the vectorised path of lower()."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -49,6 +64,43 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+def _give_back() -> None:
+    """Return this worker's free memory to the system: workers are kept between tasks, and so is what their allocators hold."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run``, a worker's function for mapInArrow() or applyInArrow(), giving back memory when it is done."""
+    if inspect.isgeneratorfunction(run):
+
+        def of_batches(batches):
+            try:
+                yield from run(batches)
+            finally:
+                _give_back()
+
+        return of_batches
+    if len(inspect.signature(run).parameters) == 1:
+
+        def of_group(table):
+            try:
+                return run(table)
+            finally:
+                _give_back()
+
+        return of_group
+
+    def of_two(first, second):
+        try:
+            return run(first, second)
+        finally:
+            _give_back()
+
+    return of_two
+
+
 _SCOPES: list[list[str]] = []
 #: Spark's setting by which a query's shuffle files go when it ends, not when the driver happens to collect garbage.
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .anchors import Contexts, Shape, contexts, runs_of, with_candidates, with_runs
 from .words import mixed
 
@@ -148,7 +149,7 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
                     out.append({"doc_id": r["doc_id"], "n_bytes": r["n_bytes"], "n_removed": sum(b - a for a, b in runs_), "n_spans": len(runs_), "kept_sha256": sha, "spans": [{"start": a, "stop": b} for a, b in runs_], "kept": kept})
                 yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
 
-    return joined.select("doc_id", "n_bytes", "plain_sha256", "text", "starts", "stops").mapInArrow(cut, schema)
+    return joined.select("doc_id", "n_bytes", "plain_sha256", "text", "starts", "stops").mapInArrow(lean(cut), schema)
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("kept", pa.binary())])

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import _PACK, PatternSplitter, fingerprint, per_worker, slices, without_collector
-from .common import delete, materialize, scratch, shared_dir, shuffle_partitions, write
+from .common import bucket_count, delete, lean, materialize, scratch, shared_dir, write
 
 WINDOW, MASK, LONGEST = 16, 0x1FF, 8192
 MEMO = 1_000_000
@@ -155,7 +155,7 @@ def encode_entries(docs: DataFrame, definition: str, pattern: str, end_id: int,
             kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["kind", "key", "doc_id", "n", "digests", "data"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ENTRY)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), _ENTRY)
 
 
 _STORE = {
@@ -173,14 +173,14 @@ def file_roots(recipes: DataFrame) -> DataFrame:
         tokens = sum(table.column("n_tokens").to_pylist())
         return pa.table({"part": table.column("part")[:1], "docs": pa.array([len(leaves)], pa.int64()), "tokens": pa.array([tokens], pa.int64()), "root": pa.array([merkle_root(leaves)], pa.binary())})
 
-    return recipes.select("part", "doc_id", "n_tokens", "root").groupBy("part").applyInArrow(fold, "part int, docs long, tokens long, root binary")
+    return recipes.select("part", "doc_id", "n_tokens", "root").groupBy("part").applyInArrow(lean(fold), "part int, docs long, tokens long, root binary")
 
 
 def write_store(docs: DataFrame, definition: str, pattern: str, end_id: int, added: bool = False, path: str | None = None) -> str:
     """Encode ``docs`` and write the store's three tables below ``path`` (a folder that all executors share; by default one
     under spark.checkpoint.dir). Gives the path, for open_store(). ``added``: see LibraryEncoder."""
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
+    n = bucket_count(docs)
     path = path or f"{shared_dir(spark)}/tessella/{uuid.uuid4().hex}"
     entries = encode_entries(docs, definition, pattern, end_id, added).repartition(n, "key")
     write(entries.dropDuplicates(["key"]), f"{path}/chunks", ["kind"])
@@ -276,7 +276,7 @@ def checked_chunks(chunks: DataFrame, width: int) -> DataFrame:
                 sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], ["digest", "n", "crc"])
 
-    return chunks.select("digest", "data").mapInArrow(run, "digest binary, n long, crc long")
+    return chunks.select("digest", "data").mapInArrow(lean(run), "digest binary, n long, crc long")
 
 
 def _listed(store: dict[str, DataFrame], chunks: DataFrame, *columns: str) -> DataFrame:
@@ -306,7 +306,7 @@ def read_checksums(store: dict[str, DataFrame]) -> DataFrame:
             sums = joined_crc32(crcs, 4 * sizes, offsets).astype(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("start"), part.column("n_tokens"), pa.array(sums)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(store: dict[str, DataFrame]) -> DataFrame:
@@ -318,4 +318,4 @@ def read_ids(store: dict[str, DataFrame]) -> DataFrame:
             ids = [b"".join(p["data"] for p in parts) for parts in part.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("start"), pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
 
-    return rows.select("doc_id", "start", "parts").mapInArrow(run, "doc_id long, start long, ids binary")
+    return rows.select("doc_id", "start", "parts").mapInArrow(lean(run), "doc_id long, start long, ids binary")
