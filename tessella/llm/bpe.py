@@ -34,7 +34,7 @@ from .common import lean
 #: A blank that does not start a match of its own: white space before it and no word after it.
 _AMID = re.compile(r"\s (?!\S)")
 _MARKS = frozenset(",.;:!?")
-MEMO = 250_000
+MEMO = 400_000
 LONG = 64
 SLICE = 512
 
