@@ -72,6 +72,11 @@ def test_bins(spark, image):
     assert np.allclose(whole, image)
 
 
+def test_bin_means_of_short_decimals(spark):
+    # In every order of its terms the sum falls below 244 (mean 61).
+    assert array(resample.bin_means(frame(spark, np.array([[60.48, 86.1, 97.35, 0.07]])), 1, half_even=False)) == [[61]]
+
+
 def test_patches_round_trip(spark, image):
     even = image[:8, :6]
     assert (array(resample.unpatchify(resample.patchify(frame(spark, even), 2), 2)) == even).all()
