@@ -77,6 +77,11 @@ def test_bin_means_of_short_decimals(spark):
     assert array(resample.bin_means(frame(spark, np.array([[60.48, 86.1, 97.35, 0.07]])), 1, half_even=False)) == [[61]]
 
 
+def test_bin_means_on_a_half(spark):
+    # The mean is 59.5; in every order of its terms the sum falls below 238, which gave 59.
+    assert array(resample.bin_means(frame(spark, np.array([[72.6, 97.85, 67.1, 0.45]])), 1, half_even=True)) == [[60]]
+
+
 def test_patches_round_trip(spark, image):
     even = image[:8, :6]
     assert (array(resample.unpatchify(resample.patchify(frame(spark, even), 2), 2)) == even).all()
