@@ -39,20 +39,26 @@ def _around(targets: DataFrame, records: DataFrame, target: str, value: str, ord
     from it on, or null; the first by ``order`` of equal values.
 
     Distinct values of both sides are dealt into ``RANGES`` ranges of about equal counts; a range knows the last record before
-    it and the first one after it from one row a range.
+    it and the first one after it from one row a range. Both windows run from their start to the current row, since Spark goes
+    through the rest of a range again at every row of a frame that ends with it.
     """
     hits = records.where(V(value).isNotNull()).groupBy(V(value).cast("double").alias("at_")).agg(F.min_by(F.struct(*records.columns), V(order)).alias("rec"))
     wanted = targets.where(V(target).isNotNull()).select(V(target).cast("double").alias("at_")).distinct()
     points = hits.unionByName(wanted.select("at_", F.lit(None).cast(hits.schema["rec"].dataType).alias("rec")))
     bounds = points.agg(F.percentile_approx("at_", [i / RANGES for i in range(1, RANGES)], 10000).alias("bounds"))  # one row
-    points = points.join(F.broadcast(bounds)).withColumn("range", F.size(F.filter("bounds", lambda x: x < V("at_")))).drop("bounds")
+    points = points.join(F.broadcast(bounds)).withColumn("range", F.lit(0))
+    step = RANGES // 2
+    while step:  # how many of the RANGES - 1 bounds are less, by halves: RANGES is a power of two
+        points = points.withColumn("range", V("range") + F.when(F.get("bounds", V("range") + (step - 1)) < V("at_"), step).otherwise(0))
+        step //= 2
+    points = points.drop("bounds")
     ends = points.where(V("rec").isNotNull()).groupBy("range").agg(F.max_by("rec", "at_").alias("last"), F.min_by("rec", "at_").alias("first"))
     ends = points.sparkSession.range(RANGES).select(V("id").cast("int").alias("range")).join(ends, "range", "left")
     ranges = Window.orderBy("range")
     carried = ends.select("range", F.last("last", ignorenulls=True).over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", ignorenulls=True).over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    own = Window.partitionBy("range").orderBy("at_")
-    seen = points.withColumn("low", F.last("rec", ignorenulls=True).over(own.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    seen = seen.withColumn("high", F.first("rec", ignorenulls=True).over(own.rangeBetween(Window.currentRow, Window.unboundedFollowing)))
+    seen = points
+    for side, order_ in (("low", V("at_").asc()), ("high", V("at_").desc())):
+        seen = seen.withColumn(side, F.last("rec", ignorenulls=True).over(Window.partitionBy("range").orderBy(order_).rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return seen.where(V("rec").isNull()).join(F.broadcast(carried), "range").select("at_", F.coalesce("low", "before").alias("low"), F.coalesce("high", "after").alias("high"))
 
 

@@ -72,6 +72,15 @@ def test_nearest_inside_gaps(spark):
     assert {r.t: r.i for r in got.collect()} == {t: min(range(900), key=lambda i: (abs(values[i] - t), i)) for t in wanted}
 
 
+def test_nearest_goes_through_a_range_once(spark):
+    values, targets = [float(v) for v in range(0, 3000, 3)], [v / 2 for v in range(-9, 6100)]
+    got = series.nearest(spark.createDataFrame([(t,) for t in targets], "t double"), spark.createDataFrame(list(enumerate(values)), "i int, v double"), "t", "v", "i")
+    assert {r.t: r.i for r in got.collect()} == {t: min(range(1000), key=lambda i: (abs(values[i] - t), i)) for t in targets}
+    # A frame from the current row to the end costs the square of a range; only the one over a row a range may have it.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("currentrow$(), unboundedfollowing$()") == 0
+
+
 def test_every_order_has_its_nearest_record(spark):
     events = table(spark, SF_DIR, "events").select("event_id", "value").collect()
     ids, values = np.array([r.event_id for r in events]), np.array([r.value for r in events], float)
