@@ -24,6 +24,12 @@ def truncate(v: Column) -> Column:
     return v.cast("long")
 
 
+def round_scaled(v: Column, digits: int) -> Column:
+    """Rounded half away from zero as array libraries and DuckDB do, by scaling. Spark's round() takes the shortest decimal that names
+    the number, so that they differ where the product with the scale is a tie, or is none, by an error of the product."""
+    return F.round(v * 10.0**digits) / 10.0**digits
+
+
 def correlation(x: Column, y: Column) -> Column:
     """Pearson correlation as an aggregate; null where a side does not vary."""
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

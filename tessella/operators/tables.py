@@ -156,8 +156,7 @@ def support_area(pixels: DataFrame, lat0: float, step: float, rings: DataFrame |
 def edge_gaps(pixels: DataFrame, lon0: float, step: float, edge_lon: Column, lat: Column) -> DataFrame:
     """(y, gap): metres from an edge's longitude to the first valid pixel of each row."""
     first = pixels.where(V("v") > 0).groupBy("y").agg(F.min("x").alias("x"))
-    metres = (3.141592653589793 * MOON_RADIUS / 180) * F.cos(F.radians(lat))
-    return first.select("y", ((lon0 + V("x") * step - edge_lon) * metres).alias("gap"))
+    return first.select("y", ((lon0 + V("x") * step - edge_lon) * F.pi() * MOON_RADIUS / 180 * F.cos(F.radians(lat))).alias("gap"))
 
 
 def gap_stats(gaps: DataFrame) -> DataFrame:

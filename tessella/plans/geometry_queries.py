@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.safe import round_scaled
 from ..operators import geometry as G
 from ..operators import series as T
 from ..operators import tables
@@ -159,8 +160,10 @@ query("gap_stats", "WITH r AS (SELECT user_id AS y, min(hour(ts)) AS first_x FRO
 
 
 def _gaps(s: SparkSession, d: str) -> DataFrame:
-    gap = tables.edge_gaps(_support(s, d), 23.0, 0.1, F.lit(23.25), 1 - V("y") * 0.01).withColumn("gap", F.round("gap", 3))
-    stats = tables.gap_stats(gap).withColumn("gap_median", F.round("gap_median", 3))
+    # Of the events themselves: a click without a value counts, and no grid is needed. Latitudes are decimals: 1 - y * 0.01 in doubles is not.
+    clicks = table(s, d, "events").where("event_type = 'click'").select(V("user_id").alias("y"), F.hour("ts").alias("x"), F.lit(1.0).alias("v"))
+    gap = tables.edge_gaps(clicks, 23.0, 0.1, F.lit(23.25), (100 - V("y")) / 100).withColumn("gap", round_scaled(V("gap"), 3))
+    stats = tables.gap_stats(gap).withColumn("gap_median", round_scaled(V("gap_median"), 3))
     return T.pick_first_middle_last(gap, ["y"]).drop("rank").join(F.broadcast(stats))  # one row
 
 

@@ -1,5 +1,6 @@
 """Composed plans and refusals, against array arithmetic."""
 
+import duckdb
 import numpy as np
 import pytest
 from compare import SF_DIR
@@ -9,7 +10,7 @@ from test_files import array, frame
 from tessella import plans
 from tessella.operators import geometry, matching, radiometry, resample, shift, stencil, tables
 from tessella.plans import matching_queries, recipes
-from tessella.registry import RUNS
+from tessella.registry import RUNS, SQL
 from tessella.sources import catalogue, raster_files
 
 plans.load()
@@ -240,3 +241,14 @@ def test_label_leaves_and_audit(spark):
     assert audit.axes == {"line": 40, "sample": 30} and (audit.file_size, audit.expected_bytes, audit.bands, audit.md5) == (2400, 2400, 1, "abcdef")
     leaves = {r.tag: (r.value, r.attributes) for r in catalogue.label_leaves(texts).collect()}
     assert leaves["sun"] == ("12.5", {"unit": "deg", "kind": "x:y"}) and leaves["file_size"] == ("2400", {"unit": "byte"})
+
+
+def test_gaps_start_at_clicks_without_a_value(spark, tmp_path):
+    clicks = [(0, 9, 0.0), (0, 11, 2.0), (1, 5, 1.0), (1, 6, 0.0), (2, 3, -4.0), (3, 8, 0.00001), (3, 9, 7.0)]
+    rows = ", ".join(f"({i}, TIMESTAMP '2024-01-01 00:30:00' + to_hours({x}), {y}, 'click', {v}::DOUBLE)" for i, (y, x, v) in enumerate(clicks))
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES {rows}) t(event_id, ts, user_id, event_type, value)) TO '{tmp_path}/events.parquet'")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    columns = "y, gap, gap_min, gap_median, gap_max"
+    want = con.sql(f"SELECT {columns} FROM ({SQL['gap_stats']}) ORDER BY y").fetchall()
+    assert [tuple(r) for r in RUNS["gap_stats"](spark, str(tmp_path)).select(*columns.split(", ")).orderBy("y").collect()] == want
