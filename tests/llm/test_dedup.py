@@ -98,6 +98,17 @@ def test_near_components(spark, k, percent):
     assert sorted(got, key=by) == sorted(want, key=by)
 
 
+def test_sets_are_moved_and_texts_are_not(spark):
+    texts = [(i, f"w{i} x{i} y{i} z{i} u{i}") for i in range(50)]
+    rows = frame(spark, [*texts, (3, "another text under one id"), (None, texts[4][1]), (-7, None)])
+    named = near_dups.prefixes(rows, 4, 85)[0]
+    wanted = named.where("doc_id in (3, 4)").select("doc_id", "v")
+    got = near_dups.shingles_of(rows, wanted, 4)
+    assert sorted((r.v, len(r.set)) for r in got.collect()) == sorted((r.v, 16) for r in wanted.collect())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("MapInArrow")  # texts end below the join
+
+
 def test_many_near_copies_are_one_component(spark):
     rng = random.Random(8)
     base = [f"w{i}" for i in range(100)]
