@@ -147,6 +147,33 @@ def test_comparisons_grow_with_the_number_of_near_copies(spark, monkeypatch):
     assert compared[0] < 5 * 200 and compared[1] < 5 * 800
 
 
+def test_what_comparisons_move_is_bounded(spark, monkeypatch):
+    moved, made = [], []
+    verified, shingles_of = near_dups.verified, near_dups.shingles_of
+
+    def counted(pairs, *rest):
+        moved.append(pairs.count())
+        return verified(pairs, *rest)
+
+    def counted_sets(docs, wanted, k):
+        made.append(wanted.count())
+        return shingles_of(docs, wanted, k)
+
+    monkeypatch.setattr(near_dups, "verified", counted)
+    monkeypatch.setattr(near_dups, "shingles_of", counted_sets)
+    monkeypatch.setattr(near_dups, "ROOM", 1, raising=False)
+    rows = []
+    for g in range(30):
+        base = [f"w{g}x{i}" for i in range(40)]
+        for c in range(12):
+            rows.append((len(rows), " ".join([*base, f"copy{c}"])))
+    rows += [(1000 + i, " ".join(f"z{j}" for j in range(i, i + 40))) for i in range(3)]
+    got = near_dups.near_components(frame(spark, rows), 4, 85).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_components(rows, 4, 85))
+    # All pairs of twelve copies are 1,980, which were compared at once, with all 363 sets.
+    assert sum(moved) < 500 and max(moved) < 200 and max(made) < 300
+
+
 def brute_words(rows, window):
     places, out = {}, []
     for n, (_, t) in enumerate(rows):
